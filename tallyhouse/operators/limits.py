@@ -56,12 +56,10 @@ def distinct_capped(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
     return df.select(*cols).distinct().limit(n)
 
 
-def preview(df: DataFrame, order: Sequence[Column], n: int = 10) -> tuple[DataFrame, DataFrame]:
-    """First rows of a result beside its full row count, columns and truncation flag."""
-    total = F.count("*")
-    status = df.select(F.lit(1)).agg(
-        total.alias("row_count"),
-        F.lit(",".join(df.columns)).alias("columns"),
-        (total > n).alias("truncated"),
-    )
-    return df.orderBy(*order).limit(n), status
+def preview(
+    df: DataFrame, order: Sequence[Column], n: int = 10, max_rows: int = 10_000
+) -> tuple[DataFrame, DataFrame]:
+    """First rows of a capped result beside its row count, columns and truncation flag."""
+    capped, status = cap_rows(df, max_rows)
+    status = status.withColumn("columns", F.lit(",".join(df.columns)))
+    return capped.orderBy(*order).limit(n), status

@@ -1,0 +1,16 @@
+"""Named queries. ``load_queries`` imports every module that registers some."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("retail", "procedures")
+
+
+def load_queries():
+    """All registered queries by name."""
+    for module in MODULES:
+        importlib.import_module(f"tallyhouse.plans.{module}")
+    from tallyhouse.plans.registry import QUERIES
+
+    return QUERIES
