@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retail", "procedures")
+MODULES = ("retail", "procedures", "governed", "texts")
 
 
 def load_queries():
