@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("retail", "procedures", "governed", "texts")
+MODULES = (
+    "retail", "procedures", "governed", "texts", "vector_jobs", "template_jobs", "activity_jobs",
+    "evaluation_jobs",
+)
 
 
 def load_queries():

@@ -36,13 +36,13 @@ class Tables(Mapping[str, DataFrame]):
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
-        self._folder = folder.rstrip("/")
+        self.folder = folder.rstrip("/")
         self._open: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._open:
             schema = TABLE_SCHEMAS[name]
-            path = f"{self._folder}/{name}.parquet"
+            path = f"{self.folder}/{name}.parquet"
             self._open[name] = self.spark.read.schema(schema).parquet(path)
         return self._open[name]
 
@@ -58,6 +58,15 @@ def read_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
+def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Follow one table as a stream, be it a single file or a folder of parts.
+
+    The path is a pattern because a file source takes a plain path to be a folder.
+    """
+    path = f"{sf_dir.rstrip('/')}/{{{name}}}.parquet"
+    return spark.readStream.schema(TABLE_SCHEMAS[name]).parquet(path)
+
+
 def read_jdbc(
     spark: SparkSession,
     url: str,
