@@ -1,22 +1,31 @@
 """Substring joins between a large text column and a list of needles.
 
-Two exact ways, chosen by a size check:
+Three exact ways, chosen by size and shape:
 
 * a short list is inlined into the plan and tested in the scan's own tasks, so the
   texts are neither shuffled nor repeated;
-* a longer list is joined on anchors: the first characters of each needle are matched
-  by an equi-join against the character runs of each text, and the few candidates are
-  verified. No pair of text and needle is formed unless they share an anchor.
+* in a longer list, a needle of several words is found by a word that lies inside it
+  with other characters on both sides: a text that holds the needle holds that word as
+  a token of its own, so words meet by an equi-join and the candidates are verified;
+* a needle without such a word is found by its first characters, met by an equi-join
+  with the character runs of the texts, and verified too.
+
+No pair of text and needle is formed unless they share an anchor.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.functions.text import WORD_CHAR
 from tallyhouse.session import INLINE_ROWS, bounded_rows
 
 ANCHOR = 8
+NOT_WORD = "[^" + WORD_CHAR[1:]
+INNER_WORD = f"(?<={NOT_WORD})({WORD_CHAR}+)(?={NOT_WORD})"
 
 
 def character_runs(c: Column, length: int) -> Column:
@@ -24,29 +33,59 @@ def character_runs(c: Column, length: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
+def _no_hits(texts: DataFrame, id_col: str) -> DataFrame:
+    return texts.select(id_col, F.lit("").alias("_needle")).limit(0)
+
+
 def _inline_hits(texts: DataFrame, id_col: str, text_col: str, needles: list[str]) -> DataFrame:
     if not needles:
-        return texts.select(id_col, F.lit("").alias("_needle")).limit(0)
-    listed = F.array(*[F.lit(n) for n in needles])
+        return _no_hits(texts, id_col)
+    listed = F.from_json(F.lit(json.dumps(needles)), "array<string>")
     found = F.filter(listed, lambda n: F.contains(F.col(text_col), n))
     return texts.select(id_col, F.explode(found).alias("_needle"))
 
 
-def _anchored_hits(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
-    anchored = needles.select(
-        F.col("_n").alias("_needle"), F.substring("_n", 1, ANCHOR).alias("_anchor")
-    )
-    # Anchors have at most ANCHOR different lengths, so at most that many rows come back.
-    lengths = [r[0] for r in anchored.select(F.length("_anchor")).distinct().collect()]
-    if not lengths:
-        return texts.select(id_col, F.lit("").alias("_needle")).limit(0)
-    runs = F.array_distinct(F.concat(*[character_runs(F.col(text_col), n) for n in sorted(lengths)]))
-    exploded = texts.select(id_col, F.explode(runs).alias("_anchor"))
+def _verified(
+    tokens: Column, anchored: DataFrame, texts: DataFrame, id_col: str, text_col: str
+) -> DataFrame:
+    """Needles whose anchor is among a text's tokens and that do occur in the text."""
+    exploded = texts.select(id_col, F.explode(F.array_distinct(tokens)).alias("_anchor"))
     candidates = exploded.join(anchored, "_anchor").select(id_col, "_needle")
     checked = candidates.join(texts.select(id_col, text_col), id_col)
     return checked.filter(F.contains(F.col(text_col), F.col("_needle"))).select(id_col, "_needle")
 
 
+def _by_word(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
+    tokens = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_CHAR}+)"), F.lit(1))
+    return _verified(tokens, needles, texts, id_col, text_col)
+
+
+def _by_start(
+    texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, inline_rows: int
+) -> DataFrame:
+    rows = bounded_rows(needles.select("_needle"), inline_rows)
+    if rows is not None:
+        return _inline_hits(texts, id_col, text_col, [r[0] for r in rows])
+    anchored = needles.select("_needle", F.substring("_needle", 1, ANCHOR).alias("_anchor"))
+    # Anchors have at most ANCHOR different lengths, so at most that many rows come back.
+    lengths = [r[0] for r in anchored.select(F.length("_anchor")).distinct().collect()]
+    runs = F.concat(*[character_runs(F.col(text_col), n) for n in sorted(lengths)])
+    return _verified(runs, anchored, texts, id_col, text_col)
+
+
+def _anchored_hits(
+    texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, inline_rows: int
+) -> DataFrame:
+    inner = F.regexp_extract_all("_n", F.lit(INNER_WORD), F.lit(1))
+    sized = F.transform(inner, lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
+    marked = needles.select(F.col("_n").alias("_needle"), F.array_max(sized)["word"].alias("_anchor"))
+    words = marked.filter(F.col("_anchor").isNotNull())
+    rest = marked.filter(F.col("_anchor").isNull()).select("_needle")
+    return _by_word(texts, id_col, text_col, words).unionByName(
+        _by_start(texts, id_col, text_col, rest, inline_rows)
+    )
+
+
 def contains_join(
     texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str,
     inline_rows: int = INLINE_ROWS,
@@ -61,5 +100,5 @@ def contains_join(
     if rows is not None:
         hits = _inline_hits(texts, id_col, text_col, [r[0] for r in rows])
     else:
-        hits = _anchored_hits(texts, id_col, text_col, distinct)
+        hits = _anchored_hits(texts, id_col, text_col, distinct, inline_rows)
     return hits.join(usable.withColumn("_needle", F.col(needle_col)), "_needle").drop("_needle")

@@ -153,7 +153,7 @@ def screen_sql_log(
     A hit of the cheap checks (POL010, POL001, POL005) ends the screening, as does an
     empty text (POL009); system schemas and blocked features are looked at otherwise.
     """
-    sql = strip(F.coalesce(F.col(sql_col), F.lit("")))
+    sql = F.col("_sql")
     injected = F.lit(False)
     for pattern in SQL_INJECTION:
         injected = injected | sql.rlike(pattern)
@@ -162,20 +162,23 @@ def screen_sql_log(
     def present(*codes: Column) -> Column:
         return F.filter(F.array(*codes), lambda c: c.isNotNull())
 
-    first = present(
+    # One projection per step, so that no pattern is tried twice on a statement.
+    stripped = df.withColumn("_sql", strip(F.coalesce(F.col(sql_col), F.lit(""))))
+    first = stripped.withColumn("_first", present(
         F.when(injected, "POL010"),
         F.when(first_keyword(sql).isin(*BLOCKED_KEYWORDS), "POL001"),
         F.when(sql.rlike(DANGEROUS_FUNCTIONS), "POL005"),
-    )
+    ))
     second = present(
         F.when(sql.rlike(SYSTEM_SCHEMAS), "POL004"), F.when(sql.rlike(features), "POL014")
     )
     codes = (
         F.when(F.length(sql) == 0, F.array(F.lit("POL009")))
-        .when(F.size(first) > 0, first)
+        .when(F.size("_first") > 0, F.col("_first"))
         .otherwise(second)
     )
-    return df.withColumn("codes", codes).withColumn("allowed", F.size("codes") == 0)
+    screened = first.withColumn("codes", codes).drop("_sql", "_first")
+    return screened.withColumn("allowed", F.size("codes") == 0)
 
 
 def route_intent(df: DataFrame, col: str) -> DataFrame:

@@ -26,8 +26,7 @@ CODES_SQL = (
 
 def audit(t) -> DataFrame:
     """One audit record per event, out of the screened SQL log."""
-    screened = S.screen_sql_log(sql_log(t), "sql").select("event_id", "codes", "allowed")
-    rows = t["events"].join(screened, "event_id")
+    rows = S.screen_sql_log(sql_log(t), "sql")
     violation = lambda c: F.struct(
         c.alias("code"), F.lit("error").alias("severity"), F.lit("").alias("message")
     )
@@ -92,7 +91,7 @@ def timed_events(t) -> DataFrame:
         "total_ms": v + F.col("user_id") + k.cast("long"),
     }
     text = F.to_json(F.struct(*[c.alias(n) for n, c in parts.items()]))
-    return t["events"].select(F.col("event_id").alias("request_id"), text.alias("timings_json"))
+    return t.spread("events").select(F.col("event_id").alias("request_id"), text.alias("timings_json"))
 
 
 @query("phase_summary")

@@ -17,8 +17,8 @@ import uuid
 
 def items(t) -> DataFrame:
     """One item per user turn: the next turn is its SQL, the two opening words its tables."""
-    q = t["conversations"].select("conv_id", "turn", "role", "text")
-    a = t["conversations"].select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sql"))
+    q = t.spread("conversations").select("conv_id", "turn", "role", "text")
+    a = t.spread("conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sql"))
     words = F.split("text", " ")
     return q.join(a, ["conv_id", "turn"], "left").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
@@ -51,8 +51,8 @@ def checked(t) -> DataFrame:
 )
 def missing_references(t):
     term = F.explode(extract_terms(F.col("text"))).alias("term")
-    refs = t["conversations"].select("conv_id", "turn", term)
-    return M.missing_references(refs, t["documents"].select(term), ["term"]).select("conv_id", "turn", "term")
+    refs = t.spread("conversations").select("conv_id", "turn", term)
+    return M.missing_references(refs, t.spread("documents").select(term), ["term"]).select("conv_id", "turn", "term")
 
 
 @query(

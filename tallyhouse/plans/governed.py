@@ -87,12 +87,12 @@ def mask_redact(t):
     "THEN substr(text, 1, 1) || '***@' || substr(text, strpos(text, '@') + 1) ELSE '***' END AS text FROM documents",
 )
 def mask_partial(t):
-    return t["documents"].select("doc_id", G.mask_partial(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", G.mask_partial(F.col("text")).alias("text"))
 
 
 @query("mask_hash", f"SELECT doc_id, {_hash_sql('text')} AS text FROM documents")
 def mask_hash(t):
-    return t["documents"].select("doc_id", G.mask_hash(F.col("text")).alias("text"))
+    return t.spread("documents").select("doc_id", G.mask_hash(F.col("text")).alias("text"))
 
 
 @query(
@@ -153,7 +153,7 @@ _WORDS_SQL = (
     f"(SELECT column_name, replace(column_name, '_', '') AS p FROM ({_WORDS_SQL}) w) x",
 )
 def classify_columns(t):
-    names = t["documents"].select(F.explode(extract_terms(F.col("text"))).alias("column_name"))
+    names = t.spread("documents").select(F.explode(extract_terms(F.col("text"))).alias("column_name"))
     return G.classify_columns(names.distinct())
 
 
@@ -259,4 +259,4 @@ def redact_payload_q(t):
 )
 def parse_groups_q(t):
     raw = F.concat(F.col("lang"), F.lit(" , Admin,,"), F.col("source"), F.lit(",root "))
-    return t["documents"].select("doc_id", F.array_join(parse_groups(raw), "|").alias("groups"))
+    return t.spread("documents").select("doc_id", F.array_join(parse_groups(raw), "|").alias("groups"))

@@ -37,12 +37,12 @@ def terms_sql(c: str) -> str:
 def transcript(t) -> DataFrame:
     """One line per turn, speaker first."""
     line = F.concat("role", F.lit(": "), "text")
-    return t["conversations"].select("conv_id", "turn", line.alias("line"))
+    return t.spread("conversations").select("conv_id", "turn", line.alias("line"))
 
 
 @query("normalise_text", f"SELECT doc_id, {NORM_SQL.format(c='text')} AS norm FROM documents")
 def normalise_text(t):
-    return t["documents"].select("doc_id", X.normalise_text(F.col("text")).alias("norm"))
+    return t.spread("documents").select("doc_id", X.normalise_text(F.col("text")).alias("norm"))
 
 
 @query(
@@ -50,7 +50,7 @@ def normalise_text(t):
     f"SELECT doc_id, len(x) AS n_terms, array_to_string(list_sort(x), ' ') AS terms FROM (SELECT doc_id, {terms_sql('text')} AS x FROM documents) d",
 )
 def extract_terms(t):
-    rows = t["documents"].select("doc_id", X.extract_terms(F.col("text")).alias("x"))
+    rows = t.spread("documents").select("doc_id", X.extract_terms(F.col("text")).alias("x"))
     joined = F.array_join(F.array_sort("x"), " ")
     return rows.select("doc_id", F.size("x").cast("long").alias("n_terms"), joined.alias("terms"))
 
@@ -61,7 +61,7 @@ def extract_terms(t):
 )
 def fingerprint(t):
     c = F.col("text")
-    return t["documents"].select("doc_id", X.fingerprint(c).alias("fingerprint"), F.sha2(c, 256).alias("full_hash"))
+    return t.spread("documents").select("doc_id", X.fingerprint(c).alias("fingerprint"), F.sha2(c, 256).alias("full_hash"))
 
 
 @query(
@@ -70,7 +70,7 @@ def fingerprint(t):
     r"regexp_replace(lower(trim(url)), '\s+', '_', 'g'), '[^\p{L}\p{N}_\-]', '', 'g'), 1, 60) AS s FROM pages) x",
 )
 def slug(t):
-    return t["pages"].select("page_id", X.slug(F.col("url")).alias("slug"))
+    return t.spread("pages").select("page_id", X.slug(F.col("url")).alias("slug"))
 
 
 @query(
@@ -78,7 +78,7 @@ def slug(t):
     "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE GREATEST(1, CAST(floor(length(text) * 0.5) AS INTEGER)) END AS tokens FROM documents",
 )
 def token_estimate(t):
-    return t["documents"].select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
+    return t.spread("documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -87,8 +87,8 @@ def token_estimate(t):
     "JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1",
 )
 def array_overlap(t):
-    c = t["conversations"].select("conv_id", "turn", X.extract_terms(F.col("text")).alias("a"))
-    p = t["conversations"].select(
+    c = t.spread("conversations").select("conv_id", "turn", X.extract_terms(F.col("text")).alias("a"))
+    p = t.spread("conversations").select(
         "conv_id", (F.col("turn") + 1).alias("turn"), X.extract_terms(F.col("text")).alias("b")
     )
     joined = c.join(p, ["conv_id", "turn"])
@@ -112,7 +112,7 @@ def flag_injection(t):
 )
 def ingress_filter(t):
     meta = F.create_map(F.lit("lang"), "lang", F.lit("source"), "source", F.lit("body"), "text")
-    rows = t["documents"].select("doc_id", "text", meta.alias("meta"))
+    rows = t.spread("documents").select("doc_id", "text", meta.alias("meta"))
     return S.ingress_filter(rows, "text", "meta").select("doc_id", "code")
 
 
@@ -128,7 +128,7 @@ SQL_LOG = (
 
 def sql_log(t) -> DataFrame:
     """The log, one statement per event."""
-    return t["events"].select("event_id", "user_id", F.expr(SQL_LOG.replace("chr(10)", "char(10)")).alias("sql"))
+    return t.spread("events").withColumn("sql", F.expr(SQL_LOG.replace("chr(10)", "char(10)")))
 
 
 @query(
@@ -146,7 +146,7 @@ def screen_sql_log(t):
     "THEN 'data' ELSE 'other' END AS path FROM documents",
 )
 def route_intent(t):
-    return S.route_intent(t["documents"], "text").select("doc_id", "path")
+    return S.route_intent(t.spread("documents"), "text").select("doc_id", "path")
 
 
 @query(
@@ -154,7 +154,7 @@ def route_intent(t):
     f"SELECT conv_id, turn, regexp_matches(lower(text), '{'|'.join(S.CONTEXT_HINTS)}') AS needs_context FROM conversations",
 )
 def needs_context(t):
-    return S.needs_context(t["conversations"], "text").select("conv_id", "turn", "needs_context")
+    return S.needs_context(t.spread("conversations"), "text").select("conv_id", "turn", "needs_context")
 
 
 @query(
@@ -164,7 +164,7 @@ def needs_context(t):
     r"'^\s+|\s+$', '', 'g') AS answer FROM documents",
 )
 def clean_answer(t):
-    return t["documents"].select("doc_id", S.clean_answer(F.col("text")).alias("answer"))
+    return t.spread("documents").select("doc_id", S.clean_answer(F.col("text")).alias("answer"))
 
 
 @query(
@@ -174,8 +174,8 @@ def clean_answer(t):
     "ON p.conv_id = c.conv_id AND p.turn = c.turn + 1",
 )
 def has_both_languages(t):
-    c = t["conversations"].select("conv_id", "turn", "text")
-    p = t["conversations"].select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    c = t.spread("conversations").select("conv_id", "turn", "text")
+    p = t.spread("conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     rows = S.has_both_languages(c.join(p, ["conv_id", "turn"], "left"), "text", "answer")
     return S.detect_arabic(rows, "text").select("conv_id", "turn", "bilingual", "is_arabic")
 
@@ -195,7 +195,7 @@ def sentence_terms(t) -> DataFrame:
 
 
 def doc_questions(t) -> DataFrame:
-    return t["documents"].select(F.col("doc_id").alias("question_id"), "text")
+    return t.spread("documents").select(F.col("doc_id").alias("question_id"), "text")
 
 
 GLOSSARY_SQL = f"""
@@ -226,14 +226,14 @@ def match_glossary(t):
     f"SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains({NORM_SQL.format(c='d.text')}, {NORM_SQL.format(c='b.text')})",
 )
 def term_join(t):
-    docs = t["documents"].select("doc_id", X.normalise_text(F.col("text")).alias("norm"))
+    docs = t.spread("documents").select("doc_id", X.normalise_text(F.col("text")).alias("norm"))
     items = t["benchmark"].select("item_id", X.normalise_text(F.col("text")).alias("needle"))
     return contains_join(docs, "doc_id", "norm", items, "needle").select("doc_id", "item_id")
 
 
 def chat_questions(t) -> DataFrame:
     key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    return t["conversations"].select(key.alias("question_id"), "text")
+    return t.spread("conversations").select(key.alias("question_id"), "text")
 
 
 def passage_examples(t) -> DataFrame:
@@ -318,7 +318,7 @@ def score_tables(t):
 
 @query("pack_context")
 def pack_context(t):
-    sections = t["conversations"].select(
+    sections = t.spread("conversations").select(
         F.col("conv_id").alias("question_id"), "role",
         F.concat_ws("-", "role", F.lpad(F.col("turn").cast("string"), 6, "0")).alias("name"),
         F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3).alias("priority"),
@@ -331,8 +331,8 @@ def pack_context(t):
 def _sources(t) -> list[DataFrame]:
     return [
         RT.search_source(t["benchmark"], "benchmark", 0, "item_id", ["text"]),
-        RT.search_source(t["documents"], "documents", 1, "doc_id", ["text", "source"]),
-        RT.search_source(t["pages"], "pages", 2, "page_id", ["url", "html"]),
+        RT.search_source(t.spread("documents"), "documents", 1, "doc_id", ["text", "source"]),
+        RT.search_source(t.spread("pages"), "pages", 2, "page_id", ["url", "html"]),
     ]
 
 
@@ -369,8 +369,8 @@ def keyword_search_status(t):
     "WHERE c.role = 'user'",
 )
 def build_example_documents(t):
-    q = t["conversations"].filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    a = t["conversations"].select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sql"))
+    q = t.spread("conversations").filter(F.col("role") == "user").select("conv_id", "turn", "text")
+    a = t.spread("conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("sql"))
     none = F.lit(None).cast("string")
     rows = q.join(a, ["conv_id", "turn"]).select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("example_id"),
@@ -426,7 +426,7 @@ def build_table_documents(t):
 )
 def upsert(t):
     key = F.col("doc_id").cast("string").alias("id")
-    existing = t["documents"].select(key, F.col("text").alias("document"))
+    existing = t.spread("documents").select(key, F.col("text").alias("document"))
     note = F.concat(F.lit("quality "), F.col("quality").cast("string"))
     batch = t["labels"].select(key, note.alias("document"), "quality")
     return upsert_documents(existing, batch, "quality")

@@ -96,7 +96,7 @@ def letter_shares(texts: list[str]) -> list[list[float]]:
     "CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es FROM documents",
 )
 def embed_once(t):
-    rows = V.embed_once(t["documents"].select("doc_id", "text"), "text", letter_shares)
+    rows = V.embed_once(t.spread("documents").select("doc_id", "text"), "text", letter_shares)
     item = lambda i: F.element_at("embedding", i).cast("double")
     return rows.select("doc_id", item(1).alias("chars"), item(2).alias("spaces"), item(3).alias("es"))
 

@@ -52,6 +52,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread an input of fewer splits than cores before heavy per-row work.
+
+    A small file is one split and would keep one core busy. A large table has more
+    splits than cores and is left as it is: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
     """Rows of ``df`` if there are at most ``limit`` of them, else ``None``.
 

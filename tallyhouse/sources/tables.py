@@ -6,6 +6,8 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.session import fan_out
+
 # Declared schemas: no inference pass over the files.
 TABLE_SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
@@ -46,6 +48,10 @@ class Tables(Mapping[str, DataFrame]):
             self._open[name] = self.spark.read.schema(schema).parquet(path)
         return self._open[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for heavy per-row work; see ``fan_out``."""
+        return fan_out(self[name])
+
     def __iter__(self) -> Iterator[str]:
         return iter(TABLE_SCHEMAS)
 
