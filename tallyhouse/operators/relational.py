@@ -106,19 +106,28 @@ def join_by_relationship(
 
 
 def join_path(tables: Mapping[str, DataFrame], rels: Sequence[Relationship]) -> DataFrame:
-    """Join along a chain of relationships, each step starting from a table already joined."""
-    seen = {rels[0].from_table}
-    out = tables[rels[0].from_table]
+    """Join along a chain of relationships, each step starting from a table already joined.
+
+    Where an inner join matches two columns of one name, one of them is kept.
+    """
+    frames = {rels[0].from_table: tables[rels[0].from_table]}
+    merged: dict[tuple[str, str], Column] = {}
+    out = frames[rels[0].from_table]
     for rel in rels:
-        forward = rel.from_table in seen
-        new = rel.to_table if forward else rel.from_table
-        if forward == (rel.to_table in seen):
+        sides = ((rel.from_table, rel.from_columns), (rel.to_table, rel.to_columns))
+        (old, old_cols), (new, new_cols) = sides if rel.from_table in frames else sides[::-1]
+        if old not in frames or new in frames:
             raise ValueError(f"{rel.rel_id} does not extend the path")
-        right = tables[new]
-        pairs = zip(rel.from_columns, rel.to_columns, strict=True)
-        terms = [F.col(a) == F.col(b) for a, b in pairs]
-        out = out.join(right, reduce(lambda x, y: x & y, terms), rel.join_type)
-        seen.add(new)
+        frames[new] = tables[new]
+        pairs = [
+            (a, b, merged.get((old, a), frames[old][a])) for a, b in zip(old_cols, new_cols, strict=True)
+        ]
+        cond = reduce(lambda x, y: x & y, [left == frames[new][b] for _, b, left in pairs])
+        out = out.join(frames[new], cond, rel.join_type)
+        for a, b, left in pairs:
+            if a == b and rel.join_type == "inner":
+                out = out.drop(frames[new][b])
+                merged[(new, b)] = left
     return out
 
 
