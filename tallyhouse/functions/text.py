@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ PROTECTED_GROUPS = ("admin", "superadmin", "root")
 SLUG_LENGTH = 60
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Remove whitespace of any kind from both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

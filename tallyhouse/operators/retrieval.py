@@ -43,6 +43,12 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _normalised(questions: DataFrame) -> DataFrame:
+    """Question texts with spaces collapsed and in lower case; no text counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return questions.select("question_id", normalise_text(text).alias("_norm"))
+
+
 # -------------------------------------------------------------------- glossary
 
 
@@ -89,7 +95,7 @@ def match_glossary(questions: DataFrame, variants: DataFrame, cap: int = MAX_GLO
 
     ``questions``: question_id, text. Best priority first, ties by canonical name.
     """
-    norm = questions.select("question_id", normalise_text(F.col("text")).alias("_norm"))
+    norm = _normalised(questions)
     hits = contains_join(norm, "question_id", "_norm", variants, "needle")
     first = hits.groupBy("question_id", "canonical").agg(
         F.min_by(F.struct("matched_on", "priority"), "search_order").alias("hit")
@@ -122,7 +128,7 @@ def score_examples(
     Shared words are counted over an inverted index (an equi-join on the term), so a
     pair is formed only where a word is shared; pairs are summed before the shuffle.
     """
-    norm = questions.select("question_id", normalise_text(F.col("text")).alias("_norm"))
+    norm = _normalised(questions)
     fields = _example_fields(examples)
     needle = fields.withColumn("_needle_text", F.lower("field_text"))
 
@@ -179,14 +185,21 @@ def retrieve_examples(scored: DataFrame, n: int = MAX_EXAMPLES) -> DataFrame:
 
 
 def table_name_hits(norm: DataFrame, tables: DataFrame) -> DataFrame:
-    """Questions that name a table as a token of its own."""
-    named = tables.withColumn("_name_needle", F.lower("table_name"))
-    hits = contains_join(norm, "question_id", "_norm", named, "_name_needle")
-    texts = hits.select("question_id", "table_name", "_name_needle").join(norm, "question_id")
-    alone = F.concat(
-        F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("_name_needle"), F.lit(r"\E(?![\p{L}\p{N}])")
-    )
-    return texts.filter(F.regexp_like("_norm", alone)).select("question_id", "table_name")
+    """Questions that name a table as a token of its own.
+
+    A name of letters and digits is a token, so it meets the tokens of the questions by
+    an equi-join; any other name is looked for in the text and its neighbours checked.
+    """
+    named = tables.withColumn("_name", F.lower("table_name"))
+    plain = F.col("_name").rlike(r"^[\p{L}\p{N}]+$")
+    tokens = F.array_distinct(F.regexp_extract_all("_norm", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    words = norm.select("question_id", F.explode(tokens).alias("_name"))
+    by_word = words.join(named.filter(plain), "_name").select("question_id", "table_name")
+    hits = contains_join(norm, "question_id", "_norm", named.filter(~plain), "_name")
+    texts = hits.select("question_id", "table_name", "_name").join(norm, "question_id")
+    alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("_name"), F.lit(r"\E(?![\p{L}\p{N}])"))
+    by_text = texts.filter(F.regexp_like("_norm", alone)).select("question_id", "table_name")
+    return by_word.unionByName(by_text)
 
 
 def score_tables(
@@ -203,7 +216,7 @@ def score_tables(
     table_name. ``relationships``: from_table, to_table, used only for questions that
     hint at a join, and only from tables that already score.
     """
-    norm = questions.select("question_id", normalise_text(F.col("text")).alias("_norm"))
+    norm = _normalised(questions)
 
     def signal(df: DataFrame, points: float) -> DataFrame:
         return df.select("question_id", "table_name", F.lit(points).alias("points"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import has_arabic, strip
+from tallyhouse.functions.text import has_arabic, let, strip
 
 # Fixed value: phrases that try to override instructions. The closing word boundary
 # means that a colon must be followed by a word character, and the opening one that
@@ -153,32 +153,32 @@ def screen_sql_log(
     A hit of the cheap checks (POL010, POL001, POL005) ends the screening, as does an
     empty text (POL009); system schemas and blocked features are looked at otherwise.
     """
-    sql = F.col("_sql")
-    injected = F.lit(False)
-    for pattern in SQL_INJECTION:
-        injected = injected | sql.rlike(pattern)
     features = r"(?i)\b(" + _any_of(blocked_features) + r")\b" if blocked_features else "(?!)"
 
     def present(*codes: Column) -> Column:
         return F.filter(F.array(*codes), lambda c: c.isNotNull())
 
-    # One projection per step, so that no pattern is tried twice on a statement.
-    stripped = df.withColumn("_sql", strip(F.coalesce(F.col(sql_col), F.lit(""))))
-    first = stripped.withColumn("_first", present(
-        F.when(injected, "POL010"),
-        F.when(first_keyword(sql).isin(*BLOCKED_KEYWORDS), "POL001"),
-        F.when(sql.rlike(DANGEROUS_FUNCTIONS), "POL005"),
-    ))
-    second = present(
-        F.when(sql.rlike(SYSTEM_SCHEMAS), "POL004"), F.when(sql.rlike(features), "POL014")
-    )
-    codes = (
-        F.when(F.length(sql) == 0, F.array(F.lit("POL009")))
-        .when(F.size("_first") > 0, F.col("_first"))
-        .otherwise(second)
-    )
-    screened = first.withColumn("codes", codes).drop("_sql", "_first")
-    return screened.withColumn("allowed", F.size("codes") == 0)
+    def cheap(sql: Column) -> Column:
+        injected = F.lit(False)
+        for pattern in SQL_INJECTION:
+            injected = injected | sql.rlike(pattern)
+        return present(
+            F.when(injected, "POL010"),
+            F.when(first_keyword(sql).isin(*BLOCKED_KEYWORDS), "POL001"),
+            F.when(sql.rlike(DANGEROUS_FUNCTIONS), "POL005"),
+        )
+
+    def rest(sql: Column) -> Column:
+        return present(
+            F.when(sql.rlike(SYSTEM_SCHEMAS), "POL004"), F.when(sql.rlike(features), "POL014")
+        )
+
+    def screened(sql: Column) -> Column:
+        early = let(cheap(sql), lambda codes: F.when(F.size(codes) > 0, codes).otherwise(rest(sql)))
+        return F.when(F.length(sql) == 0, F.array(F.lit("POL009"))).otherwise(early)
+
+    codes = let(strip(F.coalesce(F.col(sql_col), F.lit(""))), screened)
+    return df.withColumn("codes", codes).withColumn("allowed", F.size("codes") == 0)
 
 
 def route_intent(df: DataFrame, col: str) -> DataFrame:

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, Row, SparkSession
 
 # A lookup list may be inlined into a plan only up to this many rows.
-INLINE_ROWS = 256
+INLINE_ROWS = 512
 
 
 def build_session(app: str = "tallyhouse", cpus: str | None = None) -> SparkSession:
