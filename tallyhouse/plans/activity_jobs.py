@@ -243,7 +243,7 @@ def windowed_activity(t):
 def rate_limit_stream(t):
     out, checkpoint = _places(t, "limiter")
     stream = ST.rate_limit_stream(event_stream(t), 1, 86_400, id_col="event_id")
-    return ST.run_to_table(stream, out, checkpoint).select("key", "id", "allowed")
+    return ST.run_to_table(stream, out, checkpoint).select("key", F.col("id").cast("string").alias("id"), "allowed")
 
 
 @query(

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,16 +36,17 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Sliding-window limiter per key as a stream: key, id, ts, allowed.
 
-    State per key is the stored hits of one window, at most ``limit`` instants. Within a
+    Requests of one instant go by id. State per key is the stored hits of one window, at most ``limit`` instants. Within a
     micro-batch the rows of a key are taken in time order; bound the micro-batch with
     the source's rate options. A key idle for a day is dropped.
     """
     width = secs * SECOND
     rows = stream.select(
-        F.col(key).cast("string").alias("key"), F.col(id_col).cast("string").alias("id"),
+        F.col(key).cast("string").alias("key"), F.col(id_col).alias("id"),
         F.col(ts).cast("timestamp").alias("at"),
     ).withWatermark("at", late)
     rows = rows.withColumn("us", F.unix_micros("at"))
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def step(
         group: tuple, frames: Iterator[pd.DataFrame], state: GroupState
@@ -55,15 +55,10 @@ def rate_limit_stream(
             state.remove()
             return
         hits = list(state.get[0]) if state.exists else []
-        us = ids = None
-        for f in frames:
-            part_us, part_ids = f["us"].to_numpy(), f["id"].to_numpy()
-            us = part_us if us is None else np.concatenate([us, part_us])
-            ids = part_ids if ids is None else np.concatenate([ids, part_ids])
-        order = np.lexsort((ids.astype(str), us))
-        us, ids = us[order], ids[order]
+        batch = pd.concat(list(frames), ignore_index=True).sort_values(["us", "id"])
+        us = batch["us"].tolist()
         allowed, first = [], 0
-        for t in us.tolist():
+        for t in us:
             while first < len(hits) and hits[first] < t - width:
                 first += 1
             ok = len(hits) - first < limit
@@ -71,12 +66,12 @@ def rate_limit_stream(
                 hits.append(t)
             allowed.append(ok)
         state.update((hits[first:],))
-        idle_until = int(us[-1] // 1000) + IDLE_MS
+        idle_until = us[-1] // 1000 + IDLE_MS
         state.setTimeoutTimestamp(max(idle_until, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": group[0], "id": ids, "us": us, "allowed": allowed})
+        yield pd.DataFrame({"key": group[0], "id": batch["id"], "us": us, "allowed": allowed})
 
     return rows.groupBy("key").applyInPandasWithState(
-        step, "key string, id string, us bigint, allowed boolean", "hits array<bigint>",
+        step, f"key string, id {id_type}, us bigint, allowed boolean", "hits array<bigint>",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
 
