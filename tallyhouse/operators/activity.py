@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions.dates import micros
+from tallyhouse.operators.windows import running_sum
 from tallyhouse.session import materialize
 
 SECOND = 1_000_000
@@ -145,18 +146,13 @@ def peak_concurrency(
         F.struct(micros(F.col(end)).alias("us"), F.lit(-1).alias("delta")),
     )).alias("c")).select("_key", "c.*").filter(F.col("us").isNotNull())
     # Changes at one instant fold to one row per direction.
-    folded = changes.withColumn("s", F.floor(F.col("us") / (slice_seconds * SECOND)))
-    folded = folded.groupBy("_key", "s", "us", "delta").agg(F.sum("delta").alias("d"))
-    net = folded.groupBy("_key", "s").agg(F.sum("d").alias("_net"))
-    earlier = Window.partitionBy("_key").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    carry = net.select("_key", "s", F.coalesce(F.sum("_net").over(earlier), F.lit(0)).alias("_carry"))
-    running = Window.partitionBy("_key", "s").orderBy("us", "delta").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    folded = changes.groupBy("_key", "us", "delta").agg(F.sum("delta").alias("d"))
+    in_flight = running_sum(
+        folded, ["_key"], F.floor(F.col("us") / (slice_seconds * SECOND)),
+        [F.col("us"), F.col("delta")], F.col("d"), "live",
     )
-    local = folded.select("_key", "s", F.sum("d").over(running).alias("_run"))
-    joined = local.join(carry, ["_key", "s"])
-    peak = F.greatest(F.max(F.col("_run") + F.col("_carry")), F.lit(0))
-    return joined.groupBy(F.col("_key").alias(key)).agg(peak.alias("peak"))
+    peak = F.greatest(F.max("live"), F.lit(0).cast("long"))
+    return in_flight.groupBy(F.col("_key").alias(key)).agg(peak.alias("peak"))
 
 
 # --------------------------------------------------------------- limiter replay

@@ -238,7 +238,7 @@ def json_safe_q(t):
 )
 def redact_payload_q(t):
     sql = F.concat(F.lit("SELECT value FROM events WHERE event_id = "), F.col("event_id").cast("string"))
-    nested = t["events"].select(
+    nested = t.spread("events").select(
         "event_id", F.col("props").alias("token"),
         F.struct(sql.alias("sql"), F.col("event_type").alias("x")).alias("args"),
         F.array(F.struct(F.col("props").alias("password"), F.col("user_id").alias("y"))).alias("items"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import vectors as V
+from tallyhouse.operators.windows import running_sum
 from tallyhouse.plans.registry import query
 
 DIMS = 64
@@ -106,13 +107,15 @@ SPAN = 1_500
 
 def turn_tokens(t) -> DataFrame:
     """Turns of a conversation as the tokens of one long text, with character offsets."""
-    from pyspark.sql import Window
-
     size = F.length("text").cast("long")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    vector = F.array(size.cast("double"), F.col("turn").cast("double"))
-    return t["conversations"].withColumn("end", F.sum(size).over(w)).select(
-        F.col("conv_id").alias("doc_id"), (F.col("end") - size).alias("start"), "end", vector.alias("embedding")
+    ends = running_sum(
+        t["conversations"].select("conv_id", "turn", size.alias("size")), ["conv_id"],
+        F.floor(F.col("turn") / 1_000), [F.col("turn")], F.col("size"), "end",
+    )
+    vector = F.array(F.col("size").cast("double"), F.col("turn").cast("double"))
+    return ends.select(
+        F.col("conv_id").alias("doc_id"), (F.col("end") - F.col("size")).alias("start"), "end",
+        vector.alias("embedding"),
     )
 
 

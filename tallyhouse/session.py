@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 # A lookup list may be inlined into a plan only up to this many rows.
 INLINE_ROWS = 512
+# Temporary folders of local sessions that name no shared one, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def build_session(app: str = "tallyhouse", cpus: str | None = None) -> SparkSession:
@@ -38,11 +40,12 @@ def work_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tallyhouse-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tallyhouse-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

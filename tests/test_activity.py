@@ -186,3 +186,17 @@ def test_stream_screen_writes_apart(spark, work):
     bad = spark.read.parquet(f"{work}/out/rejected").collect()
     assert [(r["text"], r["token"]) for r in good] == [("hello", "[REDACTED]")]
     assert sorted(r["code"] for r in bad) == ["EMPTY_MESSAGE", "PROMPT_INJECTION"]
+
+
+def test_running_sum_equals_one_window(spark):
+    from pyspark.sql import Window
+
+    from tallyhouse.operators.windows import running_sum
+
+    r = random.Random(8)
+    rows = [("hot" if r.random() < 0.5 else None, i, r.randrange(-5, 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    got = running_sum(df, ["k"], F.floor(F.col("i") / 7), [F.col("i")], F.col("v"), "s")
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumn("s", F.sum("v").over(w))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
