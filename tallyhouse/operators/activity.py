@@ -182,30 +182,36 @@ def default_limits(
     ]
 
 
-def _busy_plan(rows: DataFrame, limit: int) -> DataFrame:
+def _busy_plan(rows: DataFrame, limit: int, width: int) -> DataFrame:
     """Which (key, bucket) pairs need a replay, and in which run.
 
     Buckets are one window wide, so a window reaches into its own bucket and the one
     before. Where the two hold no more rows than the limit, every row of the bucket is
     stored, whatever came before: the bucket is calm. A run is a maximal sequence of
     adjacent busy buckets; it begins with a state that is known, namely the rows of the
-    calm bucket before it (``lead_in``) or nothing.
+    calm bucket before it (``lead_in``) or nothing. A pause longer than the window parts
+    two neighbouring buckets as well.
     """
-    sizes = rows.groupBy("_key", "_b").agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy("_key", "_b").agg(
+        F.count("*").alias("_n"), F.min("_us").alias("_first"), F.max("_us").alias("_last")
+    )
     w = Window.partitionBy("_key").orderBy("_b")
-    adjacent = F.coalesce(F.lag("_b").over(w) == F.col("_b") - 1, F.lit(False))
+    adjacent = F.coalesce(F.col("_first") - F.lag("_last").over(w) <= width, F.lit(False))
+    followed = F.coalesce(F.lead("_first").over(w) - F.col("_last") <= width, F.lit(False))
     before = F.when(adjacent, F.lag("_n").over(w)).otherwise(0)
     marked = sizes.select(
-        "_key", "_b", adjacent.alias("_adj"), (before + F.col("_n") > limit).alias("_busy")
+        "_key", "_b", adjacent.alias("_adj"), followed.alias("_followed"),
+        (before + F.col("_n") > limit).alias("_busy"),
+        F.lead("_b").over(w).alias("_next"),
     )
     starts = F.col("_busy") & ~(F.col("_adj") & F.coalesce(F.lag("_busy").over(w), F.lit(False)))
     run = F.last(F.when(starts, F.col("_b")), ignorenulls=True).over(
         w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    next_busy = F.coalesce(F.lead("_busy").over(w) & (F.lead("_b").over(w) == F.col("_b") + 1), F.lit(False))
+    next_busy = F.col("_followed") & F.coalesce(F.lead("_busy").over(w), F.lit(False))
     runs = marked.select(
         "_key", "_b", "_busy",
-        F.when(F.col("_busy"), run).when(next_busy, F.col("_b") + 1).alias("_run"),
+        F.when(F.col("_busy"), run).when(next_busy, F.col("_next")).alias("_run"),
     )
     return runs.filter(F.col("_run").isNotNull())
 
@@ -251,7 +257,7 @@ def _pass_limit(rows: DataFrame, rule: Limit) -> DataFrame:
         "_b", F.floor(F.col("_us") / width)
     )
     keyed = keyed.withColumn("_key", F.coalesce("_key", F.lit("")))
-    plan = materialize(_busy_plan(keyed.select("_key", "_b"), rule.limit), f"busy-{rule.name}")
+    plan = materialize(_busy_plan(keyed.select("_key", "_b", "_us"), rule.limit, width), f"busy-{rule.name}")
     placed = keyed.join(plan, ["_key", "_b"], "left")
     calm = placed.filter(~F.coalesce("_busy", F.lit(False))).select(*rows.columns)
     # Both sides of a run: its busy rows, and the lead-in that sets its first state.

@@ -72,12 +72,14 @@ def violations_explode(t):
     return E.violations(audit(t))
 
 
-@query(
-    "phase_timings",
+PHASES_SQL = (
     "SELECT event_id AS request_id, CAST(floor(value) AS BIGINT) AS intent_ms, CAST(user_id AS BIGINT) AS context_ms, CAST(NULL AS BIGINT) AS llm_ms, "
     "CAST(json_extract_string(props, '$.k') AS BIGINT) AS sql_ms, CAST(0 AS BIGINT) AS present_ms, CAST(floor(value) AS BIGINT) + user_id + "
-    "CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_ms FROM events",
+    "CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_ms FROM events"
 )
+
+
+@query("phase_timings", PHASES_SQL)
 def phase_timings(t):
     return E.phase_timings(timed_events(t))
 
@@ -94,9 +96,20 @@ def timed_events(t) -> DataFrame:
     return t.spread("events").select(F.col("event_id").alias("request_id"), text.alias("timings_json"))
 
 
-@query("phase_summary")
+@query(
+    "phase_summary",
+    f"SELECT phase, COUNT(ms) AS requests, AVG(ms) AS mean_ms FROM (UNPIVOT ({PHASES_SQL}) ON intent_ms, context_ms, llm_ms, "
+    "sql_ms, present_ms, total_ms INTO NAME phase VALUE ms) u GROUP BY 1",
+)
 def phase_summary(t):
-    return E.phase_summary(E.phase_timings(timed_events(t)))
+    """Counts and means; the approximate percentiles have a query of their own."""
+    return E.phase_summary(E.phase_timings(timed_events(t))).select("phase", "requests", "mean_ms")
+
+
+@query("phase_percentiles")
+def phase_percentiles(t):
+    summary = E.phase_summary(E.phase_timings(timed_events(t)))
+    return summary.select("phase", "p50_ms", "p95_ms")
 
 
 def lifecycle_events(t) -> DataFrame:
@@ -180,7 +193,32 @@ def requests(t) -> DataFrame:
     )
 
 
-@query("rate_limit_replay")
+def _stage_sql(i: int, key: str, limit: int, seconds: int) -> str:
+    """One window of the chain: rows in time order per key, carrying the stored hits."""
+    live = f"[h for h in r.hits if h >= o.us - {seconds * 1_000_000}]"
+    return f"""
+o{i} AS (SELECT *, {key} AS k, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY us, event_id) AS rn FROM p{i - 1}),
+r{i} AS (SELECT k, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS hits, CAST(NULL AS BIGINT) AS event_id, FALSE AS ok FROM (SELECT DISTINCT k FROM o{i}) d
+  UNION ALL SELECT o.k, o.rn, CASE WHEN len({live}) < {limit} THEN list_append({live}, o.us) ELSE {live} END, o.event_id, len({live}) < {limit}
+  FROM r{i} r JOIN o{i} o ON o.k = r.k AND o.rn = r.rn + 1),
+p{i} AS (SELECT p.* FROM p{i - 1} p JOIN r{i} r ON r.event_id = p.event_id WHERE r.ok)"""
+
+
+REPLAY_SQL = (
+    "WITH RECURSIVE p0 AS (SELECT event_id, epoch_us(ts) AS us, user_id, json_extract_string(props, '$.k') AS ip, event_type FROM events),"
+    + ",".join([
+        _stage_sql(1, "user_id", 2, 3_600), _stage_sql(2, "ip", 3, 7_200),
+        _stage_sql(3, "user_id", 2, 86_400), _stage_sql(4, "event_type", 40, 86_400),
+    ])
+    + " SELECT event_id AS request_id, event_id IN (SELECT event_id FROM p4) AS allowed, CASE "
+    "WHEN event_id NOT IN (SELECT event_id FROM p1) THEN 'Per-user minute limit exceeded.' "
+    "WHEN event_id NOT IN (SELECT event_id FROM p2) THEN 'Per-IP minute limit exceeded.' "
+    "WHEN event_id NOT IN (SELECT event_id FROM p3) THEN 'Daily user limit exceeded.' "
+    "WHEN event_id NOT IN (SELECT event_id FROM p4) THEN 'Group limit exceeded: ' || event_type END AS reason FROM events"
+)
+
+
+@query("rate_limit_replay", REPLAY_SQL)
 def rate_limit_replay(t):
     """The whole chain of windows, with limits that fit a sparse log."""
     group = F.try_element_at("groups", F.lit(1))

@@ -316,7 +316,31 @@ def score_tables(t):
     )
 
 
-@query("pack_context")
+def _tokens_sql(c: str) -> str:
+    return f"CASE WHEN length({c}) = 0 THEN 0 ELSE greatest(1, CAST(floor(length({c}) * 0.5) AS BIGINT)) END"
+
+
+BREAK = "chr(10) || chr(10)"
+PACK_SQL = f"""
+WITH RECURSIVE s AS (SELECT conv_id AS question_id, role || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') AS name,
+  CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS priority, replace(text, chr(10), {BREAK}) AS content FROM conversations),
+o AS (SELECT question_id, name, content, {_tokens_sql('content')} AS size, string_split(content, {BREAK}) AS paras,
+  ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY priority, name) AS rn FROM s),
+p AS (SELECT *, [list_sum([{_tokens_sql('x')} for x in paras[1:i]]) for i in range(1, len(paras) + 1)] AS sums FROM o),
+r AS (SELECT question_id, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS parts, CAST([] AS VARCHAR[]) AS names, CAST(0 AS BIGINT) AS used, FALSE AS truncated
+  FROM (SELECT DISTINCT question_id FROM o) d
+UNION ALL SELECT question_id, rn, CASE WHEN part <> '' THEN list_append(parts, part) ELSE parts END,
+  CASE WHEN part <> '' THEN list_append(names, name) ELSE names END, CAST(used + {_tokens_sql('part')} AS BIGINT), truncated OR NOT whole FROM (
+  SELECT r.question_id, p.rn, r.parts, r.names, p.name, r.used, r.truncated, r.used + p.size <= 400 AS whole,
+    CASE WHEN r.used + p.size <= 400 THEN p.content WHEN 400 - r.used < 50 THEN ''
+    ELSE array_to_string(p.paras[1:len([c for c in p.sums if c <= 400 - r.used])], {BREAK}) END AS part
+  FROM r JOIN p ON p.question_id = r.question_id AND p.rn = r.rn + 1) x)
+SELECT question_id, array_to_string(parts, {BREAK}) AS context_text, array_to_string(names, ',') AS included,
+  CAST(used AS INTEGER) AS used_tokens, truncated FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY rn DESC) = 1
+"""
+
+
+@query("pack_context", PACK_SQL)
 def pack_context(t):
     sections = t.spread("conversations").select(
         F.col("conv_id").alias("question_id"), "role",
