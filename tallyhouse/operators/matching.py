@@ -63,7 +63,7 @@ def _by_word(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame) -
 def _by_start(
     texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, inline_rows: int
 ) -> DataFrame:
-    rows = bounded_rows(needles.select("_needle"), inline_rows)
+    rows = bounded_rows(needles.select("_needle"), inline_rows, "_needle")
     if rows is not None:
         return _inline_hits(texts, id_col, text_col, [r[0] for r in rows])
     anchored = needles.select("_needle", F.substring("_needle", 1, ANCHOR).alias("_anchor"))
@@ -96,7 +96,7 @@ def contains_join(
     """
     usable = needles.filter(F.length(needle_col) > 0)
     distinct = usable.select(F.col(needle_col).alias("_n")).distinct()
-    rows = bounded_rows(distinct, inline_rows)
+    rows = bounded_rows(distinct, inline_rows, "_n")
     if rows is not None:
         hits = _inline_hits(texts, id_col, text_col, [r[0] for r in rows])
     else:

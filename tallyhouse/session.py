@@ -7,9 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 # A lookup list may be inlined into a plan only up to this many rows.
 INLINE_ROWS = 512
+# ... and up to this many characters of text.
+INLINE_CHARS = 1_000_000
 # Temporary folders of local sessions that name no shared one, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -65,10 +68,17 @@ def fan_out(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS) -> list[Row] | None:
+def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS, text_col: str | None = None) -> list[Row] | None:
     """Rows of ``df`` if there are at most ``limit`` of them, else ``None``.
 
-    At most ``limit + 1`` rows reach the driver, whatever the size of ``df``.
+    At most ``limit + 1`` rows reach the driver, whatever the size of ``df``. With
+    ``text_col`` the rows are fetched only after the length of their texts was found to
+    be within ``INLINE_CHARS`` as well.
     """
-    rows = df.limit(limit + 1).collect()
+    head = df.limit(limit + 1)
+    if text_col is not None:
+        n, chars = head.agg(F.count("*"), F.sum(F.length(text_col))).first()
+        if n > limit or (chars or 0) > INLINE_CHARS:
+            return None
+    rows = head.collect()
     return rows if len(rows) <= limit else None
