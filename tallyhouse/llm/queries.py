@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhouse.llm import bpe
+from tallyhouse.llm import bpe, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -16,7 +16,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_tables(spark, sf_dir)["documents"], bpe.public_path(WORD_VOCABULARY))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read_tables(spark, sf_dir)
+    return toxicity.toxicity(t["documents"], t["labels"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op7_toxicity": op7_toxicity,
 }
 SQL: dict[str, str] = {}
