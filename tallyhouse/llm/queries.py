@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, toxicity
+from tallyhouse.llm import bpe, templates, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +17,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_tables(spark, sf_dir)["documents"], bpe.public_path(WORD_VOCABULARY))
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_tables(spark, sf_dir)["documents"].select("doc_id", "text")
+    kept = templates.drop_recurring_lines(docs, dropped_col="dropped")
+    return kept.select("doc_id", F.size("dropped").alias("n_dropped"), "text")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_tables(spark, sf_dir)
     return toxicity.toxicity(t["documents"], t["labels"])
@@ -23,6 +30,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_line_templates": op3_line_templates,
     "op7_toxicity": op7_toxicity,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_line_templates": templates.SQL,
+}
