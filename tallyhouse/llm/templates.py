@@ -10,9 +10,10 @@ Equal texts count as one document. A document most of whose tokens lie in recurr
 a copy as a whole: it is left to document-level dedup in so far as no vote comes from it, so
 lines that recur only among such copies stay.
 
-Only DataFrame functions are used. Null and empty texts stay as they are; a text of which
-every line goes becomes empty; lines of fewer than ``min_tokens`` tokens always stay.
-Repeated rows are treated alike. Other columns pass through.
+Only DataFrame functions are used. Null and empty texts stay as they are, and so does a text
+of which every token would go: it is nothing but copies, of which document-level dedup keeps
+one. Lines of fewer than ``min_tokens`` tokens always stay. Repeated rows are treated alike.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -106,8 +107,12 @@ def recurring_lines(
         inside.join(totals, ["ka", "kb"]).filter(F.col("inside") > copy_share * F.col("total")).select("ka", "kb"), "whole-copies"
     )
     dropped = recurrent(found.join(copies, ["ka", "kb"], "left_anti"))
-    drop = found.join(dropped, ["leaf", "template"], "left_semi")
-    return materialize(drop.groupBy("ka", "kb").agg(F.array_sort(F.collect_set("i")).alias("drop")), "dropped-lines")
+    drop = (
+        found.join(dropped, ["leaf", "template"], "left_semi")
+        .groupBy("ka", "kb").agg(F.array_sort(F.collect_set("i")).alias("drop"), F.sum("n").alias("gone"))
+        .join(totals, ["ka", "kb"]).filter(F.col("gone") < F.col("total"))
+    )
+    return materialize(drop.select("ka", "kb", "drop"), "dropped-lines")
 
 
 def drop_recurring_lines(
@@ -157,7 +162,9 @@ copies AS (
   SELECT t FROM (SELECT t, sum(n) AS inside FROM found JOIN first USING (lead, n, template) GROUP BY t)
   JOIN (SELECT t, sum(len(w)) AS total FROM every GROUP BY t) USING (t) WHERE inside > {COPY_SHARE} * total),
 gone AS (SELECT lead, n, template FROM found ANTI JOIN copies USING (t) GROUP BY ALL HAVING count(DISTINCT t) >= {MIN_DOCS}),
-drops AS (SELECT t, list(DISTINCT i) AS gone FROM found JOIN gone USING (lead, n, template) GROUP BY t)
+drops AS (
+  SELECT t, gone FROM (SELECT t, list(DISTINCT i) AS gone, sum(n) AS inside FROM found JOIN gone USING (lead, n, template) GROUP BY t)
+  JOIN (SELECT t, sum(len(w)) AS total FROM every GROUP BY t) USING (t) WHERE inside < total)
 SELECT doc_id, CAST(coalesce(len(gone), 0) AS INTEGER) AS n_dropped,
   CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(
     list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]), chr(10)), '') END AS text
