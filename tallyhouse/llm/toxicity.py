@@ -14,6 +14,8 @@ kinds of labels every text scores 0.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -120,8 +122,13 @@ def _log_odds(owner: np.ndarray, row: np.ndarray, labels: np.ndarray, size: int)
     feature, label = pairs // len(labels), labels[pairs % len(labels)]
     bad = np.bincount(feature, weights=label, minlength=size)
     rows = np.bincount(feature, minlength=size)
+    return _odds(bad, rows, labels), rows
+
+
+def _odds(bad: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log odds from the rows of label 1 and all rows that hold a feature, less for few rows."""
     odds = np.log((bad + 0.5) / (labels.sum() + 1)) - np.log((rows - bad + 0.5) / (len(labels) - labels.sum() + 1))
-    return np.clip(odds * rows / (rows + 5) / 2, -2, 2).astype(np.float32), rows
+    return np.clip(odds * rows / (rows + 5) / 2, -2, 2).astype(np.float32)
 
 
 def _sums(owner: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -312,16 +319,18 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     chosen = chosen[np.argsort(-np.abs(odds[chosen]), kind="stable")]
     model.words = Lookup(block.words[chosen])
     model.word_vectors = _vectors(odds[chosen][model.words.known], WORD_DIMS, rng)
-    # Runs count once per row in which a word holds them.
+    # Runs count once per row in which a word holds them; rows are worked on a few at a time.
     order = np.argsort(block.run_word, kind="stable")
     run_hash, run_at = np.unique(block.runs, return_inverse=True)
     run_count = np.bincount(block.run_word, minlength=len(block.words))
     run_start = np.cumsum(run_count) - run_count
-    pair = np.unique(row_of.astype(np.int64) * len(block.words) + block.at)
-    prow, pword = pair // len(block.words), pair % len(block.words)
-    reps = run_count[pword]
-    place = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(run_start[pword], reps)
-    odds, rows = _log_odds(run_at[order][place], np.repeat(prow, reps), y, len(run_hash))
+    bad, rows = np.zeros(len(run_hash)), np.zeros(len(run_hash))
+    for i in range(len(texts)):
+        own = np.unique(block.at[block.bounds[i] : block.bounds[i + 1]])
+        held = np.unique(run_at[order[_ranges(run_start[own], run_count[own])[1]]])
+        rows[held] += 1
+        bad[held] += y[i]
+    odds = _odds(bad, rows, y)
     chosen = np.flatnonzero(rows >= RUN_ROWS)
     chosen = chosen[np.argsort(-np.abs(odds[chosen]), kind="stable")]
     model.runs = Lookup(run_hash[chosen])
@@ -447,18 +456,25 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
     """At most ``rows`` labelled rows of each label with texts up to ``chars``, chosen by hash of the
     id; held-out rows are left out. Ids of contradicting labels count as labelled 1."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.select("doc_id", "text").filter(F.length("text").between(1, chars))
-    joined = short.join(known, "doc_id").select("doc_id", "text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
-    drawn = [
-        r
-        for label in (0, 1)
-        for r in joined.filter(F.col("toxic") == label).orderBy("h", "doc_id").limit(rows).select("text", "toxic").collect()
-    ]
-    return [r.text for r in drawn], [int(r.toxic) for r in drawn]
+    joined = short.join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
+    drawn = [joined.filter(F.col("toxic") == label).orderBy("h", "text").limit(rows) for label in (0, 1)]
+    return drawn[0].unionByName(drawn[1])
+
+
+def fit(rows: DataFrame) -> Model:
+    """Train on a bounded sample, in one task; the model comes back pickled."""
+
+    def run(batches):
+        drawn = sorted((h, t, y) for b in batches for h, t, y in zip(b["h"].to_pylist(), b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True))
+        model = train([t for _, t, _ in drawn], [int(y == 1) for _, _, y in drawn])
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+
+    return pickle.loads(rows.select("h", "text", "toxic").coalesce(1).mapInArrow(run, "model binary").first().model)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -480,7 +496,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score and verdict of every document, by a network trained on the labelled ones."""
-    model = train(*sample(docs, labels))
+    model = fit(sample(docs, labels))
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
