@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, templates, toxicity
+from tallyhouse.llm import bpe, minhash, templates, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -23,6 +23,10 @@ def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.size("dropped").alias("n_dropped"), "text")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_tables(spark, sf_dir)["documents"])
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_tables(spark, sf_dir)
     return toxicity.toxicity(t["documents"], t["labels"])
@@ -31,6 +35,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_templates": op3_line_templates,
+    "op5_minhash": op5_minhash,
     "op7_toxicity": op7_toxicity,
 }
 SQL: dict[str, str] = {
