@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, minhash, templates, toxicity
+from tallyhouse.llm import bpe, minhash, mixing, templates, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -32,11 +32,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(t["documents"], t["labels"])
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.source_mix(read_tables(spark, sf_dir)["documents"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_templates": op3_line_templates,
     "op5_minhash": op5_minhash,
     "op7_toxicity": op7_toxicity,
+    "op9_mixing": op9_mixing,
 }
 SQL: dict[str, str] = {
     "op3_line_templates": templates.SQL,
