@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, minhash, mixing, templates, toxicity
+from tallyhouse.llm import bpe, html, minhash, mixing, templates, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_tables(spark, sf_dir)["documents"])
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(read_tables(spark, sf_dir)["pages"])
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read_tables(spark, sf_dir)
     return toxicity.toxicity(t["documents"], t["labels"])
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_templates": op3_line_templates,
     "op5_minhash": op5_minhash,
+    "op6_main_text": op6_main_text,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
 }
