@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, html, minhash, mixing, templates, toxicity
+from tallyhouse.llm import bpe, html, minhash, mixing, syncmers, templates, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.source_mix(read_tables(spark, sf_dir)["documents"])
 
 
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compared(read_tables(spark, sf_dir)["documents"].select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_line_templates": op3_line_templates,
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_main_text": op6_main_text,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_syncmers": op10_syncmers,
 }
 SQL: dict[str, str] = {
     "op3_line_templates": templates.SQL,
