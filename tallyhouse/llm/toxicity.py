@@ -460,10 +460,13 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: i
     """At most ``rows`` labelled rows of each label with texts up to ``chars``, chosen by hash of the
     id; held-out rows are left out. Ids of contradicting labels count as labelled 1."""
     known = labels.filter(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.select("doc_id", "text").filter(F.length("text").between(1, chars))
-    joined = short.join(known, "doc_id").select("text", "toxic", F.xxhash64("doc_id", "text").alias("h"))
-    drawn = [joined.filter(F.col("toxic") == label).orderBy("h", "text").limit(rows) for label in (0, 1)]
-    return drawn[0].unionByName(drawn[1])
+    mark = F.xxhash64("doc_id", "text").alias("h")
+    short = docs.filter(F.length("text").between(1, chars)).select("doc_id", mark)
+    joined = short.join(known, "doc_id")
+    drawn = [joined.filter(F.col("toxic") == label).orderBy("h", "doc_id").limit(rows) for label in (0, 1)]
+    # Ids and hashes of at most 2 * rows rows; only their texts are fetched.
+    ids = F.broadcast(drawn[0].unionByName(drawn[1]).distinct())
+    return docs.select("doc_id", "text", mark).join(ids, ["doc_id", "h"]).select("text", "toxic", "h")
 
 
 def fit(rows: DataFrame) -> Model:
