@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, html, minhash, mixing, syncmers, templates, toxicity
+from tallyhouse.llm import bpe, html, imi, minhash, mixing, sharding, syncmers, templates, tokenfiles, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,15 +45,32 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.compared(read_tables(spark, sf_dir)["documents"].select("doc_id", "text"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.counted(read_tables(spark, sf_dir)["documents"], bpe.public_path(BYTE_VOCABULARY))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(read_tables(spark, sf_dir)["documents"])
+
+
+def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_tables(spark, sf_dir)["embeddings"].select("vec_id", "embedding")
+    return imi.search(rows, rows.filter(F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_token_counts": op2_token_counts,
     "op3_line_templates": op3_line_templates,
+    "op4_sharding": op4_sharding,
     "op5_minhash": op5_minhash,
     "op6_main_text": op6_main_text,
     "op7_toxicity": op7_toxicity,
+    "op8_multi_index": op8_multi_index,
     "op9_mixing": op9_mixing,
     "op10_syncmers": op10_syncmers,
 }
 SQL: dict[str, str] = {
     "op3_line_templates": templates.SQL,
+    "op4_sharding": sharding.SQL,
 }
