@@ -1,104 +1,82 @@
-"""Substring joins between a large text column and a list of needles.
-
-Three exact ways, chosen by size and shape:
-
-* a short list is inlined into the plan and tested in the scan's own tasks, so the
-  texts are neither shuffled nor repeated;
-* in a longer list, a needle of several words is found by a word that lies inside it
-  with other characters on both sides: a text that holds the needle holds that word as
-  a token of its own, so words meet by an equi-join and the candidates are verified;
-* a needle without such a word is found by its first characters, met by an equi-join
-  with the character runs of the texts, and verified too.
-
-No pair of text and needle is formed unless they share an anchor.
+"""Substring joins between a large text column and a list of needles, in one exact way.
+
+Texts and needles are read as runs: maximal stretches of word characters, and of other
+characters. A run that lies inside a needle, with runs on both sides, is a whole run of every
+text that holds the needle. So a needle with inner words is looked for where its rarest inner
+word stands, by an equi-join; document frequency decides which one that is, and a needle with
+an inner word that no text has is out at once. Of a needle without inner words the longest
+edge run is met with the distinct vocabulary of the texts, which grows far slower than they
+do, by an equi-join on its first characters.
+
+Candidates are verified against the text. Texts are told apart by their content, so equal
+texts are tested once and ids may be null or repeated. No pair of text and needle is formed
+unless they share an anchor.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import WORD_CHAR
-from tallyhouse.session import INLINE_ROWS, bounded_rows
 
+# Characters of an edge run by which it meets the vocabulary.
 ANCHOR = 8
 NOT_WORD = "[^" + WORD_CHAR[1:]
-INNER_WORD = f"(?<={NOT_WORD})({WORD_CHAR}+)(?={NOT_WORD})"
+RUNS = f"({WORD_CHAR}+|{NOT_WORD}+)"
+
+
+def runs(c: Column) -> Column:
+    """A text as its runs of word characters and of others, in turn."""
+    return F.regexp_extract_all(c, F.lit(RUNS), F.lit(1))
+
+
+def is_word(c: Column) -> Column:
+    return c.rlike(f"^{WORD_CHAR}")
 
 
 def character_runs(c: Column, length: int) -> Column:
-    """Every run of ``length`` characters in a text, overlapping, in one linear pass."""
+    """Every stretch of ``length`` characters in a text, overlapping, in one linear pass."""
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
-def _no_hits(texts: DataFrame, id_col: str) -> DataFrame:
-    return texts.select(id_col, F.lit("").alias("_needle")).limit(0)
-
-
-def _inline_hits(texts: DataFrame, id_col: str, text_col: str, needles: list[str]) -> DataFrame:
-    if not needles:
-        return _no_hits(texts, id_col)
-    listed = F.from_json(F.lit(json.dumps(needles)), "array<string>")
-    found = F.filter(listed, lambda n: F.contains(F.col(text_col), n))
-    return texts.select(id_col, F.explode(found).alias("_needle"))
-
-
-def _verified(
-    tokens: Column, anchored: DataFrame, texts: DataFrame, id_col: str, text_col: str
-) -> DataFrame:
-    """Needles whose anchor is among a text's tokens and that do occur in the text."""
-    exploded = texts.select(id_col, F.explode(F.array_distinct(tokens)).alias("_anchor"))
-    candidates = exploded.join(anchored, "_anchor").select(id_col, "_needle")
-    checked = candidates.join(texts.select(id_col, text_col), id_col)
-    return checked.filter(F.contains(F.col(text_col), F.col("_needle"))).select(id_col, "_needle")
-
-
-def _by_word(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame) -> DataFrame:
-    tokens = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_CHAR}+)"), F.lit(1))
-    return _verified(tokens, needles, texts, id_col, text_col)
-
-
-def _by_start(
-    texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, inline_rows: int
-) -> DataFrame:
-    rows = bounded_rows(needles.select("_needle"), inline_rows, "_needle")
-    if rows is not None:
-        return _inline_hits(texts, id_col, text_col, [r[0] for r in rows])
-    anchored = needles.select("_needle", F.substring("_needle", 1, ANCHOR).alias("_anchor"))
-    # Anchors have at most ANCHOR different lengths, so at most that many rows come back.
-    lengths = [r[0] for r in anchored.select(F.length("_anchor")).distinct().collect()]
-    runs = F.concat(*[character_runs(F.col(text_col), n) for n in sorted(lengths)])
-    return _verified(runs, anchored, texts, id_col, text_col)
-
-
-def _anchored_hits(
-    texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, inline_rows: int
-) -> DataFrame:
-    inner = F.regexp_extract_all("_n", F.lit(INNER_WORD), F.lit(1))
-    sized = F.transform(inner, lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
-    marked = needles.select(F.col("_n").alias("_needle"), F.array_max(sized)["word"].alias("_anchor"))
-    words = marked.filter(F.col("_anchor").isNotNull())
-    rest = marked.filter(F.col("_anchor").isNull()).select("_needle")
-    return _by_word(texts, id_col, text_col, words).unionByName(
-        _by_start(texts, id_col, text_col, rest, inline_rows)
+def _exact_anchors(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(needle, run): the rarest inner word of each needle that has some, all of them known."""
+    inner = parts.filter(F.size("_inner") > 0).select("_needle", F.explode(F.array_distinct("_inner")).alias("_run"))
+    met = inner.join(vocabulary, "_run", "left").groupBy("_needle").agg(
+        F.min_by("_run", F.struct("_texts", "_run")).alias("_run"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")
     )
+    return met.filter(F.col("_least") > 0).select("_needle", "_run")
+
 
+def _edge_anchors(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(needle, run): every run of the texts that holds the longest edge run of a needle without
+    inner words."""
+    ends = F.array(F.element_at("_runs", 1), F.element_at("_runs", -1))
+    sized = F.transform(ends, lambda r: F.struct(is_word(r).alias("w"), F.length(r).alias("n"), r.alias("run")))
+    loose = parts.filter(F.size("_inner") == 0).select("_needle", F.array_max(sized)["run"].alias("_edge"))
+    loose = loose.withColumn("_start", F.substring("_edge", 1, ANCHOR))
+    starts = F.array_distinct(F.concat(*[character_runs(F.col("_run"), n) for n in range(1, ANCHOR + 1)]))
+    known = vocabulary.select("_run", F.explode(starts).alias("_start"))
+    return known.join(loose, "_start").filter(F.contains("_run", "_edge")).select("_needle", "_run")
 
-def contains_join(
-    texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str,
-    inline_rows: int = INLINE_ROWS,
-) -> DataFrame:
+
+def contains_join(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
     """Pairs of a text's id and a needle's row where the needle occurs in the text.
 
-    ``id_col`` identifies a text. Null and empty needles match nothing.
+    One row per row of ``texts`` and row of ``needles`` that match; ids may be null or repeated.
+    Null and empty needles, and null texts, match nothing.
     """
     usable = needles.filter(F.length(needle_col) > 0)
-    distinct = usable.select(F.col(needle_col).alias("_n")).distinct()
-    rows = bounded_rows(distinct, inline_rows, "_n")
-    if rows is not None:
-        hits = _inline_hits(texts, id_col, text_col, [r[0] for r in rows])
-    else:
-        hits = _anchored_hits(texts, id_col, text_col, distinct, inline_rows)
+    parts = usable.select(F.col(needle_col).alias("_needle")).distinct().withColumn("_runs", runs(F.col("_needle")))
+    parts = parts.withColumn("_inner", F.filter(F.expr("slice(_runs, 2, greatest(size(_runs) - 2, 0))"), is_word))
+    keyed = texts.filter(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key")
+    )
+    postings = keyed.select("_key", F.explode(F.array_distinct(runs(F.col("_text")))).alias("_run"))
+    vocabulary = postings.groupBy("_run").agg(F.count("*").alias("_texts"))
+    anchors = _exact_anchors(parts, vocabulary).unionByName(_edge_anchors(parts, vocabulary))
+    candidates = postings.join(anchors, "_run").select("_key", "_needle").distinct()
+    bodies = keyed.select("_key", "_id", "_text")
+    hits = bodies.join(candidates, "_key").filter(F.contains("_text", "_needle")).select(F.col("_id").alias(id_col), "_needle")
     return hits.join(usable.withColumn("_needle", F.col(needle_col)), "_needle").drop("_needle")

@@ -74,19 +74,28 @@ def test_clean_answer(spark):
     assert col(spark, [text, None, "  a \n"], S.clean_answer) == ["Top rows\nok", "", "a"]
 
 
-def test_contains_join_all_ways_agree(spark):
+def test_contains_join_agrees_with_search(spark):
     r = random.Random(1)
     words = ["ab", "abc", "b", "café", "العملاء", "x_1", "zz top", "Q"]
     texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 14))) + r.choice(["", "."]) for _ in range(60)]
     needles = sorted({t[i:i + n] for t in texts for i, n in [(r.randrange(0, 6), r.randrange(1, 25))] if t[i:i + n]})
-    needles += ["not there at all", "𝄞 clef"]
+    needles += ["not there at all", "𝄞 clef", " ", "b zz", "."]
     texts.append("a 𝄞 clef and 𝄞")
     a = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     b = spark.createDataFrame([(i, n) for i, n in enumerate(needles)] + [(-1, ""), (-2, None)], "k int, n string")
     want = {(i, k) for i, t in enumerate(texts) for k, n in enumerate(needles) if n in t}
-    for inline in (1_000, 20, 0):
-        rows = contains_join(a, "id", "t", b, "n", inline_rows=inline).select("id", "k").collect()
-        assert len(rows) == len(want) and {tuple(x) for x in rows} == want, inline
+    rows = contains_join(a, "id", "t", b, "n").select("id", "k").collect()
+    assert len(rows) == len(want) and {tuple(x) for x in rows} == want
+
+
+def test_contains_join_keeps_null_and_repeated_ids(spark):
+    texts = spark.createDataFrame([(1, "one two three"), (1, "one two four"), (None, "one two three"), (2, None)], "id int, t string")
+    needles = spark.createDataFrame([("a", "two"), ("b", "one two"), ("c", "two"), ("d", None)], "k string, n string")
+    rows = contains_join(texts, "id", "t", needles, "n").select("id", "k").collect()
+    want = [(i, k) for i in (1, 1, None) for k in "abc"]
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
+    assert contains_join(texts, "id", "t", needles.limit(0), "n").count() == 0
+    assert contains_join(texts.limit(0), "id", "t", needles, "n").count() == 0
 
 
 TERMS = [
