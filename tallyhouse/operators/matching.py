@@ -52,7 +52,7 @@ def _exact_anchors(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def _edge_anchors(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(needle, run): every run of the texts that holds the longest edge run of a needle without
     inner words."""
-    ends = F.array(F.element_at("_runs", 1), F.element_at("_runs", -1))
+    ends = F.array(F.try_element_at("_runs", F.lit(1)), F.try_element_at("_runs", F.lit(-1)))
     sized = F.transform(ends, lambda r: F.struct(is_word(r).alias("w"), F.length(r).alias("n"), r.alias("run")))
     loose = parts.filter(F.size("_inner") == 0).select("_needle", F.array_max(sized)["run"].alias("_edge"))
     loose = loose.withColumn("_start", F.substring("_edge", 1, ANCHOR))

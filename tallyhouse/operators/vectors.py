@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -12,15 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.operators.limits import top_k
-from tallyhouse.session import bounded_rows
-
-# Query vectors held by one task at a time.
-QUERY_BLOCK = 1_024
-# Corpus rows met by one query block in one group, when queries come in many blocks.
-CORPUS_BLOCK = 65_536
-# Distances are compared at this precision, so that equal vectors tie whatever the
-# order in which their products were added.
-DIGITS = 9
+
+# Query vectors that visit the corpus together.
+QUERY_BLOCK = 4_096
+# Corpus rows compared at a time within a task.
+STEP = 1_024
+# More than the rounding of a matrix product can amount to.
+MARGIN = 1e-9
 MISSING_DISTANCE = 999.0
 
 
@@ -30,23 +27,38 @@ def _unit(rows) -> np.ndarray:
     return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
 
 
-def _nearest(ids: np.ndarray, distances: np.ndarray, n: int) -> np.ndarray:
-    """Positions of the ``n`` least (distance, id) pairs."""
-    if len(distances) > n:
-        kth = np.partition(distances, n - 1)[n - 1]
-        pos = np.flatnonzero(distances <= kth)
-    else:
-        pos = np.arange(len(distances))
-    return pos[np.lexsort((ids[pos], distances[pos]))][:n]
-
-
-def _block_hits(q_ids, q_unit: np.ndarray, ids: np.ndarray, unit: np.ndarray, n: int) -> pd.DataFrame:
-    distances = np.round(1.0 - q_unit @ unit.T, DIGITS)
-    out = []
-    for i, q in enumerate(q_ids):
-        pos = _nearest(ids, distances[i], n)
-        out.append(pd.DataFrame({"query_id": q, "id": ids[pos], "distance": distances[i][pos]}))
-    return pd.concat(out, ignore_index=True)
+class _Best:
+    """The ``n`` least (distance, id) pairs of every query so far."""
+
+    def __init__(self, queries: int, n: int) -> None:
+        self.n, self.edge = n, np.full(queries, np.inf)
+        self.q, self.ids, self.d = np.zeros(0, np.int64), None, np.zeros(0)
+
+    def add(self, ids: np.ndarray, asked: np.ndarray, unit: np.ndarray) -> None:
+        """Take in rows. A matrix product finds who may be near; their distances are summed pair by
+        pair in one order, so that equal vectors tie."""
+        rough, edge = 1.0 - asked @ unit.T, self.edge
+        if len(ids) > self.n:
+            edge = np.minimum(edge, np.partition(rough, self.n - 1, axis=1)[:, self.n - 1])
+        q, at = np.nonzero(rough <= edge[:, None] + MARGIN)
+        if not len(q):
+            return
+        d = 1.0 - np.einsum("ij,ij->i", asked[q], unit[at])
+        q, d = np.concatenate([self.q, q]), np.concatenate([self.d, d])
+        ids = ids[at] if self.ids is None else np.concatenate([self.ids, ids[at]])
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], d, q))
+        q, d, ids = q[order], d[order], ids[order]
+        first = np.searchsorted(q, q, side="left")
+        keep = np.arange(len(q)) - first < self.n
+        self.q, self.d, self.ids = q[keep], d[keep], ids[keep]
+        count = np.bincount(self.q, minlength=len(self.edge))
+        full = count >= self.n
+        self.edge[full] = self.d[np.cumsum(count)[full] - 1]
+
+
+def _usable(rows: DataFrame, dims: int) -> DataFrame:
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    return rows.filter((F.size("embedding") == dims) & F.coalesce(whole, F.lit(False)))
 
 
 def vector_search(
@@ -55,10 +67,11 @@ def vector_search(
     """Nearest ``n`` corpus rows per query by cosine distance, ties by id; exact.
 
     ``queries``: query_id, embedding. ``corpus``: id, embedding and, for ``kind``, kind.
-    Each task keeps the best ``n`` of its own rows per query, so what is shuffled grows
-    with queries x tasks and never with queries x corpus. A bounded set of queries
-    visits the corpus where it lies; a larger one is split into blocks that meet
-    corpus blocks of bounded size.
+    Vectors that are null, hold a null or differ in length from the first query's take no
+    part. Queries come to the driver a block at a time and visit the corpus where it
+    lies: the corpus is never shuffled. Each task keeps a running best ``n`` per query of
+    its block, so what is shuffled grows with queries x tasks and never with queries x
+    corpus.
     """
     if kind is not None:
         corpus = corpus.filter(F.col("kind") == kind)
@@ -69,44 +82,35 @@ def vector_search(
         T.StructField("id", types["id"]),
         T.StructField("distance", T.DoubleType()),
     ])
-    small = bounded_rows(queries.select("query_id", "embedding"), QUERY_BLOCK)
-    if small is not None:
-        q_ids = [r["query_id"] for r in small]
-        q_unit = _unit([r["embedding"] for r in small]) if small else None
+    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    head = asked.select(F.size("embedding").alias("n")).first()
+    dims = head["n"] if head else 0
+
+    def visit(block: list) -> DataFrame:
+        q_ids = np.array([r["query_id"] for r in block])
+        shared = rows.sparkSession.sparkContext.broadcast((q_ids, _unit([r["embedding"] for r in block])))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids_of, unit = shared.value
+            best = _Best(len(ids_of), n)
             for b in batches:
-                if len(b) and q_unit is not None:
-                    yield _block_hits(q_ids, q_unit, b["id"].to_numpy(), _unit(b["embedding"]), n)
-
-        local = rows.mapInPandas(scan, schema)
-    else:
-        local = _blocked_search(queries, rows, n, schema)
-    return top_k(local, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], n)
-
-
-def _blocked_search(queries: DataFrame, rows: DataFrame, n: int, schema: T.StructType) -> DataFrame:
-    q_blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
-    c_blocks = max(1, ceil(rows.count() / CORPUS_BLOCK))
-
-    def spread(df: DataFrame, id_col: str, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        every = F.explode(F.sequence(F.lit(0), F.lit(other_n - 1)))
-        return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(own_n)).cast("int")).withColumn(
-            other, every
-        )
-
-    q = spread(queries.select("query_id", "embedding"), "query_id", "qb", q_blocks, "cb", c_blocks)
-    c = spread(rows, "id", "cb", c_blocks, "qb", q_blocks)
+                ids = b["id"].to_numpy()
+                for a in range(0, len(b), STEP):
+                    best.add(ids[a : a + STEP], unit, _unit(b["embedding"][a : a + STEP]))
+            if best.ids is not None:
+                yield pd.DataFrame({"query_id": ids_of[best.q], "id": best.ids, "distance": best.d})
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        return _block_hits(
-            list(left["query_id"]), _unit(left["embedding"]), right["id"].to_numpy(),
-            _unit(right["embedding"]), n,
-        )
+        return _usable(rows, dims).mapInPandas(scan, schema)
 
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(meet, schema)
+    found = rows.sparkSession.createDataFrame([], schema)
+    block: list = []
+    for r in _usable(asked, dims).toLocalIterator():
+        block.append(r)
+        if len(block) == QUERY_BLOCK:
+            found, block = found.unionByName(visit(block)), []
+    if block:
+        found = found.unionByName(visit(block))
+    return top_k(found, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], n)
 
 
 def multi_search(
@@ -139,17 +143,19 @@ def embed_once(
 ) -> DataFrame:
     """Attach the vector of each text; the model sees every distinct text once.
 
-    Texts fold to one row per SHA-256 before the model call, with map-side combine.
+    Texts fold to one row per SHA-256 before the model call, with map-side combine. Null
+    texts have no vector and pass by the join, so they do not meet in one task.
     """
-    keyed = df.withColumn("_sha", F.sha2(F.col(col), 256))
-    texts = keyed.filter(F.col(col).isNotNull()).groupBy("_sha").agg(F.first(col).alias("_text"))
+    keyed = df.filter(F.col(col).isNotNull()).withColumn("_sha", F.sha2(F.col(col), 256))
+    nothing = df.filter(F.col(col).isNull()).withColumn(out, F.lit(None).cast("array<float>"))
+    texts = keyed.groupBy("_sha").agg(F.first(col).alias("_text"))
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"_sha": b["_sha"], out: list(embed_fn(list(b["_text"])))})
 
     vectors = texts.mapInPandas(embed, f"_sha string, `{out}` array<float>")
-    return keyed.join(vectors, "_sha", "left").drop("_sha")
+    return keyed.join(vectors, "_sha").drop("_sha").unionByName(nothing)
 
 
 def span_mean_pool(
@@ -181,9 +187,11 @@ def span_mean_pool(
 def collection_stats(docs: DataFrame, samples: int = 2) -> DataFrame:
     """Documents per collection and the first few ids of each.
 
-    ``docs``: collection, id. Only ``samples`` rows per collection are ever gathered.
+    ``docs``: collection, id. Only ``samples`` rows per collection are ever gathered. A
+    null collection is a collection too.
     """
     counts = docs.groupBy("collection").agg(F.count("*").alias("documents"))
     first = top_k(docs.select("collection", "id"), ["collection"], [F.col("id").asc()], samples)
     lists = first.groupBy("collection").agg(F.sort_array(F.collect_list("id")).alias("sample_ids"))
-    return counts.join(lists, "collection")
+    lists = lists.withColumnRenamed("collection", "_c")
+    return counts.join(lists, F.col("collection").eqNullSafe(F.col("_c"))).drop("_c")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import vectors as V
@@ -23,6 +23,11 @@ def centroids(t) -> DataFrame:
     return t["embeddings"].groupBy(F.col("label").alias("query_id")).agg(F.array(*means).alias("embedding"))
 
 
+def shown(hits: DataFrame) -> DataFrame:
+    """Distances as they are compared with other engines; ranks are by the exact ones."""
+    return hits.withColumn("distance", F.round("distance", 9))
+
+
 _DOT = "list_inner_product(q.v, c.v)"
 _NORMS = "sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(c.v, c.v))"
 BASE_SQL = f"""
@@ -31,25 +36,42 @@ WITH c AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label,
 m AS (SELECT label, i, round(AVG(CAST(x AS DOUBLE)), 9) AS a FROM
   (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) u GROUP BY 1, 2),
 q AS (SELECT label AS query_id, list(a ORDER BY i) AS v FROM m GROUP BY 1),
-d AS (SELECT q.query_id, c.id, c.kind, c.label, round(1 - {_DOT} / ({_NORMS}), 9) AS distance FROM q CROSS JOIN c)
+d AS (SELECT q.query_id, c.id, c.kind, c.label, 1 - {_DOT} / ({_NORMS}) AS distance FROM q CROSS JOIN c)
 """
 
 
 def _top(where: str, n: int, extra: str = "") -> str:
     return (
-        f"SELECT query_id, id, distance, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) "
+        f"SELECT query_id, id, round(distance, 9) AS distance, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY d.distance, id) AS INTEGER) "
         f"AS rank{extra} FROM d {where} QUALIFY rank <= {n}"
     )
 
 
 @query("vector_search", BASE_SQL + _top("", 5))
 def vector_search(t):
-    return V.vector_search(centroids(t), corpus(t), 5)
+    return shown(V.vector_search(centroids(t), corpus(t), 5))
 
 
 @query("vector_search_filtered", BASE_SQL + _top("WHERE kind = 'agent'", 5))
 def vector_search_filtered(t):
-    return V.vector_search(centroids(t), corpus(t), 5, kind="agent")
+    return shown(V.vector_search(centroids(t), corpus(t), 5, kind="agent"))
+
+
+@query(
+    "nearest_vectors",
+    """
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.id AS query_id, b.id, 1 - list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) AS d
+FROM v a JOIN v b ON a.id <> b.id)
+SELECT query_id, id, round(d, 9) AS distance FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY d, id) <= 5
+""",
+)
+def nearest_vectors(t):
+    """Every vector as a query against all others."""
+    rows = t["embeddings"].select(F.col("vec_id").alias("id"), "embedding")
+    hits = V.vector_search(rows.withColumnRenamed("id", "query_id"), rows, 6).filter(F.col("id") != F.col("query_id"))
+    best = Window.partitionBy("query_id").orderBy("rank")
+    return shown(hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 5)).select("query_id", "id", "distance")
 
 
 _MULTI_SQL = (
@@ -67,7 +89,7 @@ _MULTI_SQL = (
 def multi_hits(t) -> DataFrame:
     rows = corpus(t)
     a, b = rows.filter(F.col("kind") == "knowledge"), rows.filter(F.col("kind") == "agent")
-    return V.multi_search(centroids(t), a, b, 5)
+    return shown(V.multi_search(centroids(t), a, b, 5))
 
 
 @query("multi_collection_search", _MULTI_SQL)

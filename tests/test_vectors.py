@@ -43,11 +43,9 @@ def ranked(df):
     return out
 
 
-@pytest.mark.parametrize("blocked", [False, True])
-def test_search_is_exact_with_ties_and_zero_vectors(spark, monkeypatch, blocked):
-    if blocked:
-        monkeypatch.setattr(V, "QUERY_BLOCK", 5)
-        monkeypatch.setattr(V, "CORPUS_BLOCK", 30)
+@pytest.mark.parametrize("block", [4_096, 5])
+def test_search_is_exact_with_ties_and_zero_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "QUERY_BLOCK", block)
     q, c = make(12, 5, 1), make(100, 5, 2, repeat=40)
     c[50] = 0
     qs, cs = frames(spark, q, c)
@@ -55,6 +53,14 @@ def test_search_is_exact_with_ties_and_zero_vectors(spark, monkeypatch, blocked)
     assert len(ranked(V.vector_search(qs, cs, 500))[0]) == 100  # no more than there are
 
 
+def test_vectors_that_take_no_part(spark):
+    qs = spark.createDataFrame([(0, [1.0, 0.0]), (1, None)], "query_id int, embedding array<float>")
+    cs = spark.createDataFrame(
+        [(0, [1.0, 0.0], "a"), (1, None, "a"), (2, [1.0], "a"), (3, [None, 1.0], "a")], "id int, embedding array<float>, kind string"
+    )
+    assert ranked(V.vector_search(qs, cs, 3)) == {0: [0]}
+
+
 def test_search_empty_and_kind(spark):
     q, c = make(3, 4, 1), make(20, 4, 2)
     qs, cs = frames(spark, q, c)
@@ -108,6 +114,11 @@ def test_span_mean_pool(spark):
     assert got == {0: [1.0, 1.0], 1: [9.0, 9.0], 2: [pytest.approx(154.5), 1.0], 3: [9.0, 9.0]}
 
 
+def test_collection_stats_keeps_a_null_collection(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "collection string, id int")
+    assert {r["collection"]: r["documents"] for r in V.collection_stats(df).collect()} == {None: 2, "a": 1}
+
+
 def test_collection_stats(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9)], "collection string, id int")
     got = {r["collection"]: (r["documents"], r["sample_ids"]) for r in V.collection_stats(df).collect()}
