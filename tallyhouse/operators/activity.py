@@ -32,9 +32,7 @@ def audit_rollup(audit: DataFrame) -> DataFrame:
     return audit.groupBy("kind", "decision", "error_code").agg(
         F.count("*").alias("records"),
         F.sum("row_count").alias("rows_returned"),
-        (F.sum(F.col("duration_ms").cast("decimal(18,2)")).cast("double") / F.count("duration_ms")).alias(
-            "avg_duration_ms"
-        ),
+        F.avg("duration_ms").alias("avg_duration_ms"),
         F.max("duration_ms").alias("max_duration_ms"),
     )
 
@@ -49,27 +47,36 @@ def phase_timings(events: DataFrame) -> DataFrame:
     return rows.select("request_id", *[F.try_element_at("_t", F.lit(p)).alias(p) for p in PHASES])
 
 
-def phase_summary(timings: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Requests, mean and approximate percentiles per phase."""
+def phase_summary(timings: DataFrame) -> DataFrame:
+    """Requests, mean and exact percentiles per phase.
+
+    Timings fold to counts per (phase, millisecond) first; the percentile is the least value
+    that the given share of requests does not exceed.
+    """
     long = timings.unpivot([], list(PHASES), "phase", "ms").filter(F.col("ms").isNotNull())
-    return long.groupBy("phase").agg(
-        F.count("*").alias("requests"),
-        F.avg("ms").alias("mean_ms"),
-        F.percentile_approx("ms", 0.5, accuracy).alias("p50_ms"),
-        F.percentile_approx("ms", 0.95, accuracy).alias("p95_ms"),
+    folded = long.groupBy("phase", "ms").agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("phase").orderBy("ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shares = folded.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("phase")))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * p), F.col("ms")))
+    return shares.groupBy("phase").agg(
+        F.sum("n").alias("requests"),
+        (F.sum(F.col("n") * F.col("ms")) / F.sum("n")).alias("mean_ms"),
+        at(F.lit("0.5").cast("decimal(3,2)")).alias("p50_ms"),
+        at(F.lit("0.95").cast("decimal(3,2)")).alias("p95_ms"),
     )
 
 
 def request_lifecycle(events: DataFrame) -> DataFrame:
     """One row per request: start, end, outcome and duration.
 
-    ``events``: request_id, status (started, success, error), ts, row_count, error_type.
+    ``events``: request_id, status (started, success, error), ts, row_count, error_type. Of
+    two outcomes at one instant success is the last.
     """
     ended = F.col("status").isin("success", "error")
     rows = events.groupBy("request_id").agg(
         F.min(F.when(F.col("status") == "started", F.col("ts"))).alias("started_at"),
         F.max(F.when(ended, F.col("ts"))).alias("ended_at"),
-        F.max_by("status", F.when(ended, F.col("ts"))).alias("outcome"),
+        F.max(F.when(ended, F.struct("ts", "status")))["status"].alias("outcome"),
         F.max("row_count").alias("row_count"),
         F.max("error_type").alias("error_type"),
     )
@@ -94,7 +101,8 @@ def violations(audit: DataFrame) -> DataFrame:
 def trailing_count(
     df: DataFrame, key: str, ts: str, secs: int, out: str = "trailing", slices: int = 16
 ) -> DataFrame:
-    """Rows of the same key in the trailing ``secs`` seconds, both ends included.
+    """Rows of the same key in the trailing ``secs`` seconds, both ends included; a row without a
+    time has no count.
 
     The window is ``slices`` time slices long, so for a row in slice s it ends inside s
     and begins inside s - slices. Each row therefore goes to two partitions: its own
@@ -106,31 +114,39 @@ def trailing_count(
     if step * slices != width:
         raise ValueError("the window must divide into whole slices")
     us = micros(F.col(ts))
-    base = df.filter(us.isNotNull()).select(
-        F.col(key).alias("_key"), us.alias("_us"), F.floor(us / step).alias("_s"),
-        F.struct(*[F.col(c) for c in df.columns]).alias("_row"),
-    )
-    row_type = base.schema["_row"].dataType
-    placed = base.select("_key", F.explode(F.array(
-        F.struct(F.col("_s").alias("s"), F.col("_us").alias("pos"), F.lit(1).alias("own"),
-                 F.col("_row").alias("row")),
-        F.struct((F.col("_s") + slices).alias("s"), (F.col("_us") + width).alias("pos"),
-                 F.lit(0).alias("own"), F.lit(None).cast(row_type).alias("row")),
+    # Rows at one instant fold to one, so a burst of a key is a few rows here.
+    instants = df.filter(us.isNotNull()).groupBy(F.col(key).alias("_key"), us.alias("_us")).agg(F.count("*").alias("_n"))
+    instants = instants.withColumn("_s", F.floor(F.col("_us") / step))
+    placed = instants.select("_key", F.explode(F.array(
+        F.struct(F.col("_s").alias("s"), F.col("_us").alias("pos"), F.col("_us").alias("at"),
+                 F.col("_n").alias("own"), F.lit(0).cast("long").alias("far")),
+        F.struct((F.col("_s") + slices).alias("s"), (F.col("_us") + width).alias("pos"), F.lit(None).cast("long").alias("at"),
+                 F.lit(0).cast("long").alias("own"), F.col("_n").alias("far")),
     )).alias("p")).select("_key", "p.*")
     part = Window.partitionBy("_key", "s")
     upto = part.orderBy("pos").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     before = part.orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
-    far = 1 - F.col("own")
     local = placed.select(
-        "_key", "s", "own", "row",
+        "_key", "s", "at",
         F.sum("own").over(upto).alias("_near"),
-        (F.sum(far).over(part) - F.coalesce(F.sum(far).over(before), F.lit(0))).alias("_far"),
-    ).filter("own = 1")
-    sizes = base.groupBy("_key", F.col("_s").alias("s")).agg(F.count("*").alias("_n"))
+        (F.sum("far").over(part) - F.coalesce(F.sum("far").over(before), F.lit(0))).alias("_far"),
+    ).filter(F.col("at").isNotNull())
+    sizes = instants.groupBy("_key", F.col("_s").alias("s")).agg(F.sum("_n").alias("_n"))
     between = Window.partitionBy("_key").orderBy("s").rangeBetween(1 - slices, -1)
-    middle = sizes.select("_key", "s", F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_mid"))
-    joined = local.join(middle, (local["_key"].eqNullSafe(middle["_key"])) & (local["s"] == middle["s"]))
-    return joined.select("row.*", (F.col("_near") + F.col("_far") + F.col("_mid")).alias(out))
+    middle = sizes.select(F.col("_key").alias("_k"), F.col("s").alias("_m"), F.coalesce(F.sum("_n").over(between), F.lit(0)).alias("_mid"))
+    counted = local.join(middle, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("s") == F.col("_m")))
+    counted = counted.select("_key", "at", (F.col("_near") + F.col("_far") + F.col("_mid")).alias("_count"))
+    rows = df.withColumn("_at", us)
+    joined = rows.join(counted, rows[key].eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("at")), "left")
+    return joined.select(*[rows[c] for c in df.columns], F.col("_count").alias(out))
+
+
+def limit_breaches(df: DataFrame, key: str, ts: str, limit: int, secs: int) -> DataFrame:
+    """Keys that go over ``limit`` rows in a sliding window: the first such row's time, the number of
+    rows beyond the limit, and the highest count. A declarative reading of the log; nothing is
+    replayed, so rows that a limiter would have turned away count as well."""
+    over = trailing_count(df.select(key, ts), key, ts, secs, "_hits").filter(F.col("_hits") > limit)
+    return over.groupBy(key).agg(F.min(ts).alias("first_breach"), F.count("*").alias("breaches"), F.max("_hits").alias("most"))
 
 
 def peak_concurrency(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -240,15 +241,31 @@ def _table_open(name: str, policy: Policy) -> bool:
 
 def govern_catalog(
     spark: SparkSession, tables: Mapping[str, DataFrame], policy: Policy,
-    groups: Sequence[str] = (),
-) -> list[str]:
-    """Register a view for each table the policy opens, filtered and restricted; name them."""
-    opened = [name for name in tables if _table_open(name, policy)]
-    for name in opened:
-        bare = name.rpartition(".")[2]
-        df = row_filter(tables[name], bare, policy.row_filters, groups)
-        restrict_columns(df, bare, policy, groups).createOrReplaceTempView(bare)
-    return opened
+    groups: Sequence[str] = (), caller: str = "",
+) -> dict[str, str]:
+    """Register a view for each table the policy opens, filtered and restricted.
+
+    Gives the view of each opened table. Views are shared by a session, so their names hold
+    the caller's name, or else its groups, and the schema: neither another caller nor a table
+    of the same name in another schema can take a view's place. The caller's views of tables
+    that the policy closes are dropped.
+    """
+    who = caller or "_".join(sorted(groups)) or "anyone"
+    views = {name: _plain_name(f"{who}__{name}") for name in tables}
+    if len({v.lower() for v in views.values()}) < len(views):
+        raise ValueError("two tables would share one view")
+    for name, view in views.items():
+        if _table_open(name, policy):
+            bare = name.rpartition(".")[2]
+            df = row_filter(tables[name], bare, policy.row_filters, groups)
+            restrict_columns(df, bare, policy, groups).createOrReplaceTempView(view)
+        else:
+            spark.catalog.dropTempView(view)
+    return {name: view for name, view in views.items() if _table_open(name, policy)}
+
+
+def _plain_name(name: str) -> str:
+    return re.sub(r"[^0-9A-Za-z]+", "_", name).strip("_") if not re.search(r"[^0-9A-Za-z_.]", name) else "v_" + name.encode().hex()
 
 
 def scope(

@@ -59,7 +59,10 @@ def distinct_capped(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
 def preview(
     df: DataFrame, order: Sequence[Column], n: int = 10, max_rows: int = 10_000
 ) -> tuple[DataFrame, DataFrame]:
-    """First rows of a capped result beside its row count, columns and truncation flag."""
-    capped, status = cap_rows(df, max_rows)
+    """First rows of a sorted result beside its row count, columns and truncation flag.
+
+    The cap bounds what is counted; the sample is the head of the whole result.
+    """
+    _, status = cap_rows(df, max_rows)
     status = status.withColumn("columns", F.lit(",".join(df.columns)))
-    return capped.orderBy(*order).limit(n), status
+    return df.orderBy(*order).limit(n), status

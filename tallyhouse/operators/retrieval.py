@@ -287,11 +287,15 @@ def _prune_sections(sections: DataFrame, budget: int) -> DataFrame:
 def pack_context(sections: DataFrame, budget: int = MAX_TOKENS) -> DataFrame:
     """Fill each question's context by section priority under a token budget.
 
-    ``sections``: question_id, name, priority, content. A section that does not fit is
+    ``sections``: question_id, name, content and priority; without that column sections
+    go by ``SECTION_PRIORITY``, other names last. A section that does not fit is
     cut at paragraph breaks while at least 50 tokens remain, else skipped; a later,
     smaller one may still fit. Gives context_text, included (names), used_tokens and
     truncated.
     """
+    if "priority" not in sections.columns:
+        known = F.create_map(*[F.lit(x) for pair in SECTION_PRIORITY.items() for x in pair])
+        sections = sections.withColumn("priority", F.coalesce(F.try_element_at(known, F.col("name")), F.lit(len(SECTION_PRIORITY) + 1)))
     paragraphs = F.split(F.col("content"), "\n\n")
     sized = sections.select(
         "question_id", "name", "priority", "content",

@@ -46,13 +46,18 @@ ROLLUP_SQL = (
     f"SELECT 'tool' AS kind, CASE WHEN len({CODES_SQL}) = 0 THEN 'allowed' ELSE 'rejected' END AS decision, "
     "CASE WHEN event_type = 'error' THEN 'runner' END AS error_code, COUNT(*) AS records, "
     f"CAST(SUM(CASE WHEN len({CODES_SQL}) = 0 THEN CAST(floor(value) AS BIGINT) END) AS BIGINT) AS rows_returned, "
-    "SUM(CAST(value AS DECIMAL(18,2)))::DOUBLE / COUNT(value) AS avg_duration_ms, MAX(value) AS max_duration_ms FROM events GROUP BY 1, 2, 3"
+    "ROUND(AVG(value), 6) AS avg_duration_ms, MAX(value) AS max_duration_ms FROM events GROUP BY 1, 2, 3"
 )
 
 
 @query("audit_rollup", ROLLUP_SQL)
 def audit_rollup(t):
-    return E.audit_rollup(audit(t))
+    return rounded(E.audit_rollup(audit(t)))
+
+
+def rounded(rollup: DataFrame) -> DataFrame:
+    """The mean as it is compared with other engines, which add in another order."""
+    return rollup.withColumn("avg_duration_ms", F.round("avg_duration_ms", 6))
 
 
 @query("audit_round_trip", ROLLUP_SQL)
@@ -60,7 +65,7 @@ def audit_round_trip(t):
     """The same figures after the log was written as JSON lines and read back."""
     path = f"{work_folder(t.spark)}/audit-{uuid.uuid4().hex}"
     write_audit(audit(t), path)
-    return E.audit_rollup(read_audit(t.spark, path, AUDIT_SCHEMA))
+    return rounded(E.audit_rollup(read_audit(t.spark, path, AUDIT_SCHEMA)))
 
 
 @query(
@@ -102,11 +107,15 @@ def timed_events(t) -> DataFrame:
     "sql_ms, present_ms, total_ms INTO NAME phase VALUE ms) u GROUP BY 1",
 )
 def phase_summary(t):
-    """Counts and means; the approximate percentiles have a query of their own."""
+    """Counts and means; the percentiles have a query of their own."""
     return E.phase_summary(E.phase_timings(timed_events(t))).select("phase", "requests", "mean_ms")
 
 
-@query("phase_percentiles")
+@query(
+    "phase_percentiles",
+    f"WITH u AS (UNPIVOT ({PHASES_SQL}) ON intent_ms, context_ms, llm_ms, sql_ms, present_ms, total_ms INTO NAME phase VALUE ms) "
+    "SELECT phase, quantile_disc(ms, 0.5) AS p50_ms, quantile_disc(ms, 0.95) AS p95_ms FROM u GROUP BY 1",
+)
 def phase_percentiles(t):
     summary = E.phase_summary(E.phase_timings(timed_events(t)))
     return summary.select("phase", "p50_ms", "p95_ms")
@@ -172,6 +181,17 @@ def trailing_window_count(t):
     return E.trailing_count(rows, "user_id", "ts", 86_400).select("event_id", "trailing")
 
 
+@query(
+    "limit_breaches",
+    "WITH h AS (SELECT a.user_id, a.event_id, ANY_VALUE(a.ts) AS ts, COUNT(*) AS n FROM events a JOIN events b ON a.user_id = b.user_id "
+    "AND epoch_us(b.ts) <= epoch_us(a.ts) AND epoch_us(b.ts) >= epoch_us(a.ts) - 86400000000 GROUP BY 1, 2) "
+    "SELECT user_id, MIN(ts) AS first_breach, COUNT(*) AS breaches, MAX(n) AS most FROM h WHERE n > 3 GROUP BY 1",
+)
+def limit_breaches(t):
+    """Users that go over three events within a day."""
+    return E.limit_breaches(t["events"].select("user_id", "ts"), "user_id", "ts", 3, 86_400)
+
+
 @query(
     "concurrency_peak",
     "WITH c AS (SELECT user_id, epoch_us(ts) AS us, 1 AS d FROM events UNION ALL SELECT user_id, epoch_us(ts) + "

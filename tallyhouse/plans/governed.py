@@ -164,11 +164,11 @@ def classify_columns(t):
 )
 def govern_catalog(t):
     opened = {"main.orders": t["orders"], "main.lineitem": t["lineitem"], "staging.part": t["part"], "labels": t["labels"]}
-    names = G.govern_catalog(t.spark, opened, POLICY, GROUPS)
-    if names != ["main.orders", "main.lineitem"]:
-        raise G.AccessDenied(str(names))
+    views = G.govern_catalog(t.spark, opened, POLICY, GROUPS)
+    if list(views) != ["main.orders", "main.lineitem"]:
+        raise G.AccessDenied(str(views))
     return t.spark.sql(
-        "SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+        f"SELECT o_orderkey, l_linenumber, l_quantity FROM {views['main.orders']} JOIN {views['main.lineitem']} ON o_orderkey = l_orderkey"
     )
 
 

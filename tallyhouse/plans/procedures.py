@@ -171,8 +171,7 @@ def customer_orders(t: Tables, customer_id: int) -> DataFrame:
 
 def employee_sales(t: Tables, lo: datetime, hi: datetime) -> DataFrame:
     """Order subtotals per handler for orders shipped within a range."""
-    rows = retail.orders_with_totals(t, line_money(rev())).filter(F.col("o_orderstatus") == "F")
-    rows = R.date_between(rows, "o_orderdate", lo, hi)
+    rows = retail.totals_of(t, retail.shipped_between(t, lo, hi), line_money(rev()))
     return retail.dbl(
         rows.select("o_orderpriority", "o_orderkey", F.col("subtotal").alias("sale_amount")), "sale_amount"
     )
@@ -180,8 +179,7 @@ def employee_sales(t: Tables, lo: datetime, hi: datetime) -> DataFrame:
 
 def sales_by_year(t: Tables, lo: datetime, hi: datetime) -> DataFrame:
     """Subtotals with the year as text for orders shipped within a range."""
-    rows = retail.orders_with_totals(t, line_money(rev())).filter(F.col("o_orderstatus") == "F")
-    rows = R.date_between(rows, "o_orderdate", lo, hi)
+    rows = retail.totals_of(t, retail.shipped_between(t, lo, hi), line_money(rev()))
     return retail.dbl(
         rows.select("o_orderkey", "subtotal", year_name(F.col("o_orderdate")).alias("year")), "subtotal"
     )

@@ -150,6 +150,19 @@ def _with_shipped(t: Tables) -> DataFrame:
     return t["orders"].withColumn("shipped_date", shipped)
 
 
+def shipped_between(t: Tables, lo: datetime, hi: datetime) -> DataFrame:
+    """Orders whose shipped date lies in a range. Status and date are named as they are stored, so
+    both conditions reach the scan."""
+    return R.date_between(t["orders"].filter(F.col("o_orderstatus") == "F"), "o_orderdate", lo, hi)
+
+
+def totals_of(t: Tables, orders: DataFrame, money: Column) -> DataFrame:
+    """Orders with the sum over their own lines: lines are cut down to them before the fold."""
+    lines = t["lineitem"].join(orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    sums = lines.groupBy("l_orderkey").agg(F.sum(money).alias("subtotal"))
+    return orders.join(sums, F.col("o_orderkey") == F.col("l_orderkey"))
+
+
 SHIPPED_SQL = (
     "(SELECT *, CASE WHEN o_orderstatus = 'F' THEN o_orderdate END AS shipped_date FROM orders) o"
 )
@@ -240,9 +253,7 @@ def above_average_all(t):
     "o_orderdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1997-12-31'",
 )
 def large_sales(t):
-    orders = R.date_between(_with_shipped(t), "shipped_date", *Y1997)
-    sub = order_totals(t, line_money(rev())).filter(F.col("subtotal") > 2500)
-    joined = orders.join(sub, F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = totals_of(t, shipped_between(t, *Y1997), line_money(rev())).filter(F.col("subtotal") > 2500)
     joined = joined.join(t["customer"], F.col("o_custkey") == F.col("c_custkey"))
     return joined.select(F.col("subtotal").cast("double").alias("sale_amount"), "o_orderkey", "c_name")
 
@@ -661,7 +672,7 @@ PRODUCT_SALES_SQL = (
 
 def product_sales(t: Tables, lo: datetime, hi: datetime) -> DataFrame:
     """Category x product sales of orders shipped within a range."""
-    orders = R.date_between(_with_shipped(t), "shipped_date", lo, hi).select("o_orderkey")
+    orders = shipped_between(t, lo, hi).select("o_orderkey")
     lines = t["lineitem"].join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     return A.sum_by_parent(
         lines, "l_partkey", line_money(rev()), t["part"], "p_partkey", ["p_type", "p_name"], "product_sales"
@@ -820,8 +831,7 @@ def distinct_capped(t):
 )
 def preview(t):
     rows = t["orders"].filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_totalprice")
-    # The sample is the head of the sorted result, taken before the row cap.
-    return rows.orderBy("o_orderkey").limit(10)
+    return L.preview(rows, [F.col("o_orderkey").asc()])[0]
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from tallyhouse.operators import retrieval as RT
 from tallyhouse.operators import screening as S
 from tallyhouse.operators.matching import contains_join
 from tallyhouse.plans.registry import query
-from tallyhouse.sources.collections import upsert_documents
+from tallyhouse.session import work_folder
+from tallyhouse.sources.collections import export_csv, upsert_documents, write_collection, written_count
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -454,3 +457,31 @@ def upsert(t):
     note = F.concat(F.lit("quality "), F.col("quality").cast("string"))
     batch = t["labels"].select(key, note.alias("document"), "quality")
     return upsert_documents(existing, batch, "quality")
+
+
+@query("upsert_written", "SELECT COUNT(DISTINCT doc_id) AS written FROM labels")
+def upsert_written(t):
+    """How many documents the batch of labels writes."""
+    return written_count(t["labels"].select(F.col("doc_id").cast("string").alias("id")))
+
+
+@query(
+    "export_csv",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
+)
+def export_round_trip(t):
+    """The supplier list after it was exported and read back as text."""
+    path = f"{work_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    export_csv(t["supplier"].select("s_suppkey", "s_name", "s_nationkey"), path)
+    schema = "s_suppkey STRING, s_name STRING, s_nationkey STRING"
+    return t.spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query("reset_collection", "SELECT doc_id AS id, toxic FROM labels WHERE toxic = 1")
+def reset_round_trip(t):
+    """A collection that was written, then reset with other rows, as it reads afterwards."""
+    path = f"{work_folder(t.spark)}/collection-{uuid.uuid4().hex}"
+    rows = t["labels"].select(F.col("doc_id").alias("id"), "toxic")
+    write_collection(rows, path)
+    write_collection(rows.filter(F.col("toxic") == 1), path, force=True)
+    return t.spark.read.schema("id BIGINT, toxic INT").parquet(path)

@@ -6,13 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-# A lookup list may be inlined into a plan only up to this many rows.
-INLINE_ROWS = 512
-# ... and up to this many characters of text.
-INLINE_CHARS = 1_000_000
+# Inputs of at least so many splits stay where they are.
+SMALL_SPLITS = 16
 # Temporary folders of local sessions that name no shared one, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -59,26 +56,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def fan_out(df: DataFrame) -> DataFrame:
-    """Spread an input of fewer splits than cores before heavy per-row work.
+    """Spread a small input over the cores before heavy per-row work.
 
-    A small file is one split and would keep one core busy. A large table has more
-    splits than cores and is left as it is: nothing is shuffled.
+    A file of one row group is one split and would keep one core busy. Only inputs of fewer
+    than ``SMALL_SPLITS`` splits are dealt out, so however many cores there are, a large
+    table is never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
-def bounded_rows(df: DataFrame, limit: int = INLINE_ROWS, text_col: str | None = None) -> list[Row] | None:
-    """Rows of ``df`` if there are at most ``limit`` of them, else ``None``.
-
-    At most ``limit + 1`` rows reach the driver, whatever the size of ``df``. With
-    ``text_col`` the rows are fetched only after the length of their texts was found to
-    be within ``INLINE_CHARS`` as well.
-    """
-    head = df.limit(limit + 1)
-    if text_col is not None:
-        n, chars = head.agg(F.count("*"), F.sum(F.length(text_col))).first()
-        if n > limit or (chars or 0) > INLINE_CHARS:
-            return None
-    rows = head.collect()
-    return rows if len(rows) <= limit else None
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, SMALL_SPLITS)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

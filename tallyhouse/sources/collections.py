@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert_documents(existing: DataFrame, batch: DataFrame, order_col: str | None = None) -> DataFrame:
+def upsert_documents(existing: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Existing documents with the batch written over them; the last write per id wins.
 
-    Repeats inside the batch fold by aggregation, so an id written many times does not
-    gather its rows in one task. Applying the same batch again changes nothing.
+    A write with a null order comes before all others, and writes of one order are settled by
+    their values, so the result does not depend on the order of rows. Repeats inside the
+    batch fold by aggregation: an id written many times does not gather its rows in one task.
+    Applying the same batch again changes nothing.
     """
-    cols = [c for c in existing.columns]
-    order = F.col(order_col) if order_col else F.lit(0)
-    others = F.struct(*[F.col(c) for c in cols if c != "id"])
-    latest = batch.groupBy("id").agg(F.max_by(others, order).alias("_row"))
-    written = latest.select("id", "_row.*").select(*cols)
+    cols = list(existing.columns)
+    latest = batch.groupBy("id").agg(F.max(_write(cols, order_col)).alias("_w"))
+    written = latest.select("id", "_w.rest.*").select(*cols)
     return existing.join(written.select("id"), "id", "left_anti").select(*cols).unionByName(written)
 
 
+def _write(cols: list[str], order_col: str) -> Column:
+    rest = F.struct(*[F.col(c) for c in cols if c != "id"])
+    return F.struct(F.col(order_col).isNotNull().alias("known"), F.col(order_col).alias("at"), rest.alias("rest"))
+
+
+def written_count(batch: DataFrame) -> DataFrame:
+    """How many documents a batch writes: one per id."""
+    return batch.agg(F.countDistinct("id").alias("written"))
+
+
 def write_collection(df: DataFrame, path: str, force: bool = False) -> None:
     """Write a collection to a folder; ``force`` empties it first.
 

@@ -103,6 +103,25 @@ def test_trailing_count(spark, slices):
     assert got == want
 
 
+def test_rows_without_a_time_have_no_count(spark):
+    rows = [("u", None, 1), ("u", START, 2), ("u", START, 3), (None, START, 4)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, i int")
+    got = {r["i"]: r["trailing"] for r in E.trailing_count(df, "k", "ts", 16).collect()}
+    assert got == {1: None, 2: 2, 3: 2, 4: 1}
+
+
+def test_limit_breaches(spark):
+    rows = [("a", START + timedelta(seconds=s)) for s in (0, 1, 2, 50, 51)] + [("b", START)] * 2 + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    got = {r["k"]: (r["first_breach"], r["breaches"], r["most"]) for r in E.limit_breaches(df, "k", "ts", 2, 16).collect()}
+    assert got == {"a": (START + timedelta(seconds=2), 1, 3)}
+
+
+def test_means_are_of_the_durations_themselves(spark):
+    df = spark.createDataFrame([("t", "ok", None, 1, 0.004)] * 2, "kind string, decision string, error_code string, row_count int, duration_ms double")
+    assert abs(E.audit_rollup(df).first()["avg_duration_ms"] - 0.004) < 1e-12
+
+
 def test_peak_concurrency(spark):
     r = random.Random(5)
     rows = []
@@ -133,6 +152,11 @@ def test_lifecycle_and_rollups(spark):
     got = {r["request_id"]: (r["outcome"], r["duration_ms"], r["row_count"], r["error_type"])
            for r in E.request_lifecycle(events).collect()}
     assert got == {"r1": ("success", 2000, 7, None), "r2": ("error", 3000, None, "Timeout"), "r3": ("open", None, None, None)}
+    tie = spark.createDataFrame(
+        [("r", "error", at(1), None, None), ("r", "success", at(1), None, None), ("r", "started", at(0), None, None)],
+        "request_id string, status string, ts timestamp_ntz, row_count bigint, error_type string",
+    )
+    assert E.request_lifecycle(tie).first()["outcome"] == "success"
     timed = spark.createDataFrame([("r", '{"intent_ms": 3, "total_ms": 9, "x": 1}'), ("s", None)], "request_id string, timings_json string")
     row = E.phase_timings(timed).collect()
     assert len(row) == 1 and (row[0]["intent_ms"], row[0]["llm_ms"], row[0]["total_ms"]) == (3, None, 9)

@@ -124,8 +124,17 @@ def test_row_filter_and_governed_order(spark):
 def test_catalog(spark):
     df = spark.createDataFrame([("x", "y")], "name string, phone string")
     tables = {"dbo.customers": df, "sys.customers2": df, "other.t": df, "audit": df, "plain": df}
-    assert G.govern_catalog(spark, tables, POLICY) == ["dbo.customers", "plain"]
-    assert spark.table("customers").columns == ["name"]
+    views = G.govern_catalog(spark, tables, POLICY)
+    assert list(views) == ["dbo.customers", "plain"]
+    assert spark.table(views["dbo.customers"]).columns == ["name"]
+    # Another caller and another schema have views of their own; what a policy closes goes.
+    mine = G.govern_catalog(spark, {"dbo.t": df, "x.t": df.limit(0)}, G.Policy(), caller="me")
+    yours = G.govern_catalog(spark, {"dbo.t": df.limit(0)}, G.Policy(), caller="you")
+    assert [spark.table(v).count() for v in (*mine.values(), *yours.values())] == [1, 0, 0]
+    assert G.govern_catalog(spark, {"dbo.t": df}, G.Policy(closed_schemas=("dbo",)), caller="me") == {}
+    assert not spark.catalog.tableExists(mine["dbo.t"]) and spark.catalog.tableExists(mine["x.t"])
+    with pytest.raises(ValueError):
+        G.govern_catalog(spark, {"a.b": df, "a_b": df}, G.Policy())
     scoped = G.scope({"customers": df, "orders": df}, POLICY, ("analyst",))
     assert list(scoped) == ["customers"] and scoped["customers"].columns == []
     assert list(G.scope({"customers": df}, POLICY, ("other",))["customers"].columns) == ["name"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.operators import vectors as V
 from tallyhouse.sources.audit_log import read_audit, write_audit
-from tallyhouse.sources.collections import export_csv, upsert_documents, write_collection, write_report
+from tallyhouse.sources.collections import export_csv, upsert_documents, write_collection, write_report, written_count
 
 
 def make(n, dims, seed, repeat=0):
@@ -134,6 +134,13 @@ def test_upsert_is_idempotent_and_last_write_wins(spark):
     assert sorted(map(tuple, upsert_documents(once, batch, "seq").collect())) == want
 
 
+def test_upsert_with_null_order(spark):
+    old = spark.createDataFrame([("x", "old")], "id string, document string")
+    batch = spark.createDataFrame([("x", "undated", None), ("x", "dated", 1), ("y", "only", None)], "id string, document string, seq int")
+    assert sorted(map(tuple, upsert_documents(old, batch, "seq").collect())) == [("x", "dated"), ("y", "only")]
+    assert written_count(batch).first()["written"] == 2
+
+
 def test_sinks(spark, work):
     df = spark.createDataFrame([(1, 'say "hi", ok', None), (2, "عميل", 2.5)], "id int, t string, v double")
     export_csv(df.coalesce(1), f"{work}/csv")
