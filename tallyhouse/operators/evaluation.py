@@ -55,6 +55,38 @@ def text_presence(items: DataFrame) -> DataFrame:
     return items.withColumn("checks", F.filter(checks, lambda c: c.isNotNull()))
 
 
+def _unknown(items: DataFrame, col: str, known: DataFrame, out: str) -> DataFrame:
+    """(id, names): names of an item's list that the schema lacks; items without one are left out."""
+    names = items.select("id", F.explode(F.array_distinct(col)).alias("_name"))
+    lacking = names.join(known.select(F.col("name").alias("_name")).distinct(), "_name", "left_anti")
+    return lacking.groupBy("id").agg(F.sort_array(F.collect_set("_name")).alias(out))
+
+
+def sql_checks(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Add the checks on the tables of an item's SQL to ``checks``, which the roll-up reads.
+
+    ``items``: id (unique), sql, tables, required_tables, must_reject, checks. ``known``: name.
+    Unknown tables in the SQL fail an item that is not to be rejected; every required table
+    that the schema lacks fails it; required tables that the SQL does not touch, or does not
+    join, are warnings. Items without SQL get the check on required tables only.
+    """
+    items = items.join(_unknown(items, "tables", known, "_bad"), "id", "left")
+    items = items.join(_unknown(items, "required_tables", known, "_lost"), "id", "left")
+    rows = required_overlap(items)
+    none = F.array().cast("array<string>")
+    has_sql = F.length(F.trim(F.coalesce("sql", F.lit("")))) > 0
+    allowed = ~F.coalesce("must_reject", F.lit(False))
+    shown = lambda c: F.array_join(c, ", ")
+    lost = F.transform(F.coalesce("_lost", none), lambda n: check("BN010", F.lit(False), "error", n))
+    more = F.array(
+        F.when(has_sql & allowed, check("BN002", F.col("_bad").isNull(), "error", shown(F.coalesce("_bad", none)))),
+        F.when(has_sql & F.col("overlap_ok").isNotNull(), check("BN006", F.col("overlap_ok"), "warning")),
+        F.when(has_sql & F.col("join_ok").isNotNull(), check("BN007", F.col("join_ok"), "warning")),
+    )
+    every = F.concat("checks", lost, F.filter(more, lambda c: c.isNotNull()))
+    return rows.withColumn("checks", every).drop("_bad", "_lost", "overlap_ok", "join_ok")
+
+
 def item_passed(items: DataFrame) -> DataFrame:
     """Add ``passed``: every check of severity error has passed; none at all also passes."""
     ok = F.forall("checks", lambda c: (c["severity"] != "error") | c["passed"])

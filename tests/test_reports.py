@@ -20,6 +20,23 @@ def checks(spark):
     )
 
 
+def test_table_checks_reach_the_roll_up(spark):
+    rows = [
+        ("fine", "select a join b", ["a", "b"], ["a", "b"], False),
+        ("unknown", "select zz", ["zz"], ["a"], False),
+        ("rejected", "select zz", ["zz"], [], True),
+        ("lost", "select a", ["a"], ["a", "gone"], False),
+        ("nosql", None, [], ["a"], True),
+    ]
+    df = spark.createDataFrame(rows, "id string, sql string, tables array<string>, required_tables array<string>, must_reject boolean")
+    df = df.selectExpr("*", "'q' AS question_en", "'q' AS question_ar")
+    known = spark.createDataFrame([("a",), ("b",)], "name string")
+    got = M.sql_checks(M.text_presence(df), known)
+    bad = {r["id"]: sorted(c["code"] for c in r["checks"] if not c["passed"]) for r in got.collect()}
+    assert bad == {"fine": [], "unknown": ["BN002", "BN006"], "rejected": [], "lost": ["BN007", "BN010"], "nosql": []}
+    assert M.benchmark_summary(got).first().asDict() == {"total": 5, "passed": 3, "failed": 2, "warnings": 2}
+
+
 def test_summary_and_failures(spark):
     df = checks(spark)
     assert {r["id"]: r["passed"] for r in M.item_passed(df).collect()} == {
