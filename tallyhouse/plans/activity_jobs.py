@@ -279,15 +279,14 @@ def _places(t, label: str) -> tuple[str, str]:
 
 @query(
     "windowed_activity",
-    "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, user_id, COUNT(*) AS requests FROM events GROUP BY 1, 2, "
-    "time_bucket(INTERVAL 1 HOUR, ts) HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 10 MINUTE",
+    "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, user_id, COUNT(*) AS requests FROM events GROUP BY 1, 2",
 )
 def windowed_activity(t):
-    """Windows that the watermark has closed, after a stream over the whole log."""
+    """Every window of the log, after a stream over it has ended."""
     out, checkpoint = _places(t, "activity")
-    counts = ST.run_to_table(ST.windowed_activity(event_stream(t), "1 hour"), out, checkpoint)
-    hour = F.date_format("window_start", "yyyy-MM-dd HH").alias("hour")
-    return counts.select(hour, "user_id", "requests")
+    closed = ST.run_to_table(ST.windowed_activity(event_stream(t), "1 hour"), out, checkpoint)
+    counts = ST.with_open_windows(closed, t["events"], "1 hour")
+    return counts.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "user_id", "requests")
 
 
 @query(

@@ -410,20 +410,99 @@ def build_example_documents(t):
 
 @query(
     "build_glossary_documents",
-    "SELECT 'parts:glossary:' || lower(p_type) AS id, 'Glossary term: ' || p_type || chr(10) || 'English: ' || "
-    "string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS document, 'glossary' AS kind FROM part GROUP BY p_type",
+    "SELECT 'parts:glossary:' || regexp_replace(replace(lower(p_name || ' ' || p_partkey), ' ', '_'), '[^a-z0-9_-]', '', 'g') AS id, "
+    "'Glossary term: ' || p_name || ' ' || p_partkey || chr(10) || 'English: ' || array_to_string(string_split(p_name, ' '), ', ') || chr(10) || "
+    "'Maps to tables: part' AS document, 'glossary' AS kind FROM part",
 )
 def build_glossary_documents(t):
+    """One term per part; its lists come from the row itself."""
     empty = F.array().cast("array<string>")
-    names = t["part"].select("p_type", "p_name").distinct()
-    terms = names.groupBy(F.col("p_type").alias("canonical")).agg(
-        F.array_sort(F.collect_list("p_name")).alias("en")
+    terms = t["part"].select(
+        F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("canonical"), F.split("p_name", " ").alias("en"),
+        F.array(F.lit("part")).alias("tables"), *[empty.alias(c) for c in ("ar", "synonyms", "columns", "phrases")],
     )
-    for c in ("ar", "synonyms", "tables", "columns", "phrases"):
-        terms = terms.withColumn(c, empty)
     return D.glossary_documents("parts", terms).select("id", "document", "kind")
 
 
+@query(
+    "build_relationship_documents",
+    "SELECT 'geo:relationship:nation_' || n_nationkey AS id, 'Relationship: ' || n_name || '(n_regionkey) → ' || r_name || "
+    "'(r_regionkey) [explicit, many-to-one, confidence: high]' AS document, 'relationship' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+def build_relationship_documents(t):
+    rows = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("rel_id"), F.col("n_name").alias("from_table"),
+        F.array(F.lit("n_regionkey")).alias("from_columns"), F.col("r_name").alias("to_table"), F.array(F.lit("r_regionkey")).alias("to_columns"),
+        F.lit("explicit").alias("kind"), F.lit("many-to-one").alias("cardinality"), F.lit("high").alias("confidence"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    return D.relationship_documents("geo", rows).select("id", "document", "kind")
+
+
+@query(
+    "build_rule_documents",
+    "SELECT 'shop:business_rule:label_' || doc_id AS id, 'Business rule [label_' || doc_id || ']: quality ' || quality || chr(10) || "
+    "'Applies to tables: documents, labels' || CASE WHEN toxic = 1 THEN chr(10) || '[Needs human review]' ELSE '' END AS document, "
+    "'business_rule' AS kind FROM labels",
+)
+def build_rule_documents(t):
+    rows = t["labels"].select(
+        F.concat(F.lit("label_"), F.col("doc_id").cast("string")).alias("rule_id"),
+        F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("description"),
+        F.array(F.lit("documents"), F.lit("labels")).alias("tables"), F.lit("high").alias("confidence"),
+        (F.col("toxic") == 1).alias("needs_review"),
+    )
+    return D.rule_documents("shop", rows).select("id", "document", "kind")
+
+
+@query(
+    "build_meaning_documents",
+    "SELECT 'shop:business_rule:meanings_' || replace(lower(n_name), ' ', '_') || '_n_regionkey' AS id, 'Code meanings for ' || n_name || '.n_regionkey:' || chr(10) || "
+    "n_regionkey || '=' || r_name AS document, 'business_rule' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+def build_meaning_documents(t):
+    code = F.struct(F.col("n_regionkey").cast("string").alias("code"), F.col("r_name").alias("label"))
+    rows = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_name").alias("table_name"), F.lit("n_regionkey").alias("column_name"), F.array(code).alias("codes")
+    )
+    return D.meaning_documents("shop", rows).select("id", "document", "kind")
+
+
+@query(
+    "build_metric_documents",
+    "SELECT 'shop:metric:' || lower(p_type) AS id, 'Metric: ' || p_type || chr(10) || 'Description: ' || COUNT(*) || ' parts' || chr(10) || "
+    "'SQL expression: SUM(p_size) = ' || CAST(SUM(p_size) AS BIGINT) || chr(10) || 'Required tables: part' AS document, 'metric' AS kind FROM part GROUP BY p_type",
+)
+def build_metric_documents(t):
+    empty = F.array().cast("array<string>")
+    sums = t["part"].groupBy("p_type").agg(F.count("*").cast("string").alias("n"), F.sum("p_size").cast("string").alias("size"))
+    rows = sums.select(
+        F.col("p_type").alias("metric_id"), F.col("p_type").alias("name_en"), F.lit(None).cast("string").alias("name_ar"),
+        F.concat("n", F.lit(" parts")).alias("description"), F.concat(F.lit("SUM(p_size) = "), "size").alias("expression"),
+        F.array(F.lit("part")).alias("tables"), empty.alias("caveats"), F.lit("high").alias("confidence"),
+    )
+    return D.metric_documents("shop", rows).select("id", "document", "kind")
+
+
+@query(
+    "build_profile_documents",
+    "SELECT 'shop:table_profile:' || lower(replace(s_name, '#', '')) AS id, 'Table profile: ' || s_name || chr(10) || 'Business name (English): ' || s_name || chr(10) || "
+    "'Grain: one supplier' || chr(10) || 'Common questions:' || chr(10) || '  - nation ' || s_nationkey || chr(10) || '  - key ' || s_suppkey AS document, "
+    "'table_profile' AS kind FROM supplier",
+)
+def build_profile_documents(t):
+    none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
+    questions = F.array(
+        F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")), F.concat(F.lit("key "), F.col("s_suppkey").cast("string"))
+    )
+    rows = t["supplier"].select(
+        F.col("s_name").alias("table_name"), none.alias("business_name_ar"), F.col("s_name").alias("business_name_en"),
+        none.alias("description"), F.lit("one supplier").alias("grain"), questions.alias("questions"), empty.alias("filters"),
+        F.lit("high").alias("confidence"),
+    )
+    return D.table_profile_documents("shop", rows).select("id", "document", "kind")
+
+
 @query(
     "build_table_documents",
     "SELECT 'geo:schema_table:' || replace(lower(r_name), ' ', '_') AS id, 'Table: dbo.' || r_name || chr(10) || 'Primary key: r_regionkey' || chr(10) || "

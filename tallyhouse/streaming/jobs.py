@@ -30,6 +30,18 @@ def windowed_activity(
     )
 
 
+def with_open_windows(closed: DataFrame, log: DataFrame, width: str, ts: str = "ts", key: str = "user_id") -> DataFrame:
+    """All windows once a stream has ended: those it has closed, and the ones its watermark left
+    open, counted from the log itself."""
+    timed = log.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
+    counts = timed.groupBy(F.window(ts, width), F.col(key)).agg(F.count("*").alias("requests")).select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "requests"
+    )
+    done = closed.select(F.col("window_start").alias("_w"), F.col(key).alias("_k"))
+    same = (F.col("window_start") == F.col("_w")) & F.col(key).eqNullSafe(F.col("_k"))
+    return closed.unionByName(counts.join(done, same, "left_anti"))
+
+
 def rate_limit_stream(
     stream: DataFrame, limit: int, secs: int, key: str = "user_id", id_col: str = "request_id",
     ts: str = "ts", late: str = "10 minutes",

@@ -197,6 +197,8 @@ def test_windowed_activity_stream(spark, work):
         if start + timedelta(minutes=1) <= closed:
             want[(start, u)] += 1
     assert got == dict(want)
+    every = ST.with_open_windows(out, spark.read.schema(stream.schema).parquet(path), "1 minute")
+    assert every.groupBy().sum("requests").first()[0] == len(rows) and every.count() > out.count()
 
 
 def test_stream_screen_writes_apart(spark, work):
