@@ -50,6 +50,18 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in column])
 
 
+def _measured(column) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and their lengths. Where a length overflows or vanishes, the vector is scaled first."""
+    m = _matrix(column)
+    with np.errstate(over="ignore", under="ignore"):
+        norm = np.sqrt((m * m).sum(axis=1))
+    odd = ~np.isfinite(norm) | (norm < 1e-150)
+    if odd.any():
+        m[odd] /= np.abs(m[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.linalg.norm(m[odd], axis=1)
+    return m, norm
+
+
 def train(sample: np.ndarray, centroids: int = CENTROIDS, seed: int = 5) -> list[np.ndarray]:
     """Two codebooks by k-means on the halves of unit vectors."""
     rng, books = np.random.default_rng(seed), []
@@ -131,7 +143,8 @@ def search(
     for r in index.groupBy("cell").count().collect():  # at most centroids * centroids rows
         counts[r.cell] = r["count"]
     split = -(-counts // BLOCK)
-    enough = int(np.ceil(visit * counts.sum()))
+    # At least so many that n are left without the query itself.
+    enough = max(int(np.ceil(visit * counts.sum())), n + 1)
     plan = spark.sparkContext.broadcast((counts, split))
 
     def route(batches):
@@ -160,11 +173,10 @@ def search(
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         ids, own = left["id"].to_numpy(), right["id"].to_numpy()
-        m, q = _matrix(left["v"]), _matrix(right["v"])
-        norm = np.linalg.norm(m, axis=1)
+        (m, norm), (q, q_norm) = _measured(left["v"]), _measured(right["v"])
         out = []
         for i in range(len(own)):
-            score = (m @ q[i]) / (norm * np.linalg.norm(q[i]))
+            score = (m @ q[i]) / (norm * q_norm[i])
             score[ids == own[i]] = -np.inf
             # All that tie with the n-th score stay in the running.
             edge = np.partition(score, -min(n, len(score)))[-min(n, len(score))]

@@ -22,6 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.common import free_name
 from tallyhouse.session import materialize
 
 MOST = 3
@@ -220,10 +221,12 @@ def take(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: every document as many times as it is taken, by its ``source``."""
     taken, _ = mix(docs, F.array("source"), by_rank, seed)
     times = materialize(taken.select("doc_id", "text_hash", "times", F.get("pattern", F.lit(0)).alias("s")).distinct(), "mix-times")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    h, n, again = (free_name(docs.columns, c) for c in ("_h", "_times", "_n"))
+    # Ids and sources may be null, so they meet null-safe.
+    times = times.select(F.col("doc_id").alias("t_id"), F.col("text_hash").alias("t_hash"), F.col("s").alias("t_source"), F.col("times").alias(n))
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
     same = (
-        keyed["doc_id"].eqNullSafe(times["doc_id"]) & (keyed["_h"] == times["text_hash"]) & keyed["source"].eqNullSafe(times["s"])
+        keyed["doc_id"].eqNullSafe(times["t_id"]) & (keyed[h] == times["t_hash"]) & keyed["source"].eqNullSafe(times["t_source"])
     )
-    out = keyed.join(times, same).select(keyed["*"], times["times"].alias("_times"))
-    repeated = out.filter("_times > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-    return repeated.select(*docs.columns)
+    out = keyed.join(times, same).select(*[keyed[c] for c in docs.columns], times[n])
+    return out.filter(F.col(n) > 0).withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)

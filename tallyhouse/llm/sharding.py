@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.llm.common import free_name
+
 # Production size: slots (a prime) and shards.
 SLOTS, SHARDS = 8191, 64
 
@@ -58,10 +60,11 @@ def place(df: DataFrame, key_col: str, shards: Sequence[str], slots: int = SLOTS
     df = df.drop(out_col) if out_col in df.columns else df
     table = lookup_table(shards, slots)
     names = df.columns
-    rows = df.sparkSession.createDataFrame(list(enumerate(table)), "_slot int, _shard int")
+    at, number = free_name(names, "_slot"), free_name(names, "_shard")
+    rows = df.sparkSession.createDataFrame(list(enumerate(table)), f"`{at}` int, `{number}` int")
     # ``slots`` rows of two integers, whatever the corpus.
-    found = df.withColumn("_slot_of_key", slot(F.col(key_col), slots)).join(F.broadcast(rows), F.col("_slot_of_key") == F.col("_slot"), "left")
-    return found.select(*names, F.col("_shard").alias(out_col))
+    found = df.withColumn(at, slot(F.col(key_col), slots)).join(F.broadcast(rows), at, "left")
+    return found.select(*names, F.col(number).alias(out_col))
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
@@ -70,8 +73,9 @@ def shard_names(n: int = SHARDS) -> list[str]:
 
 def write_shards(df: DataFrame, path: str, key_col: str, shards: Sequence[str], slots: int = SLOTS, parts: int = 8) -> None:
     """Write ``df`` into one folder per shard, each spread over ``parts`` tasks by its rows' keys."""
-    placed = place(df, key_col, shards, slots, "shard").withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
-    placed.repartition("shard", "_salt").drop("_salt").write.partitionBy("shard").parquet(path)
+    salt = free_name(df.columns, "_salt")
+    placed = place(df, key_col, shards, slots, "shard").withColumn(salt, F.pmod(F.xxhash64(*df.columns), F.lit(parts)))
+    placed.repartition("shard", salt).drop(salt).write.partitionBy("shard").parquet(path)
 
 
 def document_shards(docs: DataFrame) -> DataFrame:
