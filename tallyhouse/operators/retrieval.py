@@ -261,7 +261,7 @@ def _prune_sections(sections: DataFrame, budget: int) -> DataFrame:
 
     The room left only shrinks. So of all sections of one size at most
     ``budget / size`` fit whole, and they are the first of that size; of all sections
-    whose first paragraph has one size at most ``budget / size`` can give a cut part,
+    whose first paragraph with text has one size at most ``budget / size`` can give a cut part,
     and they too are the first. What remains per question is bounded by the budget,
     however many sections it has.
     """
@@ -278,7 +278,7 @@ def _prune_sections(sections: DataFrame, budget: int) -> DataFrame:
             rank = F.row_number().over(
                 Window.partitionBy("question_id", flag, size, *salt).orderBy(*order)
             )
-            fits = (F.col(size) == 0) | (rank <= limit)
+            fits = F.coalesce((F.col(size) == 0) | (rank <= limit), F.lit(False))
             kept = kept.withColumn(flag, F.col(flag) & fits)
         kept = kept.filter(F.col("_whole") | F.col("_part"))
     return kept
@@ -297,10 +297,12 @@ def pack_context(sections: DataFrame, budget: int = MAX_TOKENS) -> DataFrame:
         known = F.create_map(*[F.lit(x) for pair in SECTION_PRIORITY.items() for x in pair])
         sections = sections.withColumn("priority", F.coalesce(F.try_element_at(known, F.col("name")), F.lit(len(SECTION_PRIORITY) + 1)))
     paragraphs = F.split(F.col("content"), "\n\n")
+    # A cut part needs a paragraph with text, so the first such one decides what can fit.
+    texts = F.filter(paragraphs, lambda p: F.length(F.trim(p)) > 0)
     sized = sections.select(
         "question_id", "name", "priority", "content",
         token_estimate(F.col("content")).alias("_tokens"),
-        token_estimate(F.element_at(paragraphs, 1)).alias("_lead"),
+        F.when(F.size(texts) > 0, token_estimate(F.get(texts, F.lit(0)))).alias("_lead"),
         F.xxhash64("name", "content").alias("_tie"),
     )
     totals = sized.groupBy("question_id").agg(F.sum("_tokens").alias("_total"))
@@ -334,7 +336,7 @@ def pack_context(sections: DataFrame, budget: int = MAX_TOKENS) -> DataFrame:
         part = F.when(s["_tokens"] <= room, s["content"]).when(
             room >= MIN_CUT_TOKENS, cut(s["content"], room)
         )
-        add = part.isNotNull() & ((s["_tokens"] <= room) | (F.length(part) > 0))
+        add = part.isNotNull() & ((s["_tokens"] <= room) | (F.length(F.trim(part)) > 0))
         return F.struct(
             F.when(add, F.concat(acc["parts"], F.array(part))).otherwise(acc["parts"]).alias("parts"),
             F.when(add, F.concat(acc["names"], F.array(s["name"]))).otherwise(acc["names"]).alias("names"),

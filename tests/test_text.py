@@ -218,6 +218,16 @@ def test_pack_context(spark, budget):
     assert got == want
 
 
+def test_blank_first_paragraphs_are_bounded(spark):
+    rows = [(1, f"s{i:03d}", "\n\n" + "x" * 2000) for i in range(500)] + [(1, "schema", "top")]
+    df = spark.createDataFrame(rows, "question_id int, name string, content string")
+    got = RT.pack_context(df, 400).first()
+    # Known names come first by default; no blank section is a part of its own.
+    assert got["included"] == ["schema"] and got["used_tokens"] == 1 and got["truncated"]
+    sized = df.selectExpr("*", "9 AS priority", "1000 AS _tokens", "1000 AS _lead", "xxhash64(content) AS _tie")
+    assert RT._prune_sections(sized, 2500).count() <= 10
+
+
 def test_keyword_search(spark):
     a = spark.createDataFrame([(2, "Big Order"), (1, "order")], "id int, t string")
     b = spark.createDataFrame([(1, "none", None), (0, "x", "ORDER")], "id int, t string, u string")
