@@ -129,7 +129,7 @@ def _prefix(rows: DataFrame, rest: DataFrame, slot: Column) -> DataFrame:
     """Running size before each slot of each pattern, with what the pattern still wants."""
     sizes = rows.groupBy("pattern", slot.alias("slot")).agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("pattern").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.withColumn("before", F.coalesce(before, F.lit(0))).join(rest, "pattern")
+    return sizes.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(rest), "pattern")
 
 
 def select(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
@@ -146,24 +146,25 @@ def select(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     first = _prefix(rows, want, top)
     cut = first.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
     cut = materialize(cut.select("pattern", F.col("slot").alias("slice"), (F.col("rest") - F.col("before")).alias("rest")), "mix-cut")
-    inner = rows.join(cut.withColumnRenamed("slice", "s").drop("rest"), "pattern").filter(top == F.col("s"))
+    # Cuts, edges and extras have one row per pattern at most, as the plan, which the driver holds.
+    inner = rows.join(F.broadcast(cut.withColumnRenamed("slice", "s").drop("rest")), "pattern").filter(top == F.col("s"))
     second = _prefix(inner.select("pattern", "u", "size"), cut.select("pattern", "rest"), low)
     deep = second.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
     deep = deep.select("pattern", F.col("slot").alias("sub"), (F.col("rest") - F.col("before")).alias("rest"))
     cuts = materialize(cut.drop("rest").join(deep, "pattern"), "mix-cuts")
-    last = rows.join(cuts.drop("rest"), "pattern").filter((top == F.col("slice")) & (low == F.col("sub")))
+    last = rows.join(F.broadcast(cuts.drop("rest")), "pattern").filter((top == F.col("slice")) & (low == F.col("sub")))
     third = _prefix(last.select("pattern", "u", "size"), cuts.select("pattern", "rest"), F.col("u"))
     # The cut itself: documents before it are in. What is still missing then is ``gap``.
     edge = third.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest")))
     edge = materialize(edge.select("pattern", F.col("slot").alias("edge"), (F.col("rest") - F.col("before")).alias("gap")), "mix-edge")
-    marked = rows.join(edge, "pattern", "left").join(plan, "pattern", "left")
+    marked = rows.join(F.broadcast(edge), "pattern", "left").join(F.broadcast(plan), "pattern", "left")
     marked = marked.withColumn("inside", F.coalesce(F.col("u") < F.col("edge"), F.lit(False)))
     alike = marked.filter(~F.col("inside") & (F.col("gap") > 0)).groupBy("pattern", "gap", "u", "doc_id", "text_hash").agg(F.sum("size").alias("size"))
     near = alike.filter(F.abs(F.col("size") - F.col("gap")) < F.col("gap")).groupBy("pattern").agg(
         F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("d"), "u", "doc_id", "text_hash")).alias("extra")
     )
     near = materialize(near.select("pattern", F.col("extra.u").alias("eu"), F.col("extra.doc_id").alias("eid"), F.col("extra.text_hash").alias("eh")), "mix-extra")
-    out = marked.join(near, "pattern", "left")
+    out = marked.join(F.broadcast(near), "pattern", "left")
     extra = (F.col("u") == F.col("eu")) & F.col("doc_id").eqNullSafe(F.col("eid")) & (F.col("text_hash") == F.col("eh"))
     times = F.coalesce(F.col("rounds"), F.lit(0)) + F.when(F.col("inside") | F.coalesce(extra, F.lit(False)), 1).otherwise(0)
     return out.withColumn("times", F.least(times, F.lit(MOST)).cast("int"))
