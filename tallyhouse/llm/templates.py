@@ -90,6 +90,8 @@ def recurring_lines(
         .filter(F.col("share") >= similarity)
         .select("leaf", "la", "lb", F.xxhash64(F.col("t.w")).alias("template"))
     )
+    # Written first: a join of two plain reads is one whose hot keys Spark can split.
+    named = materialize(named, "named-lines")
     found = materialize(
         shared.select("ka", "kb", "i", "leaf", "la", "lb", F.size("words").alias("n")).join(named, ["leaf", "la", "lb"])
         .select("ka", "kb", "i", "n", "leaf", "template"),
@@ -106,7 +108,7 @@ def recurring_lines(
     copies = materialize(
         inside.join(totals, ["ka", "kb"]).filter(F.col("inside") > copy_share * F.col("total")).select("ka", "kb"), "whole-copies"
     )
-    dropped = recurrent(found.join(copies, ["ka", "kb"], "left_anti"))
+    dropped = materialize(recurrent(found.join(copies, ["ka", "kb"], "left_anti")), "dropped-templates")
     drop = (
         found.join(dropped, ["leaf", "template"], "left_semi")
         .groupBy("ka", "kb").agg(F.array_sort(F.collect_set("i")).alias("drop"), F.sum("n").alias("gone"))
