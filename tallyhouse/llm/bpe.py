@@ -33,9 +33,9 @@ LEAF_CHARS = 256
 # Texts beyond this are encoded in pieces.
 PIECE_CHARS = 1 << 16
 # Words remembered per worker before the memory starts anew.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 # Characters worked on between two emitted batches.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 # The vocabulary's special strings and the character classes of its word
 # pattern within Latin-1, lower case.
 SPECIALS = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
@@ -65,11 +65,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"]["end_of_word_suffix"]
-        # The bare models see mapped bytes; the inner one never closes a word.
-        bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
-        self.last = Tokenizer.from_str(json.dumps(bare))
-        inner = bare | {"model": spec["model"] | {"end_of_word_suffix": None}}
-        self.inner = Tokenizer.from_str(json.dumps(inner))
+        self.path = path
         self.special = {t["content"]: np.int32(t["id"]).tobytes() for t in spec["added_tokens"]}
         size = self.whole.get_vocab_size()
         self.strings = np.array([self.whole.id_to_token(i) or "" for i in range(size)], dtype=object)
@@ -77,6 +73,24 @@ class Encoder:
         self.bytes = self._byte_letters()
         self.memory: dict[str, bytes] = {}
 
+    def _bare(self, **model) -> object:
+        """The model alone: it sees mapped bytes. Built when the first long word comes."""
+        from tokenizers import Tokenizer
+
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "model": spec["model"] | model}
+        return Tokenizer.from_str(json.dumps(spec))
+
+    @functools.cached_property
+    def last(self):
+        return self._bare()
+
+    @functools.cached_property
+    def inner(self):
+        """The model that never closes a word."""
+        return self._bare(end_of_word_suffix=None)
+
     def _byte_letters(self) -> list[str]:
         """The letter that stands for each byte: printable ones for themselves, the rest from 256 on."""
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}

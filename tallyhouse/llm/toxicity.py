@@ -97,6 +97,24 @@ class Block:
         self.runs, self.run_word = np.concatenate(hashes), np.concatenate(owners)
 
 
+def joined(texts: list[str], limit: int) -> Block:
+    """A block of many texts, read a slice at a time, so that only words are held for all of them."""
+    parts = [Block(texts[a:b]) for a, b in row_slices([len(t) for t in texts], limit)] or [Block([])]
+    out = Block.__new__(Block)
+    offset = np.cumsum([0, *[len(p.words) for p in parts]])
+    out.words, first, place = np.unique(np.concatenate([p.words for p in parts]), return_index=True, return_inverse=True)
+    new = np.zeros(offset[-1], dtype=bool)
+    new[first] = True
+    out.at = np.concatenate([place[o + p.at] for o, p in zip(offset, parts, strict=False)])
+    ends = np.concatenate([np.diff(p.bounds) for p in parts])
+    out.bounds = np.concatenate([[0], np.cumsum(ends)])
+    # Runs of a word come from the slice that has it first.
+    keep = [new[o + p.run_word] for o, p in zip(offset, parts, strict=False)]
+    out.runs = np.concatenate([p.runs[k] for p, k in zip(parts, keep, strict=True)])
+    out.run_word = np.concatenate([place[o + p.run_word[k]] for o, p, k in zip(offset, parts, keep, strict=False)])
+    return out
+
+
 class Lookup:
     """Places of known hashes, by slot; of hashes that share a slot the first one stays."""
 
@@ -312,7 +330,7 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
     if not len(y) or y.min() == y.max():
         return model
     rng = np.random.default_rng(seed)
-    block = Block(texts)
+    block = joined(texts, BLOCK_CHARS)
     row_of = np.repeat(np.arange(len(texts)), np.diff(block.bounds))
     odds, rows = _log_odds(block.at, row_of, y, len(block.words))
     chosen = np.flatnonzero(rows >= WORD_ROWS)
@@ -382,7 +400,8 @@ def train(texts: list[str], labels: list[int], seed: int = 11) -> Model:
                 net.w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
             _learn_vectors(model, used, local, dx, word_at, run_seen, block, by_word, run_start, run_count, count, sums)
     model.net = net
-    logit = model.logits(texts)
+    spans = row_slices([len(t) for t in texts], BLOCK_CHARS)
+    logit = np.concatenate([model.logits(texts[a:b]) for a, b in spans])
     model.shift, model.scale = _cut(logit, y, weight)
     return model
 
@@ -477,7 +496,8 @@ def fit(rows: DataFrame) -> Model:
         model = train([t for _, t, _ in drawn], [int(y == 1) for _, _, y in drawn])
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
 
-    return pickle.loads(rows.select("h", "text", "toxic").coalesce(1).mapInArrow(run, "model binary").first().model)
+    made = rows.select("h", "text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else train([], [])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
