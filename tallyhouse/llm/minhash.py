@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import row_slices
+from tallyhouse.llm.common import free_name, row_slices
 from tallyhouse.llm.wordhash import mixed, shingles, words
 from tallyhouse.session import materialize
 
@@ -40,7 +40,8 @@ BUCKETS, MAPS = 1 << 15, 16
 # Share of the corpus that is added to every frequency.
 SMOOTHING = 0.05
 BLOCK_CHARS = 400_000
-LANE = 1 << 14
+# Bits of the bitmap that tells which texts may be wanted: 2 MB, whatever the corpus.
+MARK_BITS = 24
 
 
 def text_key(col: str = "text") -> Column:
@@ -199,6 +200,29 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.mapInArrow(run, "id binary, leader binary, similarity double")
 
 
+def _marks(ids: DataFrame) -> np.ndarray:
+    """Bitmap of ids by the first ``MARK_BITS`` bits of their hash; at most 2^18 words reach the driver."""
+    at = F.conv(F.substring(F.hex("id"), 1, MARK_BITS // 4), 16, 10).cast("long")
+    bit = F.expr("shiftleft(1L, cast(at % 64 AS INT))")
+    found = ids.select(at.alias("at")).select(F.floor(F.col("at") / 64).alias("word"), bit.alias("bit"))
+    out = np.zeros((1 << MARK_BITS) // 64, dtype=np.int64)
+    for r in found.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        out[r.word] = r.bits
+    return out
+
+
+def _marked(keyed: DataFrame, marks: np.ndarray) -> DataFrame:
+    """Rows (id, text) whose mark is set: all that are wanted, and few others, before any shuffle."""
+    shared = keyed.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        for batch in batches:
+            ids = np.frombuffer(b"".join([i[:4] for i in batch.column(0).to_pylist()]), dtype=">u4").astype(np.int64) >> (32 - MARK_BITS)
+            yield batch.filter(pa.array((shared.value[ids // 64] >> (ids % 64)) & 1 == 1))
+
+    return keyed.select("id", "text").mapInArrow(run, "id binary, text string")
+
+
 def links(docs: DataFrame) -> DataFrame:
     """(id, leader, similarity): verified links between different texts of ``docs``."""
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -211,7 +235,7 @@ def links(docs: DataFrame) -> DataFrame:
     members = materialize(members.select("id", "band", "cell").join(rank, "id"), "ranked-members")
     involved = materialize(rank.select("id"), "involved")
     keyed = docs.withColumn("id", text_key())
-    texts = keyed.join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = _marked(keyed, _marks(involved)).join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
     texts = materialize(texts, "candidate-texts")
     found = tested = None
     for _ in range(ROUNDS):
@@ -275,12 +299,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of the smallest id, then text."""
     edges = materialize(links(docs), "links")
     roots = materialize(components(edges), "components")
-    keyed = docs.withColumn("_id", text_key())
-    copies = keyed.groupBy("_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))).alias("first"))
-    copies = copies.withColumnRenamed("_id", "id")
-    copies = materialize(copies, "copies")
+    key, first = free_name(docs.columns, "_key"), free_name(docs.columns, "_first")
+    rows = docs.select("doc_id", text_key().alias("id"))
+    named = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
+    copies = materialize(rows.groupBy("id").agg(F.min(named).alias("first")), "copies")
     rooted = materialize(copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
-    best = materialize(rooted.groupBy("root").agg(F.min(F.struct("first", "id")).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.first.d").alias("_doc")), "kept-texts")
-    kept = keyed.join(best, "_id").filter(F.col("doc_id").eqNullSafe(F.col("_doc"))).drop("_doc")
+    best = rooted.groupBy("root").agg(F.min(F.struct("first", "id")).alias("best"))
+    best = materialize(best.select(F.col("best.id").alias(key), F.col("best.first.d").alias(first)), "kept-texts")
+    kept = docs.withColumn(key, text_key()).join(best, key).filter(F.col("doc_id").eqNullSafe(F.col(first)))
     # Repeated rows of the same id and text: one of them stays.
-    return kept.dropDuplicates(["_id"]).drop("_id")
+    return kept.dropDuplicates([key]).select(*docs.columns)
