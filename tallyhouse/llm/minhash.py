@@ -11,9 +11,13 @@ document takes part under its smallest shingle, so near copies count about once
 there are. The bitmaps have a fixed size, and as frequencies are relative to the corpus their
 noise does not depend on its size.
 
-Within a bucket texts are not compared pairwise: all are compared with the one that shares
-most buckets, the rest again with the one of them that does, ``ROUNDS`` times, in each of the
-bands. Classes are the connected components of the verified links.
+Within a bucket all texts are first compared with the one that shares most buckets, the rest
+again with the one of them that does, ``ROUNDS`` times, in each of the bands. That joins large
+groups of near copies without comparing all pairs. Whatever then still lies in one bucket but
+not in one class is joined exactly: texts of a similarity of 0.8 share one of their rarest
+shingles, those before the last four fifths of a text's weight, so each text meets those of
+other classes that share one, linked or not. Classes are the connected components of the
+verified links.
 
 Texts that are equal are one text. Null counts as empty, and all texts without a word that
 are equal form a class of their own. Texts of fewer than five words are one shingle. Null ids
@@ -40,6 +44,10 @@ BUCKETS, MAPS = 1 << 15, 16
 # Share of the corpus that is added to every frequency.
 SMOOTHING = 0.05
 BLOCK_CHARS = 400_000
+# Slots that count texts by shingle, to tell rare shingles from frequent ones.
+SLOTS = 1 << 20
+# More than the rounding of single-precision sums of weights can amount to.
+SLACK = 1 - 1e-5
 # Bits of the bitmap that tells which texts may be wanted: 2 MB, whatever the corpus.
 MARK_BITS = 24
 
@@ -200,6 +208,96 @@ def verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     return both.mapInArrow(run, "id binary, leader binary, similarity double")
 
 
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """Number of texts by slot of their shingles; at most ``SLOTS`` numbers reach the driver."""
+
+    def run(batches):
+        count = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for _, _, shingle, own in _blocks(batch.column(0).to_pylist()):
+                s, _, _ = weighted(shingle, own, np.ones(BUCKETS, np.float32))
+                count += np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        used = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(count[used])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def leading(s: np.ndarray, o: np.ndarray, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, rest, total) of each text's rarest shingles: two texts similar enough share one.
+
+    ``rest`` is the weight from that shingle on. What two texts have in common is at most the
+    rest of either at the first shingle they share, and has to be 0.8 of the weight of both.
+    """
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    at = np.lexsort((s, counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)], o))
+    _, starts, size = np.unique(o, return_index=True, return_counts=True)
+    weight = w[at].astype(np.float64)
+    total = np.repeat(np.add.reduceat(weight, starts), size)
+    before = np.cumsum(weight) - weight
+    rest = total - (before - np.repeat(before[starts], size))
+    keep = rest >= SIMILARITY * SLACK * total
+    return at[keep], rest[keep], total[keep]
+
+
+def prefixes(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(id, root, shingle, rest, total): the rarest shingles of ``texts`` (id, root, text)."""
+    shared = texts.sparkSession.sparkContext.broadcast((idf, shingle_counts(texts).astype(np.int64)))
+
+    def run(batches):
+        idf, counts = shared.value
+        for batch in batches:
+            for a, _, shingle, own in _blocks(batch.column(2).to_pylist()):
+                s, o, w = weighted(shingle, own, idf)
+                at, rest, total = leading(s, o, w, counts)
+                row = pa.array(o[at].astype(np.int64) + a)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(s[at].view(np.int64)),
+                     pa.array(rest.astype(np.float32)), pa.array(total.astype(np.float32))],
+                    names=["id", "root", "shingle", "rest", "total"],
+                )
+
+    return texts.select("id", "root", "text").mapInArrow(run, "id binary, root binary, shingle long, rest float, total float")
+
+
+def across(rows: DataFrame) -> DataFrame:
+    """(id, leader): all pairs of ``prefixes`` of different roots that may be similar enough.
+
+    Under each shingle the root of most texts stands on one side only, so a large class meets
+    the texts outside it and never itself.
+    """
+    roots = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    several = roots.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter(F.col("roots") > 1)
+    several = materialize(several.select("shingle", F.col("main.root").alias("main")), "shared-shingles")
+    rows = materialize(rows.join(several, "shingle"), "shared-prefixes")
+    other = rows.filter(F.col("root") != F.col("main")).drop("main")
+    other = materialize(other.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("id", "root", "rest", "total")]), "outside-prefixes")
+    common = SIMILARITY / (1 + SIMILARITY) * SLACK * (F.col("total") + F.col("_total"))
+    pairs = rows.join(other, "shingle").filter(
+        (F.col("root") != F.col("_root")) & ((F.col("root") == F.col("main")) | (F.col("id") < F.col("_id")))
+        & (F.least("rest", "_rest") >= common) & (F.least("total", "_total") >= SIMILARITY * SLACK * F.greatest("total", "_total"))
+    )
+    return pairs.select(F.greatest("id", "_id").alias("id"), F.least("id", "_id").alias("leader")).distinct()
+
+
+def remaining(members: DataFrame, texts: DataFrame, idf: np.ndarray, found: DataFrame, tested: DataFrame) -> DataFrame:
+    """Verified links between texts that share a bucket of ``members`` and that ``found`` leaves in different classes."""
+    roots = components(found)
+    rooted = materialize(members.select("id", "band", "cell").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted-members")
+    # Two texts alone in a bucket have been compared.
+    parted = rooted.groupBy("band", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
+    parted = materialize(parted.filter((F.col("a") != F.col("b")) & (F.col("n") > 2)).select("band", "cell"), "parted-buckets")
+    open_ids = materialize(rooted.join(parted, ["band", "cell"], "left_semi").select("id", "root").distinct(), "open-texts")
+    rows = materialize(prefixes(texts.join(open_ids, "id"), idf), "prefixes")
+    known = tested.select(F.greatest("id", "leader").alias("id"), F.least("id", "leader").alias("leader"))
+    pairs = materialize(across(rows).join(known, ["id", "leader"], "left_anti"), "remaining-pairs")
+    return materialize(verify(pairs, texts, idf), "verified-rest")
+
+
 def _marks(ids: DataFrame) -> np.ndarray:
     """Bitmap of ids by the first ``MARK_BITS`` bits of their hash; at most 2^18 words reach the driver."""
     at = F.conv(F.substring(F.hex("id"), 1, MARK_BITS // 4), 16, 10).cast("long")
@@ -232,7 +330,7 @@ def links(docs: DataFrame) -> DataFrame:
     sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
     members = materialize(cells.join(materialize(sizes, "band-sizes"), ["band", "cell"]), "band-members")
     rank = materialize(members.groupBy("id").agg(F.sum("size").alias("score")), "scores")
-    members = materialize(members.select("id", "band", "cell").join(rank, "id"), "ranked-members")
+    every = members = materialize(members.select("id", "band", "cell").join(rank, "id"), "ranked-members")
     involved = materialize(rank.select("id"), "involved")
     keyed = docs.withColumn("id", text_key())
     texts = _marked(keyed, _marks(involved)).join(involved, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
@@ -251,7 +349,7 @@ def links(docs: DataFrame) -> DataFrame:
         members = materialize(rest.select("id", "band", "cell", "score"), "unlinked")
         if members.isEmpty():
             break
-    return found
+    return found.unionByName(remaining(every, texts, idf, found, tested))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, class_id, n_links, n_copies): one row per row of ``docs``.
 
     ``class_id`` is the smallest id of the class, ``n_links`` counts the verified links of the
-    row's text to different texts, ``n_copies`` the rows of the same text.
+    row's text to different texts that made the class, not all texts like it; ``n_copies`` the rows of the same text.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     edges = materialize(links(docs), "links")

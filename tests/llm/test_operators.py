@@ -192,6 +192,56 @@ def test_classes_join_what_is_similar(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_pairs_within_a_family_that_shares_a_passage(spark, monkeypatch):
+    # Equal weights: all texts are alike by 0.6 to 0.7, each like its own partner by 0.8 and more only.
+    monkeypatch.setattr(minhash, "document_frequency", lambda docs: np.ones(minhash.BUCKETS, np.float32))
+    passage = " ".join(f"common{k}" for k in range(244))
+    rows = []
+    for i in range(1_000):
+        own = [f"p{i}x{k}" for k in range(60)]
+        for j in range(2):
+            edited = own[: 60 - (20 if i % 2 else 30)] + [f"q{i}x{j}x{k}" for k in range(20 if i % 2 else 30)]
+            rows.append((2 * i + j, passage + " " + " ".join(edited)))
+    got = collections.defaultdict(set)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for r in minhash.near_duplicates(df).collect():
+        got[r.class_id].add(r.doc_id)
+    # All pairs, in one matrix product over the shingles that not all texts have.
+    grams, at = {}, []
+    for i, text in rows:
+        w = text.split()[240:]
+        at += [(i, grams.setdefault(tuple(w[k : k + 5]), len(grams))) for k in range(len(w) - 4)]
+    m = np.zeros((len(rows), len(grams)), np.float32)
+    m[tuple(np.array(at).T)] = 1
+    both = 240 + m @ m.T
+    alike = both / (2 * (240 + m.sum(axis=1)[0]) - both) >= minhash.SIMILARITY
+    pairs = {frozenset((int(a), int(b))) for a, b in zip(*np.nonzero(alike), strict=True) if a != b}
+    assert pairs == {frozenset((2 * i, 2 * i + 1)) for i in range(1_000)}
+    found = {frozenset(x) for x in got.values() if len(x) > 1}
+    # A pair may be missed only where it never shares a bucket, which is the odds of the bands.
+    drawn = {bytes(r.id): r.bands for r in minhash.bands(df, np.ones(minhash.BUCKETS, np.float32)).collect()}
+    key = {i: hashlib.md5(text.encode()).digest() for i, text in rows}
+    met = {p for p in pairs if any(x == y for x, y in zip(*[drawn[key[i]] for i in p], strict=True))}
+    assert met <= found <= pairs and len(met) > 980
+
+
+def test_leading_shingles_of_similar_texts_meet():
+    r = np.random.default_rng(4)
+    counts = r.integers(0, 50, minhash.SLOTS)
+    for _ in range(200):
+        s = np.unique(r.integers(0, 1 << 62, 120).astype(np.uint64))
+        w = r.choice([0.5, 1, 3], len(s)).astype(np.float32)
+        a, b = r.random(len(s)) < 0.95, r.random(len(s)) < 0.95
+        both = float(w[a & b].sum()) / float(w[a | b].sum())
+        kept = []
+        for side in (a, b):
+            at, rest, total = minhash.leading(s[side], np.zeros(side.sum(), np.int64), w[side], counts)
+            kept.append({int(x): (y, z) for x, y, z in zip(s[side][at], rest, total, strict=True)})
+        meet = [min(kept[0][x][0], kept[1][x][0]) for x in kept[0].keys() & kept[1].keys()]
+        need = minhash.SIMILARITY / (1 + minhash.SIMILARITY) * (float(w[a].sum()) + float(w[b].sum()))
+        assert both < minhash.SIMILARITY or (meet and max(meet) >= need * minhash.SLACK)
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     r = random.Random(1)
     a = [f"w{r.randrange(10_000)}" for _ in range(400)]
