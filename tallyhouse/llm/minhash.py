@@ -8,8 +8,8 @@ verified by the exact similarity of their whole texts.
 
 Document frequency is kept per shingle bucket, in bitmaps that count different documents; a
 document takes part under its smallest shingle, so near copies count about once however many
-there are. The bitmaps have a fixed size, and as frequencies are relative to the corpus their
-noise does not depend on its size.
+there are. The bitmaps have a fixed size and can count 10^15 documents; as frequencies are
+relative to the corpus, their noise does not depend on its size.
 
 Within a bucket all texts are first compared with the one that shares most buckets, the rest
 again with the one of them that does, ``ROUNDS`` times, in each of the bands. That joins large
@@ -39,7 +39,7 @@ from tallyhouse.session import materialize
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, ROUNDS = 10, 4, 3
-# Shingle buckets of the document frequencies; bitmaps of 16 bits in each.
+# Shingle buckets of the document frequencies; bitmaps of 64 bits in each.
 BUCKETS, MAPS = 1 << 15, 16
 # Share of the corpus that is added to every frequency.
 SMOOTHING = 0.05
@@ -64,41 +64,51 @@ def _blocks(texts: list[str | None]):
         yield a, b, *shingles(hashes, bounds, WORDS)
 
 
+def note(maps: np.ndarray, bucket: np.ndarray, name: np.ndarray) -> None:
+    """Set the bits of hashed ``name`` in the bitmaps of its bucket; ``maps`` has ``MAPS`` words of each."""
+    low = name >> np.uint64(8)
+    # Of 56 zero bits the last counts as set.
+    low = low | np.uint64(1 << 55)
+    bit = low & (~low + np.uint64(1))
+    np.bitwise_or.at(maps, bucket * MAPS + (name & np.uint64(MAPS - 1)).astype(np.int64), bit)
+
+
+def counted(bits: np.ndarray) -> np.ndarray:
+    """Number of different names noted in each row of ``MAPS`` words."""
+    first_gap = np.zeros(bits.shape, dtype=np.int64)
+    for k in range(64):
+        ones = np.uint64((1 << (k + 1)) - 1)
+        first_gap += ((bits & ones) == ones).astype(np.int64)
+    return np.where(bits.any(axis=1), MAPS / 0.77351 * 2.0 ** first_gap.mean(axis=1), 0)
+
+
 def document_frequency(docs: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequency of every shingle bucket."""
 
     def run(batches):
-        maps = np.zeros((BUCKETS + 1) * MAPS, dtype=np.uint16)
+        maps = np.zeros((BUCKETS + 1) * MAPS, dtype=np.uint64)
         for batch in batches:
             for a, b, shingle, own in _blocks(batch.column(0).to_pylist()):
                 least = np.full(b - a, np.iinfo(np.uint64).max, dtype=np.uint64)
                 np.minimum.at(least, own, shingle)
                 name = mixed(least + np.uint64(17))
-                low = name >> np.uint64(8)
-                low = np.minimum(np.log2(np.maximum(low & (~low + np.uint64(1)), 1).astype(np.float64)), 15).astype(np.uint16)
-                bit = (np.uint16(1) << low).astype(np.uint16)
-                lane = (name & np.uint64(MAPS - 1)).astype(np.int64)
-                np.bitwise_or.at(maps, (shingle & np.uint64(BUCKETS - 1)).astype(np.int64) * MAPS + lane[own], bit[own])
+                note(maps, (shingle & np.uint64(BUCKETS - 1)).astype(np.int64), name[own])
                 seen = np.unique(own)
-                np.bitwise_or.at(maps, BUCKETS * MAPS + lane[seen], bit[seen])
-        packed = maps.view(np.int64).reshape(-1, MAPS // 4)
+                note(maps, np.full(len(seen), BUCKETS), name[seen])
+        packed = maps.view(np.int64).reshape(-1, MAPS)
         used = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used.astype(np.int32)), *[pa.array(np.ascontiguousarray(packed[used, k])) for k in range(MAPS // 4)]],
-            names=["bucket", *[f"m{k}" for k in range(MAPS // 4)]],
+            [pa.array(used.astype(np.int32)), *[pa.array(np.ascontiguousarray(packed[used, k])) for k in range(MAPS)]],
+            names=["bucket", *[f"m{k}" for k in range(MAPS)]],
         )
 
-    cols = [f"m{k}" for k in range(MAPS // 4)]
+    cols = [f"m{k}" for k in range(MAPS)]
     rows = docs.select("text").mapInArrow(run, "bucket int, " + ", ".join(f"{c} long" for c in cols))
     merged = rows.groupBy("bucket").agg(*[F.bit_or(c).alias(c) for c in cols])
-    maps = np.zeros((BUCKETS + 1, MAPS // 4), dtype=np.int64)
+    maps = np.zeros((BUCKETS + 1, MAPS), dtype=np.int64)
     for r in merged.collect():
         maps[r.bucket] = r[1:]
-    bits = maps.view(np.uint16)
-    first_gap = np.zeros(bits.shape, dtype=np.int64)
-    for k in range(16):
-        first_gap += ((bits & ((1 << (k + 1)) - 1)) == (1 << (k + 1)) - 1).astype(np.int64)
-    seen = np.where(bits.any(axis=1), MAPS / 0.77351 * 2.0 ** first_gap.mean(axis=1), 0)
+    seen = counted(maps.view(np.uint64))
     share = np.minimum(seen[:-1] / max(seen[-1], 1.0), 1.0)
     return np.log1p(1 / (share + SMOOTHING)).astype(np.float32)
 

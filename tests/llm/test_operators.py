@@ -242,6 +242,17 @@ def test_leading_shingles_of_similar_texts_meet():
         assert both < minhash.SIMILARITY or (meet and max(meet) >= need * minhash.SLACK)
 
 
+def test_frequencies_of_many_documents():
+    n, maps = 20_000_000, np.zeros(2 * minhash.MAPS, np.uint64)
+    for a in range(0, n, 1_000_000):
+        name = minhash.mixed(np.arange(a, a + 1_000_000, dtype=np.uint64))
+        minhash.note(maps, np.ones(len(name), np.int64), name)
+        minhash.note(maps, np.zeros(50_000, np.int64), name[:50_000])
+    part, whole = minhash.counted(maps.reshape(-1, minhash.MAPS))
+    assert abs(whole / n - 1) < 0.5 and abs(part / whole / 0.05 - 1) < 0.7
+    assert minhash.counted(np.zeros((1, minhash.MAPS), np.uint64))[0] == 0
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     r = random.Random(1)
     a = [f"w{r.randrange(10_000)}" for _ in range(400)]
