@@ -56,9 +56,9 @@ class _Best:
         self.edge[full] = self.d[np.cumsum(count)[full] - 1]
 
 
-def _usable(rows: DataFrame, dims: int) -> DataFrame:
+def _usable(rows: DataFrame) -> DataFrame:
     whole = F.forall("embedding", lambda x: x.isNotNull())
-    return rows.filter((F.size("embedding") == dims) & F.coalesce(whole, F.lit(False)))
+    return rows.filter((F.size("embedding") > 0) & F.coalesce(whole, F.lit(False)))
 
 
 def vector_search(
@@ -67,8 +67,8 @@ def vector_search(
     """Nearest ``n`` corpus rows per query by cosine distance, ties by id; exact.
 
     ``queries``: query_id, embedding. ``corpus``: id, embedding and, for ``kind``, kind.
-    Vectors that are null, hold a null or differ in length from the first query's take no
-    part. Queries come to the driver a block at a time and visit the corpus where it
+    Vectors that are null, empty or hold a null take no part; each query is compared with all
+    vectors of its own length. Queries come to the driver a block at a time and visit the corpus where it
     lies: the corpus is never shuffled. Each task keeps a running best ``n`` per query of
     its block, so what is shuffled grows with queries x tasks and never with queries x
     corpus.
@@ -83,28 +83,33 @@ def vector_search(
         T.StructField("distance", T.DoubleType()),
     ])
     asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
-    head = asked.select(F.size("embedding").alias("n")).first()
-    dims = head["n"] if head else 0
 
     def visit(block: list) -> DataFrame:
-        q_ids = np.array([r["query_id"] for r in block])
-        shared = rows.sparkSession.sparkContext.broadcast((q_ids, _unit([r["embedding"] for r in block])))
+        by_length: dict[int, list] = {}
+        for r in block:
+            by_length.setdefault(len(r["embedding"]), []).append(r)
+        shared = rows.sparkSession.sparkContext.broadcast({
+            k: (np.array([r["query_id"] for r in of]), _unit([r["embedding"] for r in of])) for k, of in by_length.items()
+        })
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids_of, unit = shared.value
-            best = _Best(len(ids_of), n)
+            best = {k: _Best(len(ids_of), n) for k, (ids_of, _) in shared.value.items()}
             for b in batches:
-                ids = b["id"].to_numpy()
-                for a in range(0, len(b), STEP):
-                    best.add(ids[a : a + STEP], unit, _unit(b["embedding"][a : a + STEP]))
-            if best.ids is not None:
-                yield pd.DataFrame({"query_id": ids_of[best.q], "id": best.ids, "distance": best.d})
-
-        return _usable(rows, dims).mapInPandas(scan, schema)
+                lengths = b["embedding"].map(len)
+                for k, (_, unit) in shared.value.items():
+                    of = b[lengths == k]
+                    ids = of["id"].to_numpy()
+                    for a in range(0, len(of), STEP):
+                        best[k].add(ids[a : a + STEP], unit, _unit(of["embedding"][a : a + STEP]))
+            for k, (ids_of, _) in shared.value.items():
+                if best[k].ids is not None:
+                    yield pd.DataFrame({"query_id": ids_of[best[k].q], "id": best[k].ids, "distance": best[k].d})
+
+        return _usable(rows).mapInPandas(scan, schema)
 
     found = rows.sparkSession.createDataFrame([], schema)
     block: list = []
-    for r in _usable(asked, dims).toLocalIterator():
+    for r in _usable(asked).toLocalIterator():
         block.append(r)
         if len(block) == QUERY_BLOCK:
             found, block = found.unionByName(visit(block)), []

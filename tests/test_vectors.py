@@ -61,6 +61,16 @@ def test_vectors_that_take_no_part(spark):
     assert ranked(V.vector_search(qs, cs, 3)) == {0: [0]}
 
 
+@pytest.mark.parametrize("block", [4_096, 2])
+def test_queries_of_any_length_in_any_order(spark, monkeypatch, block):
+    monkeypatch.setattr(V, "QUERY_BLOCK", block)
+    rows = [(0, []), (1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0])]
+    cs = spark.createDataFrame([(9, []), (5, [1.0, 0.1]), (6, [0.1, 1.0]), (7, [0.5, 0.0, 0.0])], "id int, embedding array<double>")
+    for order in (rows, rows[::-1]):
+        qs = spark.createDataFrame(order, "query_id int, embedding array<double>").coalesce(1)
+        assert ranked(V.vector_search(qs, cs, 3)) == {1: [7], 2: [5, 6], 3: [6, 5]}
+
+
 def test_search_empty_and_kind(spark):
     q, c = make(3, 4, 1), make(20, 4, 2)
     qs, cs = frames(spark, q, c)
