@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 from tallyhouse.operators.limits import top_k
 
-# Query vectors that visit the corpus together.
+# Query vectors that meet the corpus together; no more than that ever reach the driver.
 QUERY_BLOCK = 4_096
+# Bytes of the corpus vectors that meet such a block at a time.
+CORPUS_BYTES = 16 << 20
+# Queries compared at a time within a task.
+QUERY_STEP = 256
 # Corpus rows compared at a time within a task.
 STEP = 1_024
 # More than the rounding of a matrix product can amount to.
@@ -61,6 +65,36 @@ def _usable(rows: DataFrame) -> DataFrame:
     return rows.filter((F.size("embedding") > 0) & F.coalesce(whole, F.lit(False)))
 
 
+def _by_blocks(asked: DataFrame, count: int, rows: DataFrame, n: int, schema: T.StructType) -> DataFrame:
+    """Best ``n`` of every query in every block of the corpus."""
+    size = rows.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+    q_blocks = -(-count // QUERY_BLOCK)
+    c_blocks = max(-(-size // CORPUS_BYTES), rows.sparkSession.sparkContext.defaultParallelism)
+
+    def dealt(side: DataFrame, id_col: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        block = F.pmod(F.xxhash64(id_col, "embedding"), F.lit(blocks))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long")))
+        return side.select(id_col, "embedding", F.size("embedding").alias("length"), block.cast("long").alias(own), every.alias(other))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            ids, unit, queries = right["id"].to_numpy(), _unit(right["embedding"]), left["query_id"].to_numpy()
+            for q in range(0, len(left), QUERY_STEP):
+                asking = _unit(left["embedding"][q : q + QUERY_STEP])
+                best = _Best(len(asking), n)
+                for a in range(0, len(ids), STEP):
+                    best.add(ids[a : a + STEP], asking, unit[a : a + STEP])
+                if best.ids is not None:
+                    out.append(pd.DataFrame({"query_id": queries[q + best.q], "id": best.ids, "distance": best.d}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "distance": []})
+
+    keys = ["length", "q_block", "c_block"]
+    left = dealt(asked, "query_id", "q_block", q_blocks, "c_block", c_blocks).groupBy(*keys)
+    right = dealt(rows, "id", "c_block", c_blocks, "q_block", q_blocks).groupBy(*keys)
+    return left.cogroup(right).applyInPandas(meet, schema)
+
+
 def vector_search(
     queries: DataFrame, corpus: DataFrame, n: int = 5, kind: str | None = None
 ) -> DataFrame:
@@ -68,10 +102,10 @@ def vector_search(
 
     ``queries``: query_id, embedding. ``corpus``: id, embedding and, for ``kind``, kind.
     Vectors that are null, empty or hold a null take no part; each query is compared with all
-    vectors of its own length. Queries come to the driver a block at a time and visit the corpus where it
-    lies: the corpus is never shuffled. Each task keeps a running best ``n`` per query of
-    its block, so what is shuffled grows with queries x tasks and never with queries x
-    corpus.
+    vectors of its own length. Up to ``QUERY_BLOCK`` queries, counted first, are broadcast and
+    visit the corpus where it lies. More stay in Spark: hashed blocks of queries meet hashed
+    blocks of the corpus, so the work is that of all pairs, and what is shuffled is each side
+    once per block of the other. Only the best ``n`` per query leave a task or a block.
     """
     if kind is not None:
         corpus = corpus.filter(F.col("kind") == kind)
@@ -107,14 +141,9 @@ def vector_search(
 
         return _usable(rows).mapInPandas(scan, schema)
 
-    found = rows.sparkSession.createDataFrame([], schema)
-    block: list = []
-    for r in _usable(asked).toLocalIterator():
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = found.unionByName(visit(block)), []
-    if block:
-        found = found.unionByName(visit(block))
+    asked = _usable(asked)
+    count = asked.count()
+    found = visit(asked.collect()) if count <= QUERY_BLOCK else _by_blocks(asked, count, _usable(rows), n, schema)
     return top_k(found, ["query_id"], [F.col("distance").asc(), F.col("id").asc()], n)
 
 

@@ -71,6 +71,28 @@ def test_queries_of_any_length_in_any_order(spark, monkeypatch, block):
         assert ranked(V.vector_search(qs, cs, 3)) == {1: [7], 2: [5, 6], 3: [6, 5]}
 
 
+def test_queries_beyond_a_block_stay_in_spark(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*_, **__):
+        raise AssertionError("queries came to the driver")
+
+    def few(self, collect=DataFrame.collect):
+        rows = collect(self)
+        return rows if len(rows) <= V.QUERY_BLOCK else refused()
+
+    q, c = make(60, 5, 1), make(100, 5, 2, repeat=40)
+    qs, cs = frames(spark, q, c)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(V, "QUERY_STEP", 3)
+    monkeypatch.setattr(V, "CORPUS_BYTES", 400)
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", refused)
+        m.setattr(DataFrame, "collect", few)
+        hits = V.vector_search(qs, cs, 7)
+    assert ranked(hits) == brute(q, c, 7)
+
+
 def test_search_empty_and_kind(spark):
     q, c = make(3, 4, 1), make(20, 4, 2)
     qs, cs = frames(spark, q, c)
