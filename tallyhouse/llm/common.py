@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.session import materialize
+
 
 def content_key(col: str | Column) -> Column:
     """128 bits that stand for a text's content, as two longs in one struct."""
@@ -47,3 +49,26 @@ def append_array(batch: pa.RecordBatch, keep: list[str], name: str, values: pa.A
     """The columns ``keep`` of ``batch`` and ``values`` as ``name``."""
     cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
     return pa.RecordBatch.from_arrays([*cols, values], names=[*keep, name])
+
+
+def running(df: DataFrame, order: list[str | Column], label: str, out_col: str, weight: str | None = None) -> DataFrame:
+    """``df`` with ``out_col``: how many rows, or how much of ``weight``, stand before each row in ``order``.
+
+    Rows are dealt to ranges of the order, written in order, and counted by range, so no
+    task holds more than its range; a number per range is all that is added up in one place.
+    Rows alike in ``order`` stand in any order.
+    """
+    part, place, offset = (free_name([*df.columns, out_col], c) for c in ("_part", "_place", "_offset"))
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = materialize(rows.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id()}), label)
+    size = F.lit(1).cast("long") if weight is None else F.col(weight)
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(part).agg(F.sum(size).alias(offset))
+    parts = parts.select(part, F.coalesce(F.sum(offset).over(earlier), F.lit(0)).alias(offset))
+    if weight is None:
+        # Places of a range are consecutive from its number shifted by 33 bits.
+        inside = F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    else:
+        ahead = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum(weight).over(ahead), F.lit(0))
+    return rows.withColumn(out_col, inside).join(parts, part).withColumn(out_col, F.col(out_col) + F.col(offset)).drop(part, place, offset)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, html, imi, minhash, mixing, sharding, syncmers, templates, tokenfiles, toxicity
+from tallyhouse.llm import audit, bpe, chat, html, imi, minhash, mixing, resample, sharding, syncmers, templates, tokenfiles, toxicity
 from tallyhouse.sources.tables import read_tables
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -58,6 +58,20 @@ def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.search(rows, rows.filter(F.col("vec_id") % 50 == 0))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_probe(read_tables(spark, sf_dir)["conversations"])))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read_tables(spark, sf_dir)
+    return resample.resampled(t["documents"].select("doc_id", "text"), t["benchmark"])
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read_tables(spark, sf_dir)
+    return audit.audit(t["documents"], t["labels"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -69,8 +83,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index": op8_multi_index,
     "op9_mixing": op9_mixing,
     "op10_syncmers": op10_syncmers,
+    "op11_chat": op11_chat,
+    "op12_resample": op12_resample,
+    "op13_filter_audit": op13_filter_audit,
 }
 SQL: dict[str, str] = {
     "op3_line_templates": templates.SQL,
     "op4_sharding": sharding.SQL,
+    "op11_chat": chat.SQL,
+    "op12_resample": resample.SQL,
+    "op13_filter_audit": audit.SQL,
 }

@@ -26,7 +26,7 @@ def test_stages_keep_the_columns_of_documents(spark):
 
 def test_every_operator_has_its_query():
     named = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
-    assert named == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
+    assert named == list(range(1, 14)) and set(queries.SQL) <= set(queries.QUERIES)
     assert P.ORACLE_SQL is None and os.path.basename(P.__file__) == "corpus_pipeline.py"
 
 
