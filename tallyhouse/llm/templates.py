@@ -27,13 +27,19 @@ from tallyhouse.session import materialize
 MIN_DOCS, MIN_TOKENS, LEADING = 3, 4, 3
 # Share of fixed tokens from which a line is an instance of its template.
 SIMILARITY = 0.6
-# Share of recurring tokens beyond which a document is a copy as a whole.
-COPY_SHARE = 0.5
+# Share of recurring tokens beyond which a document is a copy as a whole: texts that share s
+# of their tokens have a similarity of s / (2 - s), which is 0.8 at 0.89.
+COPY_SHARE = 0.89
+
+
+def plain_lines(text: Column) -> Column:
+    """Lines of a text in lower case, with one kind of blank."""
+    return F.split(F.lower(F.translate(F.coalesce(text, F.lit("")), "\t\r\f\u000b\u00a0", "     ")), "\n", -1)
 
 
 def tokens(line: Column) -> Column:
-    """Tokens of a line in lower case, between blanks of any kind."""
-    return F.array_remove(F.split(F.lower(F.translate(line, "\t\r\f\u000b ", "     ")), " "), "")
+    """Tokens between the blanks of a plain line."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _leading(words: Column, n: int) -> Column:
@@ -43,14 +49,19 @@ def _leading(words: Column, n: int) -> Column:
     )
 
 
+def line_key() -> list[Column]:
+    """128 bits that stand for a plain line."""
+    return [F.xxhash64("line").alias("la"), F.xxhash64(F.lit(7), "line").alias("lb")]
+
+
 def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
-    """One row per line: key of the text (two hashes), place, line, tokens and leaf."""
+    """One row per line, without its words: key of the text (two hashes), place, number of tokens, leaf, key of the line."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(7), text).alias("kb"), F.posexplode(F.split(text, "\n", -1)).alias("i", "line")
+        F.xxhash64(text).alias("ka"), F.xxhash64(F.lit(7), text).alias("kb"), F.posexplode(plain_lines(F.col("text"))).alias("i", "line")
     )
     rows = rows.withColumn("words", tokens(F.col("line"))).withColumn("n", F.size("words"))
-    return rows.withColumn("leaf", F.xxhash64("n", _leading(F.col("words"), leading)))
+    return rows.select("ka", "kb", "i", "n", F.xxhash64("n", _leading(F.col("words"), leading)).alias("leaf"), *line_key())
 
 
 def recurring_lines(
@@ -58,23 +69,23 @@ def recurring_lines(
     similarity: float = SIMILARITY, copy_share: float = COPY_SHARE,
 ) -> DataFrame:
     """(ka, kb, drop): for each distinct text the places of its lines that recur."""
-    every = lines(docs.select("text"), leading)
+    # Every text is cut and hashed once; words are read again for the lines of shared leaves only.
+    every = materialize(lines(docs.select("text"), leading), "lines")
     tree = every.filter(F.col("n") >= min_tokens)
     leaves = (
         tree.select("leaf", "ka", "kb").distinct().groupBy("leaf").count().filter(F.col("count") >= min_docs).select("leaf")
     )
     leaves = materialize(leaves, "leaves")
-    line_key = [F.xxhash64("line").alias("la"), F.xxhash64(F.lit(7), "line").alias("lb")]
     # Lines of the leaves that documents share; one row per distinct text and place.
-    shared = (
-        tree.join(leaves, "leaf", "left_semi")
-        .groupBy("ka", "kb", "i", "leaf", *line_key).agg(F.first("words").alias("words"))
-    )
-    shared = materialize(shared, "shared-lines")
+    shared = materialize(tree.join(leaves, "leaf", "left_semi").select("ka", "kb", "i", "n", "leaf", "la", "lb").distinct(), "shared-lines")
+    counted = shared.select("leaf", "la", "lb", "ka", "kb").distinct().groupBy("leaf", "la", "lb").agg(F.count("*").alias("docs"))
+    counted = materialize(counted, "shared-line-counts")
+    said = docs.select(F.explode(plain_lines(F.col("text"))).alias("line")).select("line", *line_key())
     unique = (
-        shared.groupBy("leaf", "la", "lb", "ka", "kb").agg(F.first("words").alias("words"))
-        .groupBy("leaf", "la", "lb").agg(F.count("*").alias("docs"), F.first("words").alias("words"))
+        said.join(counted, ["la", "lb"]).groupBy("leaf", "la", "lb", "docs").agg(F.first("line").alias("line"))
+        .select("leaf", "la", "lb", "docs", tokens(F.col("line")).alias("words"))
     )
+    unique = materialize(unique, "shared-line-words")
     words = unique.select("leaf", "la", "lb", "docs", F.posexplode("words").alias("place", "word"))
     fixed = (
         words.groupBy("leaf", "place", "word").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
@@ -93,7 +104,7 @@ def recurring_lines(
     # Written first: a join of two plain reads is one whose hot keys Spark can split.
     named = materialize(named, "named-lines")
     found = materialize(
-        shared.select("ka", "kb", "i", "leaf", "la", "lb", F.size("words").alias("n")).join(named, ["leaf", "la", "lb"])
+        shared.join(named, ["leaf", "la", "lb"])
         .select("ka", "kb", "i", "n", "leaf", "template"),
         "line-templates",
     )
@@ -104,7 +115,9 @@ def recurring_lines(
 
     first = materialize(recurrent(found), "recurring")
     inside = found.join(first, ["leaf", "template"], "left_semi").groupBy("ka", "kb").agg(F.sum("n").alias("inside"))
-    totals = every.groupBy("ka", "kb", "i").agg(F.max("n").alias("n")).groupBy("ka", "kb").agg(F.sum("n").alias("total"))
+    # Rows of equal texts have equal lines, and each row has one first line.
+    totals = every.groupBy("ka", "kb").agg((F.sum("n") / F.count_if(F.col("i") == 0)).alias("total"))
+    totals = materialize(totals, "line-totals")
     copies = materialize(
         inside.join(totals, ["ka", "kb"]).filter(F.col("inside") > copy_share * F.col("total")).select("ka", "kb"), "whole-copies"
     )
@@ -162,7 +175,7 @@ found AS (SELECT t, i, n, lead, template FROM shared JOIN named USING (n, lead,
 first AS (SELECT lead, n, template FROM found GROUP BY ALL HAVING count(DISTINCT t) >= {MIN_DOCS}),
 copies AS (
   SELECT t FROM (SELECT t, sum(n) AS inside FROM found JOIN first USING (lead, n, template) GROUP BY t)
-  JOIN (SELECT t, sum(len(w)) AS total FROM every GROUP BY t) USING (t) WHERE inside > {COPY_SHARE} * total),
+  JOIN (SELECT t, sum(len(w)) AS total FROM every GROUP BY t) USING (t) WHERE inside > {COPY_SHARE}::DOUBLE * total),
 gone AS (SELECT lead, n, template FROM found ANTI JOIN copies USING (t) GROUP BY ALL HAVING count(DISTINCT t) >= {MIN_DOCS}),
 drops AS (
   SELECT t, gone FROM (SELECT t, list(DISTINCT i) AS gone, sum(n) AS inside FROM found JOIN gone USING (lead, n, template) GROUP BY t)

@@ -47,7 +47,14 @@ def test_bpe_is_the_librarys(spark, odd, none):
         for r in bpe.decode(got, path).collect():
             want = tool.encode(r.text or "", add_special_tokens=False).ids
             assert r.ids == want and r.decoded == tool.decode(want, skip_special_tokens=False)
-    assert bpe.digests(none, path).count() == 0 and bpe.digests(odd, path).count() == len(ODD)
+    assert bpe.digests(none, path).count() == 0
+    for piece in (bpe.PIECE_CHARS, 997):
+        want = []
+        for i, t, *_ in ODD:
+            ids = tool.encode(t or "", add_special_tokens=False).ids
+            shas = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), tool.decode(ids, skip_special_tokens=False))]
+            want.append((i, len(ids), *shas))
+        assert sorted(map(repr, map(tuple, bpe.digests(odd, path, piece_chars=piece).collect()))) == sorted(map(repr, want))
 
 
 def test_long_words_are_mended_at_every_join():
@@ -103,7 +110,7 @@ def test_templates_drop_what_recurs(spark):
     rows = [(i, "\n".join([*body(r), f"Page printed on monday by user{i} at office", *body(r)])) for i in range(6)]
     passage = "this passage of many words " * 12
     rows += [(10 + i, "\n".join([*body(r), passage.strip(), *body(r)])) for i in range(4)]
-    copy = body(r, 6)
+    copy = body(r, 20)
     rows += [(20 + i, "\n".join([*copy[:i], *body(r, 1), *copy[i + 1 :]])) for i in range(5)]
     rows += [(30, None), (31, ""), (32, "Ok."), (33, "Ok."), (34, "Ok."), (35, "only here and nowhere else\n\n"), (None, "twice is not enough x"), (36, "twice is not enough x")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' AS ka", "1 AS leaf", "2 AS drop")
@@ -117,6 +124,15 @@ def test_templates_drop_what_recurs(spark):
     assert templates.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_passages_that_are_most_of_their_documents_go(spark):
+    r = random.Random(12)
+    passage = ["the %s same line of eleven words in all of them %s" % (w, w) for w in "a b c d e f g h".split()]
+    for own in (12, 30, 60):
+        rows = [(i, "\n".join([" ".join(str(r.random()) for _ in range(own)), *passage])) for i in range(40)]
+        got = templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), dropped_col="gone").collect()
+        assert all(x.gone == list(range(1, 9)) for x in got), own
+
+
 # ---------------------------------------------------------------------------- 4, sharding
 
 
