@@ -29,7 +29,7 @@ BLOCK_TURNS = 64
 # The marks, and the same with the backslashes of escapes: fixed values of the template.
 MARK = r"<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>"
 ESCAPES = [(r"<(\\*)(/?s>|</?SYS>>)", "<"), (r"\[(\\*)(/?INST\])", "[")]
-ENDS = r"(?<=\[/INST\]|</s>|<</SYS>>)"
+ENDS = r"(?<=[\]>])(?<=\[/INST\]|</s>|<</SYS>>)"
 
 
 def escaped(text: Column) -> Column:
@@ -41,9 +41,10 @@ def escaped(text: Column) -> Column:
 
 def unescaped(text: Column) -> Column:
     """One backslash less in each control string that has some."""
+    plain = text
     for pattern, bracket in ESCAPES:
-        text = F.regexp_replace(text, pattern.replace(r"(\\*)", r"(\\*)\\"), rf"{bracket}$1$2")
-    return text
+        plain = F.regexp_replace(plain, pattern.replace(r"(\\*)", r"(\\*)\\"), rf"{bracket}$1$2")
+    return F.when(F.contains(text, F.lit("\\")), plain).otherwise(text)
 
 
 def rendered_turn(turn: Column, escape: Column) -> Column:
@@ -59,31 +60,34 @@ def rendered_turn(turn: Column, escape: Column) -> Column:
 
 
 def read_turn(piece: Column) -> Column:
-    """(role, text, loss) of a rendered turn, or null where the grammar has no such turn."""
-    marks = F.concat_ws(" ", F.regexp_extract_all(piece, F.lit(MARK), F.lit(0)))
-    parts = F.split(piece, MARK, -1)
-    inner = F.get(parts, F.lit(1))
-    framed = (F.get(parts, F.lit(0)) == "") & (F.element_at(parts, -1) == "")
+    """(role, text, loss) of a rendered turn, cut at its marks, or null where the grammar has no such turn."""
+    inner, after = F.get(piece.parts, F.lit(1)), F.get(piece.parts, F.lit(2))
+    framed = (F.get(piece.parts, F.lit(0)) == "") & (F.element_at(piece.parts, -1) == "")
 
     def turn(role: Column, text: Column, loss: bool = False) -> Column:
         return F.struct(unescaped(role).alias("role"), unescaped(text).alias("text"), F.lit(loss).alias("loss"))
 
     return F.when(
         framed,
-        F.when(marks == "[INST] [/INST]", turn(F.lit("user"), inner))
-        .when(marks == "<s> </s>", turn(F.lit("assistant"), inner, True))
-        .when(marks == "<<SYS>> <</SYS>>", turn(F.lit("system"), inner))
-        .when(marks == "<<SYS>> [INST] [/INST]", turn(inner, F.get(parts, F.lit(2)))),
+        F.when(piece.marks == "[INST] [/INST]", turn(F.lit("user"), inner))
+        .when(piece.marks == "<s> </s>", turn(F.lit("assistant"), inner, True))
+        .when(piece.marks == "<<SYS>> <</SYS>>", turn(F.lit("system"), inner))
+        .when(piece.marks == "<<SYS>> [INST] [/INST]", turn(inner, after)),
     )
 
 
+def cut_at_marks(piece: Column) -> Column:
+    """The marks of a rendered turn, and what stands around them."""
+    marks = F.concat_ws(" ", F.regexp_extract_all(piece, F.lit(MARK), F.lit(0)))
+    return F.struct(marks.alias("marks"), F.split(piece, MARK, -1).alias("parts"))
+
+
 def read(formatted: str | Column) -> Column:
     """The turns of a formatted text, as (role, text, loss); a null turn where it is against the grammar."""
-    pieces = F.split(formatted, ENDS, -1)
-    # Behind the last end there is the empty piece, and nothing else in a right text.
-    last = F.element_at(pieces, -1)
-    whole = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), read_turn)
-    return F.when(last == "", whole).otherwise(F.concat(whole, F.array(F.lit(None).cast("struct<role:string,text:string,loss:boolean>"))))
+    # Pieces end where turns end; behind the last end of a right text there is nothing.
+    pieces = F.transform(F.split(formatted, ENDS, -1), cut_at_marks)
+    left_over = F.struct(F.lit("").alias("marks"), F.array(F.lit("")).alias("parts"))
+    return F.transform(F.filter(pieces, lambda p: ~p.eqNullSafe(left_over)), read_turn)
 
 
 def formatted(
@@ -107,7 +111,7 @@ def formatted(
     def rendered(escapes: str) -> Column:
         return F.transform(F.arrays_zip(F.col("turns").alias("t"), F.col(escapes).alias("e")), lambda x: rendered_turn(x.t, x.e))
 
-    def same(text: str) -> Column:
+    def same(text: Column) -> Column:
         return read(text).eqNullSafe(source)
 
     never = F.transform("turns", lambda t: F.lit(False))
@@ -117,12 +121,15 @@ def formatted(
         F.arrays_zip(F.col("turns").alias("t"), F.col("p0").alias("p")),
         lambda x: ~read(x.p).eqNullSafe(F.array(F.struct(x.t.role, x.t.text, (x.t.role == "assistant").alias("loss")))),
     )
-    out = blocks.withColumn("e0", never).withColumn("p0", rendered("e0")).withColumn("f0", F.concat_ws("", "p0"))
-    out = out.withColumn("e1", F.when(same("f0"), F.col("e0")).otherwise(alone))
-    out = out.withColumn("p1", rendered("e1")).withColumn("f1", F.concat_ws("", "p1"))
-    out = out.withColumn("e2", F.when(same("f1"), F.col("e1")).otherwise(always))
-    out = out.withColumn("p2", rendered("e2")).withColumn("f2", F.concat_ws("", "p2"))
-    checked = F.when(same("f2"), F.col("f2")).otherwise(F.raise_error(F.lit("a block does not read back as its source")))
+    # Later renderings are only worked out where an earlier one differs.
+    out = blocks.withColumn("e0", never).withColumn("p0", rendered("e0")).withColumn("ok0", same(F.concat_ws("", "p0")))
+    out = out.withColumn("e1", F.when(F.col("ok0"), F.col("e0")).otherwise(alone))
+    out = out.withColumn("p1", F.when(F.col("ok0"), F.col("p0")).otherwise(rendered("e1")))
+    out = out.withColumn("ok1", F.col("ok0") | same(F.concat_ws("", "p1")))
+    out = out.withColumn("e2", F.when(F.col("ok1"), F.col("e1")).otherwise(always))
+    out = out.withColumn("p2", F.when(F.col("ok1"), F.col("p1")).otherwise(rendered("e2")))
+    text = F.concat_ws("", "p2")
+    checked = F.when(F.col("ok1") | same(text), text).otherwise(F.raise_error(F.lit("a block does not read back as its source")))
     lengths = F.transform("p2", lambda p: F.length(p))
     marked = F.arrays_zip(F.col("turns").alias("t"), F.col("p2").alias("p"), lengths.alias("n"), F.sequence(F.lit(0), F.size("p2") - 1).alias("i"))
     spans = F.transform(
