@@ -16,17 +16,19 @@ replaced.
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.common import append_array, free_name, row_slices, with_field
+from tallyhouse.llm.common import append_array, free_name, give_back, row_slices, text_slices, with_field
 
 # Words up to this many characters go to the library in one call.
 LEAF_CHARS = 256
@@ -69,10 +71,18 @@ class Encoder:
         self.special = {t["content"]: np.int32(t["id"]).tobytes() for t in spec["added_tokens"]}
         size = self.whole.get_vocab_size()
         self.strings = np.array([self.whole.id_to_token(i) or "" for i in range(size)], dtype=object)
-        self.bodies = [s.removesuffix(suffix) if suffix else s for s in self.strings]
+        self.suffix = suffix or ""
         self.bytes = self._byte_letters()
         self.memory: dict[str, bytes] = {}
 
+    @functools.cached_property
+    def decimals(self) -> np.ndarray:
+        """Every id as decimal text."""
+        return np.array([str(i) for i in range(max(len(self.strings), 1 + max(self._special_ids(), default=0)))], dtype=object)
+
+    def _special_ids(self) -> list[int]:
+        return [int(np.frombuffer(b, np.int32)[0]) for b in self.special.values()]
+
     def _bare(self, **model) -> object:
         """The model alone: it sees mapped bytes. Built when the first long word comes."""
         from tokenizers import Tokenizer
@@ -82,6 +92,11 @@ class Encoder:
         spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "model": spec["model"] | model}
         return Tokenizer.from_str(json.dumps(spec))
 
+    @functools.cached_property
+    def bodies(self) -> list[str]:
+        """The vocabulary's strings without the mark of a word's end."""
+        return [s.removesuffix(self.suffix) for s in self.strings]
+
     @functools.cached_property
     def last(self):
         return self._bare()
@@ -206,9 +221,9 @@ def _encode_rows(df: DataFrame, text_col: str, out: str, path: str) -> DataFrame
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for a, b in row_slices([len(t) for t in texts], BATCH_CHARS):
-                yield append_array(batch.slice(a, b - a), keep, out, _lists(enc.encode(texts[a:b])))
+            for a, b, texts in text_slices(batch.column(batch.schema.get_field_index(text_col)), BATCH_CHARS):
+                yield append_array(batch.slice(a, b - a), keep, out, _lists(enc.encode(texts)))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -311,6 +326,12 @@ def concat(enc: Encoder, left: Piece, right: Piece, window: int = 64) -> Piece:
     )
 
 
+def _in_pieces(text_col: str, piece_chars: int) -> Column:
+    """Whether a text is encoded in pieces: it is long and holds no special string."""
+    special = F.coalesce(F.col(text_col).contains("<|"), F.lit(False))
+    return F.coalesce(F.length(text_col) > piece_chars, F.lit(False)) & ~special
+
+
 def encode(
     df: DataFrame, path: str, text_col: str = "text", out_col: str = "ids", piece_chars: int = PIECE_CHARS
 ) -> DataFrame:
@@ -321,8 +342,7 @@ def encode(
     hold a special string are encoded in one go, as that string is read before all else.
     """
     df = df.drop(out_col) if out_col in df.columns else df
-    special = F.coalesce(F.col(text_col).contains("<|"), F.lit(False))
-    long = F.coalesce(F.length(text_col) > piece_chars, F.lit(False)) & ~special
+    long = _in_pieces(text_col, piece_chars)
     short_rows = _encode_rows(df.filter(~long), text_col, out_col, path)
     key = free_name(df.columns, "text_key")
     rest = df.filter(long).withColumn(key, F.sha2(text_col, 256))
@@ -352,13 +372,41 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     return df.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of ids and SHA-256 of its ids and of the decoded text."""
+def digests(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", piece_chars: int = PIECE_CHARS
+) -> DataFrame:
+    """Per document: number of ids and SHA-256 of its ids and of the decoded text.
+
+    One worker encodes, decodes and hashes, so ids and decoded texts never leave it; only
+    those of long texts come joined from their pieces.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ids = encode(rows, path).select("doc_id", "ids")
-    return decode(ids, path).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    long = _in_pieces("text", piece_chars)
+
+    def hashed(enc: Encoder, batch: pa.RecordBatch, lists: Iterable[np.ndarray]) -> pa.RecordBatch:
+        size, of_ids, of_text = [], [], []
+        for ids in lists:
+            size.append(len(ids))
+            of_ids.append(hashlib.sha256(" ".join(enc.decimals[ids].tolist()).encode()).hexdigest())
+            of_text.append(hashlib.sha256(enc.decode(ids).encode()).hexdigest())
+        columns = [batch.column(0), pa.array(size, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    def of_texts(batches):
+        enc = encoder(path)
+        for batch in batches:
+            for a, b, texts in text_slices(batch.column(1), BATCH_CHARS):
+                yield hashed(enc, batch.slice(a, b - a), (np.frombuffer(c, np.int32) for c in enc.encode(texts)))
+        give_back()
+
+    def of_ids(batches):
+        enc = encoder(path)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield hashed(enc, batch.slice(i, 1), [batch.column(1)[i].values.to_numpy(zero_copy_only=False)])
+        give_back()
+
+    whole = encode(rows.filter(long), path, piece_chars=piece_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    short = rows.filter(~long).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return short.mapInArrow(of_texts, schema).unionByName(whole.mapInArrow(of_ids, schema))

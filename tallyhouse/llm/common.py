@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,21 @@ def row_slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def text_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Row ranges of a text column of about ``limit`` bytes at most, with their texts; null is empty."""
+    for a, b in row_slices([n or 0 for n in pc.binary_length(column).to_pylist()], limit):
+        yield a, b, [t or "" for t in column[a:b].to_pylist()]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay alive after a task, beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def append_array(batch: pa.RecordBatch, keep: list[str], name: str, values: pa.Array) -> pa.RecordBatch:
     """The columns ``keep`` of ``batch`` and ``values`` as ``name``."""
     cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.llm.common import append_array, row_slices, with_field
+from tallyhouse.llm.common import append_array, give_back, row_slices, text_slices, with_field
 
 # Bounds of the training sample: rows of each label, and characters of one row. Rows with
 # longer texts are not drawn.
@@ -495,6 +495,8 @@ def fit(rows: DataFrame) -> Model:
         drawn = sorted((h, t, y) for b in batches for h, t, y in zip(b["h"].to_pylist(), b["text"].to_pylist(), b["toxic"].to_pylist(), strict=True))
         model = train([t for _, t, _ in drawn], [int(y == 1) for _, _, y in drawn])
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]})
+        del drawn, model
+        give_back()
 
     made = rows.select("h", "text", "toxic").repartition(1).mapInArrow(run, "model binary").first()
     return pickle.loads(made.model) if made else train([], [])
@@ -509,10 +511,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            for a, b in row_slices([len(t) for t in texts], BLOCK_CHARS):
-                got = shared.value.scores(texts[a:b])
+            for a, b, texts in text_slices(batch.column(batch.schema.get_field_index(text_col)), BLOCK_CHARS):
+                got = shared.value.scores(texts)
                 yield append_array(batch.slice(a, b - a), keep, out_col, pa.array(got, pa.float64()))
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
