@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.operators.limits import cap_rows
+from tallyhouse.operators.limits import Capped, cap_rows
 
 ADMIN = "admin"
 # Result columns that hold a group's size.
@@ -291,9 +291,9 @@ def scope(
 def governed_result(
     tables: Mapping[str, DataFrame], policy: Policy, groups: Sequence[str],
     run: Callable[[Mapping[str, DataFrame]], DataFrame],
-) -> tuple[DataFrame, DataFrame]:
+) -> Capped:
     """Run a query under a policy: row filter, column tiers, the query, row cap, small
-    groups, masking. Gives the shaped rows and the status row of the cap.
+    groups, masking. Gives the shaped rows with the status of the cap, both from one run.
 
     Filters and tiers act before the query sees a frame. Suppression comes before
     masking so that a mask on a count cannot hide a small group.
@@ -303,9 +303,12 @@ def governed_result(
         if _table_open(name, policy):
             df = row_filter(tables[name], name, policy.row_filters, groups)
             seen[name] = restrict_columns(df, name, policy, groups)
-    capped, status = cap_rows(run(seen), policy.max_rows)
-    kept = min_group_size(capped, policy.min_group_size, groups)
-    return apply_masking_rules(kept, policy.masking_rules, groups), status
+
+    def shape(capped: DataFrame) -> DataFrame:
+        kept = min_group_size(capped, policy.min_group_size, groups)
+        return apply_masking_rules(kept, policy.masking_rules, groups)
+
+    return cap_rows(run(seen), policy.max_rows).shaped(shape)
 
 
 def key_audit(df: DataFrame, pk: Sequence[str]) -> DataFrame:

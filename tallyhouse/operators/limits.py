@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+R = TypeVar("R")
+
 
 def top_n(df: DataFrame, metric: str, n: int, tie: Sequence[str]) -> DataFrame:
     """Highest ``n`` rows by ``metric``; ``tie`` settles equal values."""
@@ -36,14 +39,52 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def cap_rows(df: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Hard row cap with a status row; ``truncated`` is set once the cap is reached."""
-    capped = df.limit(max_rows)
-    n = F.count("*")
-    status = capped.select(F.lit(1)).agg(
-        n.alias("row_count"), (n >= max_rows).alias("truncated")
-    )
-    return capped, status
+def _into_nothing(df: DataFrame) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
+class Capped:
+    """A capped result whose status is observed while its rows are read, in the same job.
+
+    ``rows`` may be shaped further (``shaped``) and read by any action; ``run`` does so and
+    knows that the status is there. The status is that of the first run that ends well.
+    """
+
+    def __init__(self, rows: DataFrame, seen: Observation, max_rows: int, columns: Sequence[str] | None = None) -> None:
+        self.rows, self._seen, self._max_rows, self._columns = rows, seen, max_rows, columns
+        self._ran = [False]
+
+    def shaped(self, shape: Callable[[DataFrame], DataFrame]) -> Capped:
+        """The same result with its rows transformed; both share one status."""
+        out = Capped(shape(self.rows), self._seen, self._max_rows, self._columns)
+        out._ran = self._ran
+        return out
+
+    def run(self, action: Callable[[DataFrame], R] = DataFrame.collect) -> R:
+        """Read the rows once: collected, or by any action, such as a write."""
+        got = action(self.rows)
+        self._ran[0] = True
+        return got
+
+    def counts(self) -> dict[str, int | bool | str]:
+        """row_count, truncated (set once the cap is reached) and, for a preview, columns."""
+        if not self._ran[0]:
+            self.run(_into_nothing)
+        # A plan that is known to be empty holds nothing to observe.
+        n = min(self._seen.get.get("row_count") or 0, self._max_rows)
+        status = {"row_count": n, "truncated": n >= self._max_rows}
+        return status if self._columns is None else status | {"columns": ",".join(self._columns)}
+
+    def status(self) -> DataFrame:
+        """``counts`` as a frame of one row."""
+        cells = [F.lit(v).cast("long" if k == "row_count" else "boolean" if k == "truncated" else "string").alias(k) for k, v in self.counts().items()]
+        return self.rows.sparkSession.range(1).select(*cells)
+
+
+def cap_rows(df: DataFrame, max_rows: int) -> Capped:
+    """Hard row cap; rows and status come from one run."""
+    seen = Observation()
+    return Capped(df.limit(max_rows).observe(seen, F.count(F.lit(1)).alias("row_count")), seen, max_rows)
 
 
 def with_default_limit(df: DataFrame, n: int, has_limit: bool) -> DataFrame:
@@ -56,13 +97,11 @@ def distinct_capped(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
     return df.select(*cols).distinct().limit(n)
 
 
-def preview(
-    df: DataFrame, order: Sequence[Column], n: int = 10, max_rows: int = 10_000
-) -> tuple[DataFrame, DataFrame]:
-    """First rows of a sorted result beside its row count, columns and truncation flag.
+def preview(df: DataFrame, order: Sequence[Column], n: int = 10, max_rows: int = 10_000) -> Capped:
+    """First rows of a sorted result beside its row count, columns and truncation flag, from one run.
 
     The cap bounds what is counted; the sample is the head of the whole result.
     """
-    _, status = cap_rows(df, max_rows)
-    status = status.withColumn("columns", F.lit(",".join(df.columns)))
-    return df.orderBy(*order).limit(n), status
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("row_count"))
+    return Capped(counted.orderBy(*order).limit(n), seen, max_rows, df.columns)

@@ -61,7 +61,7 @@ def top_customers(t) -> DataFrame:
     "ORDER BY total_revenue DESC, c_name LIMIT 10) x WHERE n >= 3",
 )
 def governed_top_customers(t):
-    return G.governed_result(t, POLICY, GROUPS, top_customers)[0]
+    return G.governed_result(t, POLICY, GROUPS, top_customers).rows
 
 
 @query(
@@ -73,7 +73,7 @@ def governed_status(t):
     def lines(seen):
         return seen["lineitem"].join(seen["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
 
-    return G.governed_result(t, POLICY, GROUPS, lines)[1]
+    return G.governed_result(t, POLICY, GROUPS, lines).status()
 
 
 @query("mask_redact", "SELECT c_custkey, CASE WHEN c_mktsegment IS NOT NULL THEN '[REDACTED]' END AS c_mktsegment FROM customer")

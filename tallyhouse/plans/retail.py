@@ -801,7 +801,7 @@ def multi_key_sort(t):
     "SELECT LEAST(COUNT(*), 10000) AS row_count, COUNT(*) >= 10000 AS truncated FROM lineitem",
 )
 def cap_rows(t):
-    return L.cap_rows(t["lineitem"], 10_000)[1]
+    return L.cap_rows(t["lineitem"], 10_000).status()
 
 
 @query(
@@ -831,7 +831,7 @@ def distinct_capped(t):
 )
 def preview(t):
     rows = t["orders"].filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_totalprice")
-    return L.preview(rows, [F.col("o_orderkey").asc()])[0]
+    return L.preview(rows, [F.col("o_orderkey").asc()]).rows
 
 
 @query(
@@ -841,7 +841,7 @@ def preview(t):
 )
 def preview_status(t):
     rows = t["orders"].filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_totalprice")
-    return L.preview(rows, [F.col("o_orderkey")])[1]
+    return L.preview(rows, [F.col("o_orderkey")]).status()
 
 
 # ------------------------------------------------------------------ set operations

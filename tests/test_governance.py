@@ -112,13 +112,13 @@ def test_row_filter_and_governed_order(spark):
         assert "freight" not in seen["orders"].columns
         return seen["orders"].groupBy((F.col("order_id") % 2).alias("g")).agg(F.count("*").alias("n"))
 
-    rows, status = G.governed_result({"orders": orders}, POLICY, ("finance", "analyst"), run)
+    result = G.governed_result({"orders": orders}, POLICY, ("finance", "analyst"), run)
     # Two of three rows fall in one group: both groups are below three and go before masking.
-    assert rows.count() == 0 and status.first()["row_count"] == 2
-    rows, _ = G.governed_result({"orders": orders}, POLICY, ("analyst",), run)
-    assert [r["n"] for r in rows.collect()] == ["[REDACTED]", "[REDACTED]"]
-    _, status = G.governed_result({"orders": orders}, POLICY, ("analyst",), lambda s: s["orders"])
-    assert status.first().asDict() == {"row_count": 4, "truncated": True}
+    assert result.run() == [] and result.status().first()["row_count"] == 2
+    result = G.governed_result({"orders": orders}, POLICY, ("analyst",), run)
+    assert [r["n"] for r in result.run()] == ["[REDACTED]", "[REDACTED]"]
+    result = G.governed_result({"orders": orders}, POLICY, ("analyst",), lambda s: s["orders"])
+    assert result.status().first().asDict() == {"row_count": 4, "truncated": True}
 
 
 def test_catalog(spark):

@@ -163,17 +163,36 @@ def test_limits(spark, t):
     best = L.top_k(p, ["category_id"], [F.col("unit_price").desc(), F.col("product_id")], 1)
     assert values(best, "category_id", "product_id") == [(1, 2), (2, 4)]
     for n, truncated in ((4, True), (5, True), (6, False)):
-        df, status = L.cap_rows(p, n)
-        assert df.count() == min(n, 5)
-        assert status.first().asDict() == {"row_count": min(n, 5), "truncated": truncated}
+        capped = L.cap_rows(p, n)
+        assert len(capped.run()) == min(n, 5)
+        assert capped.status().first().asDict() == {"row_count": min(n, 5), "truncated": truncated}
     assert L.with_default_limit(p, 2, False).count() == 2
     assert L.with_default_limit(p, 2, True).count() == 5
     assert L.distinct_capped(p, ["category_id"], 1).count() == 1
-    head, status = L.preview(p, [F.col("product_id")], 2)
-    assert head.count() == 2 and status.first()["row_count"] == 5
-    assert status.first()["columns"].startswith("product_id,")
-    empty = L.cap_rows(p.limit(0), 3)[1].first()
-    assert empty["row_count"] == 0 and not empty["truncated"]
+    head = L.preview(p, [F.col("product_id")], 2)
+    status = head.status().first()
+    assert [r["product_id"] for r in head.rows.collect()] == [1, 2] and status["row_count"] == 5
+    assert status["columns"].startswith("product_id,")
+    for nothing in (p.limit(0), p.filter(F.lit(False)), p.filter("unit_price < 0")):
+        empty = L.cap_rows(nothing, 3).status().first()
+        assert empty["row_count"] == 0 and not empty["truncated"]
+
+
+def test_a_capped_result_is_read_once(spark, t, work):
+    p = spark.range(1000).repartition(7)
+    jobs = spark.sparkContext._jsc.sc().statusTracker()
+    spark.sparkContext.setJobGroup("capped", "one run")
+    capped = L.cap_rows(p, 40).shaped(lambda rows: rows.filter("id % 2 = 0").withColumn("x", F.col("id") + 1))
+    capped.run(lambda rows: rows.write.parquet(f"{work}/capped"))
+    ran = len(jobs.getJobIdsForGroup("capped"))
+    assert capped.counts() == {"row_count": 40, "truncated": True}
+    # The status takes no job of its own, and is that of the rows that were written.
+    assert len(jobs.getJobIdsForGroup("capped")) == ran
+    spark.sparkContext.setJobGroup("other", "")
+    with pytest.raises(Exception, match="DIVIDE|broken"):
+        L.cap_rows(p.select(F.raise_error(F.lit("broken")).alias("x")), 5).run()
+    written = spark.read.parquet(f"{work}/capped")
+    assert written.columns == ["id", "x"] and written.filter("id % 2 = 1").count() == 0
 
 
 def test_range_filter_reaches_the_scan(spark, work):
