@@ -2,15 +2,18 @@
 
 Texts and needles are read as runs: maximal stretches of word characters, and of other
 characters. A run that lies inside a needle, with runs on both sides, is a whole run of every
-text that holds the needle. So a needle with inner words is looked for where its rarest inner
-word stands, by an equi-join; document frequency decides which one that is, and a needle with
-an inner word that no text has is out at once. Of a needle without inner words the longest
-edge run is met with the distinct vocabulary of the texts, which grows far slower than they
-do, by an equi-join on its first characters.
-
-Candidates are verified against the text. Texts are told apart by their content, so equal
-texts are tested once and ids may be null or repeated. No pair of text and needle is formed
-unless they share an anchor.
+text that holds the needle; so are two neighbouring inner words with what stands between them.
+A needle is looked for where its rarest pair of inner words stands, one with a single inner
+word where that word stands; document frequency decides which is rarest, and a needle with a
+pair or word that no text has is out at once. Of a needle without inner words the longest edge
+run is met with the distinct vocabulary of the texts, which grows far slower than they do, by
+an equi-join on its first characters.
+
+The texts are cut into runs once, into a written index that several joins can share
+(``index_texts``). Only postings that some needle asks for leave it, dealt by anchor and salt,
+so that a word of every text does not meet in one task. Candidates are verified against the
+text. Texts are told apart by their content, and ids may be null or repeated. No pair of text
+and needle is formed unless they share an anchor.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import WORD_CHAR
+from tallyhouse.session import materialize
 
 # Characters of an edge run by which it meets the vocabulary.
 ANCHOR = 8
+# Tasks that the postings of one anchor are dealt to, and texts from which those of an edge run are.
+SALTS, MANY_TEXTS = 16, 10_000
 NOT_WORD = "[^" + WORD_CHAR[1:]
 RUNS = f"({WORD_CHAR}+|{NOT_WORD}+)"
 
@@ -40,43 +46,103 @@ def character_runs(c: Column, length: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
-def _exact_anchors(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(needle, run): the rarest inner word of each needle that has some, all of them known."""
-    inner = parts.filter(F.size("_inner") > 0).select("_needle", F.explode(F.array_distinct("_inner")).alias("_run"))
-    met = inner.join(vocabulary, "_run", "left").groupBy("_needle").agg(
-        F.min_by("_run", F.struct("_texts", "_run")).alias("_run"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")
+def _pairs(col: str) -> Column:
+    """Hashes of neighbouring words in an array of runs, with what stands between them.
+
+    A needle's edge runs must not take part; they are cut off before.
+    """
+    # A start beyond the array gives no rows; words stand at every other place.
+    first = F.when(is_word(F.get(F.col(col), F.lit(0))), F.lit(0)).otherwise(F.lit(1))
+    last = F.size(col) - 3
+    places = F.when(first <= last, F.sequence(first, F.greatest(first, last), F.lit(2))).otherwise(F.array().cast("array<int>"))
+    run = lambda i: F.get(F.col(col), i)
+    return F.array_distinct(F.transform(places, lambda i: F.xxhash64(run(i), run(i + 1), run(i + 2))))
+
+
+def index_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The texts as a written table: _id, _text, a key of the content, its distinct runs
+    with their hashes, and its pairs of words.
+
+    Every text is cut into runs here and nowhere else. Null texts are left out.
+    """
+    keyed = texts.filter(F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key")
     )
-    return met.filter(F.col("_least") > 0).select("_needle", "_run")
+    cut = keyed.withColumn("_all", runs(F.col("_text")))
+    cut = cut.withColumn("_pairs", _pairs("_all")).withColumn("_runs", F.array_distinct("_all")).drop("_all")
+    return materialize(cut.withColumn("_grams", F.transform("_runs", lambda r: F.xxhash64(r))), "text-index")
 
 
-def _edge_anchors(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(needle, run): every run of the texts that holds the longest edge run of a needle without
-    inner words."""
-    ends = F.array(F.try_element_at("_runs", F.lit(1)), F.try_element_at("_runs", F.lit(-1)))
-    sized = F.transform(ends, lambda r: F.struct(is_word(r).alias("w"), F.length(r).alias("n"), r.alias("run")))
-    loose = parts.filter(F.size("_inner") == 0).select("_needle", F.array_max(sized)["run"].alias("_edge"))
-    loose = loose.withColumn("_start", F.substring("_edge", 1, ANCHOR))
-    starts = F.array_distinct(F.concat(*[character_runs(F.col("_run"), n) for n in range(1, ANCHOR + 1)]))
-    known = vocabulary.select("_run", F.explode(starts).alias("_start"))
-    return known.join(loose, "_start").filter(F.contains("_run", "_edge")).select("_needle", "_run")
+def _dealt(postings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Postings of the anchors' grams, each gram's over ``SALTS`` tasks."""
+    salted = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["_gram", "_salt"]).drop("_salt")
 
 
-def contains_join(texts: DataFrame, id_col: str, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
+def _edge_grams(loose: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(needle, gram, texts): every run of the texts that holds the longest edge run of a needle
+    without inner words, and how many texts have it."""
+    ends = F.array(F.try_element_at("_runs", F.lit(1)), F.try_element_at("_runs", F.lit(-1)))
+    sized = F.transform(ends, lambda r: F.struct(is_word(r).alias("w"), F.length(r).alias("n"), r.alias("run")))
+    edges = loose.select("_needle", F.array_max(sized)["run"].alias("_edge"))
+    edges = edges.withColumn("_start", F.substring("_edge", 1, ANCHOR))
+    # At most ANCHOR lengths; only stretches of a length that some needle asks for are made.
+    lengths = sorted(r[0] for r in edges.select(F.length("_start")).distinct().collect())
+    starts = F.array_distinct(F.concat(*[character_runs(F.col("_run"), n) for n in lengths]))
+    known = vocabulary.select("_run", "_texts", F.explode(starts).alias("_start"))
+    return known.join(edges, "_start").filter(F.contains("_run", "_edge")).select("_needle", F.xxhash64("_run").alias("_gram"), "_texts").distinct()
+
+
+def contains_join(
+    texts: DataFrame | None, id_col: str, text_col: str, needles: DataFrame, needle_col: str, index: DataFrame | None = None
+) -> DataFrame:
     """Pairs of a text's id and a needle's row where the needle occurs in the text.
 
     One row per row of ``texts`` and row of ``needles`` that match; ids may be null or repeated.
-    Null and empty needles, and null texts, match nothing.
+    Null and empty needles, and null texts, match nothing. ``index`` is the written index of
+    the texts, where there is one already.
     """
+    index = index_texts(texts, id_col, text_col) if index is None else index
     usable = needles.filter(F.length(needle_col) > 0)
     parts = usable.select(F.col(needle_col).alias("_needle")).distinct().withColumn("_runs", runs(F.col("_needle")))
-    parts = parts.withColumn("_inner", F.filter(F.expr("slice(_runs, 2, greatest(size(_runs) - 2, 0))"), is_word))
-    keyed = texts.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key")
+    parts = parts.withColumn("_inside", F.expr("slice(_runs, 2, greatest(size(_runs) - 2, 0))"))
+    words = F.transform(F.filter("_inside", is_word), lambda w: F.xxhash64(w))
+    parts = materialize(parts.withColumn("_pairs", _pairs("_inside")).withColumn("_words", words), "needles")
+    by_pair, by_word = F.size("_pairs") > 0, F.size("_words") > 0
+    wanted = parts.filter(by_pair | by_word).select(
+        "_needle", by_pair.alias("_paired"), F.explode(F.when(by_pair, F.col("_pairs")).otherwise(F.array_distinct("_words"))).alias("_gram")
     )
-    postings = keyed.select("_key", F.explode(F.array_distinct(runs(F.col("_text")))).alias("_run"))
-    vocabulary = postings.groupBy("_run").agg(F.count("*").alias("_texts"))
-    anchors = _exact_anchors(parts, vocabulary).unionByName(_edge_anchors(parts, vocabulary))
-    candidates = postings.join(anchors, "_run").select("_key", "_needle").distinct()
-    bodies = keyed.select("_key", "_id", "_text")
-    hits = bodies.join(candidates, "_key").filter(F.contains("_text", "_needle")).select(F.col("_id").alias(id_col), "_needle")
+    pairs = index.select("_key", F.explode("_pairs").alias("_gram"))
+    single = index.select("_key", F.explode("_grams").alias("_gram"))
+    paired, worded, every = parts.agg(F.count_if(by_pair), F.count_if(~by_pair & by_word), F.count("*")).first()
+    asked = [
+        _dealt(side, wanted.filter(F.col("_paired") == flag).select("_gram").distinct())
+        for side, flag, some in ((pairs, True, paired), (single, False, worded))
+        if some
+    ]
+    candidates = []
+    if asked:
+        posted = materialize((asked[0].unionByName(asked[1]) if len(asked) == 2 else asked[0]).distinct(), "postings")
+        counts = posted.groupBy("_gram").agg(F.count("*").alias("_texts"))
+        rarest = wanted.join(counts, "_gram", "left").groupBy("_needle").agg(
+            F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")
+        )
+        candidates.append(_dealt(posted, rarest.filter(F.col("_least") > 0).select("_needle", "_gram")).select("_key", "_needle"))
+    if every > paired + worded:
+        # Few bytes but much work a row: dealt out again, or Spark would put it into one task.
+        spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        vocabulary = index.select(F.explode("_runs").alias("_run")).groupBy("_run").agg(F.count("*").alias("_texts"))
+        edges = _edge_grams(parts.filter(~by_pair & ~by_word), vocabulary.repartition(spread, "_run"))
+        edges = materialize(edges, "edge-runs")
+        hot = F.col("_texts") > MANY_TEXTS
+        met = single.join(edges.filter(~hot).select("_needle", "_gram"), "_gram")
+        if not edges.filter(hot).isEmpty():
+            met = met.unionByName(_dealt(single, edges.filter(hot).select("_needle", "_gram")))
+        candidates.append(met.select("_key", "_needle").distinct())
+    bodies = index.select("_key", "_id", "_text")
+    if not candidates:
+        return bodies.limit(0).select(F.col("_id").alias(id_col)).join(usable, F.lit(False))
+    # Written, so that their size is known: few of them visit the texts where these lie.
+    both = materialize(candidates[0].unionByName(candidates[1]) if len(candidates) == 2 else candidates[0], "candidates")
+    hits = bodies.join(both, "_key").filter(F.contains("_text", "_needle")).select(F.col("_id").alias(id_col), "_needle")
     return hits.join(usable.withColumn("_needle", F.col(needle_col)), "_needle").drop("_needle")

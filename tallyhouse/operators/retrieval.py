@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import extract_terms, normalise_text, strip, token_estimate
 from tallyhouse.operators.limits import top_k
-from tallyhouse.operators.matching import contains_join
+from tallyhouse.operators.matching import contains_join, index_texts
 
 # Priority of each kind of glossary hit; a phrase adds its length.
 PHRASE_PRIORITY = 100
@@ -49,6 +49,17 @@ def _normalised(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", normalise_text(text).alias("_norm"))
 
 
+def question_index(questions: DataFrame) -> DataFrame:
+    """The questions' normal form, cut into runs once, for every signal that looks words up in it."""
+    return index_texts(_normalised(questions), "question_id", "_norm")
+
+
+def _indexed(questions: DataFrame, index: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The index of the questions, and their normal form as it stands there."""
+    index = question_index(questions) if index is None else index
+    return index, index.select(F.col("_id").alias("question_id"), F.col("_text").alias("_norm"))
+
+
 # -------------------------------------------------------------------- glossary
 
 
@@ -90,13 +101,15 @@ def glossary_variants(terms: DataFrame) -> DataFrame:
     return exploded.select("canonical", "v.*").filter(F.length("needle") > 0)
 
 
-def match_glossary(questions: DataFrame, variants: DataFrame, cap: int = MAX_GLOSSARY) -> DataFrame:
+def match_glossary(
+    questions: DataFrame, variants: DataFrame, cap: int = MAX_GLOSSARY, index: DataFrame | None = None
+) -> DataFrame:
     """Glossary terms found in each question: the first variant in search order decides.
 
     ``questions``: question_id, text. Best priority first, ties by canonical name.
     """
-    norm = _normalised(questions)
-    hits = contains_join(norm, "question_id", "_norm", variants, "needle")
+    index, norm = _indexed(questions, index)
+    hits = contains_join(norm, "question_id", "_norm", variants, "needle", index)
     first = hits.groupBy("question_id", "canonical").agg(
         F.min_by(F.struct("matched_on", "priority"), "search_order").alias("hit")
     )
@@ -117,7 +130,7 @@ def _example_fields(examples: DataFrame) -> DataFrame:
 
 def score_examples(
     questions: DataFrame, examples: DataFrame,
-    semantic: DataFrame | None = None, selected: DataFrame | None = None,
+    semantic: DataFrame | None = None, selected: DataFrame | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
     """Score of every example that has something in common with a question.
 
@@ -128,11 +141,11 @@ def score_examples(
     Shared words are counted over an inverted index (an equi-join on the term), so a
     pair is formed only where a word is shared; pairs are summed before the shuffle.
     """
-    norm = _normalised(questions)
+    index, norm = _indexed(questions, index)
     fields = _example_fields(examples)
     needle = fields.withColumn("_needle_text", F.lower("field_text"))
 
-    inside = contains_join(norm, "question_id", "_norm", needle, "_needle_text").select(
+    inside = contains_join(norm, "question_id", "_norm", needle, "_needle_text", index).select(
         "question_id", "example_id", "field", F.lit(EXAMPLE_INSIDE).alias("points")
     )
     field_key = F.concat_ws("\u0001", "example_id", "field")
@@ -168,7 +181,9 @@ def score_examples(
         ))
         unselected = norm.join(selected.select("question_id").distinct(), "question_id", "left_anti")
     named = required.withColumn("_table_needle", F.lower("table_name"))
-    named = contains_join(unselected, "question_id", "_norm", named, "_table_needle")
+    named = contains_join(norm, "question_id", "_norm", named, "_table_needle", index)
+    if selected is not None:
+        named = named.join(unselected.select("question_id"), "question_id", "left_semi")
     parts.append(named.groupBy("question_id", "example_id").agg(
         (F.count("*") * EXAMPLE_NAMED).alias("points")
     ))
@@ -184,7 +199,7 @@ def retrieve_examples(scored: DataFrame, n: int = MAX_EXAMPLES) -> DataFrame:
 # ---------------------------------------------------------------------- tables
 
 
-def table_name_hits(norm: DataFrame, tables: DataFrame) -> DataFrame:
+def table_name_hits(norm: DataFrame, tables: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """Questions that name a table as a token of its own.
 
     A name of letters and digits is a token, so it meets the tokens of the questions by
@@ -195,7 +210,7 @@ def table_name_hits(norm: DataFrame, tables: DataFrame) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all("_norm", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     words = norm.select("question_id", F.explode(tokens).alias("_name"))
     by_word = words.join(named.filter(plain), "_name").select("question_id", "table_name")
-    hits = contains_join(norm, "question_id", "_norm", named.filter(~plain), "_name")
+    hits = contains_join(norm, "question_id", "_norm", named.filter(~plain), "_name", index)
     texts = hits.select("question_id", "table_name", "_name").join(norm, "question_id")
     alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("_name"), F.lit(r"\E(?![\p{L}\p{N}])"))
     by_text = texts.filter(F.regexp_like("_norm", alone)).select("question_id", "table_name")
@@ -207,7 +222,7 @@ def score_tables(
     glossary_hits: DataFrame | None = None, glossary_tables: DataFrame | None = None,
     example_scores: DataFrame | None = None, example_tables: DataFrame | None = None,
     search_hits: DataFrame | None = None, relationships: DataFrame | None = None,
-    max_tables: int = MAX_TABLES,
+    max_tables: int = MAX_TABLES, index: DataFrame | None = None,
 ) -> DataFrame:
     """Best tables per question from the points of every signal, ties by name.
 
@@ -216,15 +231,15 @@ def score_tables(
     table_name. ``relationships``: from_table, to_table, used only for questions that
     hint at a join, and only from tables that already score.
     """
-    norm = _normalised(questions)
+    index, norm = _indexed(questions, index)
 
     def signal(df: DataFrame, points: float) -> DataFrame:
         return df.select("question_id", "table_name", F.lit(points).alias("points"))
 
-    signals = [signal(table_name_hits(norm, tables.select("table_name")), TABLE_NAME)]
+    signals = [signal(table_name_hits(norm, tables.select("table_name"), index), TABLE_NAME)]
     labels = tables.select("table_name", F.explode("labels").alias("label"))
     labels = labels.withColumn("_label_needle", F.lower("label"))
-    label_hits = contains_join(norm, "question_id", "_norm", labels, "_label_needle")
+    label_hits = contains_join(norm, "question_id", "_norm", labels, "_label_needle", index)
     signals.append(signal(label_hits, TABLE_LABEL))
     if glossary_hits is not None and glossary_tables is not None:
         signals.append(signal(glossary_hits.join(glossary_tables, "canonical"), TABLE_GLOSSARY))

@@ -306,6 +306,7 @@ SELECT question_id, table_name, CAST(score AS DOUBLE) AS score, CAST(rank AS INT
 def score_tables(t):
     tables = word_tables(t)
     examples = passage_examples(t)
+    index = RT.question_index(chat_questions(t))
     example_tables = examples.select("example_id", F.explode("required_tables").alias("r")).select(
         "example_id", F.lower("r").alias("table_name")
     )
@@ -314,8 +315,8 @@ def score_tables(t):
         F.lower(F.element_at("required_tables", 2)).alias("to_table"),
     )
     return RT.score_tables(
-        chat_questions(t), tables, example_scores=score_examples(t), example_tables=example_tables,
-        relationships=links,
+        chat_questions(t), tables, example_scores=RT.score_examples(chat_questions(t), examples, index=index),
+        example_tables=example_tables, relationships=links, index=index,
     )
 
 
