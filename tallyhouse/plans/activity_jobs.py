@@ -282,10 +282,10 @@ def _places(t, label: str) -> tuple[str, str]:
     "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, user_id, COUNT(*) AS requests FROM events GROUP BY 1, 2",
 )
 def windowed_activity(t):
-    """Every window of the log, after a stream over it has ended."""
+    """Every window of the log as the stream itself gives it, the last and still open ones too."""
     out, checkpoint = _places(t, "activity")
-    closed = ST.run_to_table(ST.windowed_activity(event_stream(t), "1 hour"), out, checkpoint)
-    counts = ST.with_open_windows(closed, t["events"], "1 hour")
+    windows = ST.windowed_activity(event_stream(t), "1 hour")
+    counts = ST.run_to_latest(windows, out, checkpoint, ["window_start", "window_end", "user_id"])
     return counts.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("hour"), "user_id", "requests")
 
 

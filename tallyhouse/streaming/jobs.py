@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallyhouse.functions.payload import redact_payload
@@ -30,18 +31,6 @@ def windowed_activity(
     )
 
 
-def with_open_windows(closed: DataFrame, log: DataFrame, width: str, ts: str = "ts", key: str = "user_id") -> DataFrame:
-    """All windows once a stream has ended: those it has closed, and the ones its watermark left
-    open, counted from the log itself."""
-    timed = log.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp"))
-    counts = timed.groupBy(F.window(ts, width), F.col(key)).agg(F.count("*").alias("requests")).select(
-        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), key, "requests"
-    )
-    done = closed.select(F.col("window_start").alias("_w"), F.col(key).alias("_k"))
-    same = (F.col("window_start") == F.col("_w")) & F.col(key).eqNullSafe(F.col("_k"))
-    return closed.unionByName(counts.join(done, same, "left_anti"))
-
-
 def rate_limit_stream(
     stream: DataFrame, limit: int, secs: int, key: str = "user_id", id_col: str = "request_id",
     ts: str = "ts", late: str = "10 minutes",
@@ -131,3 +120,31 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     )
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
+    """The row of the highest ``version`` per key; tasks keep one row per key before the shuffle."""
+    names = [c for c in rows.columns if c != version]
+    rest = [F.col(c) for c in names if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_newest"))
+    return newest.select(*[F.col(c) if c in keys else F.col(f"_newest.{c}").alias(c) for c in names])
+
+
+def run_to_latest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregating stream over the available data and give every group as it stands.
+
+    In update mode the stream itself puts out each group that a batch has changed, open ones
+    too. A batch is a folder of its own, which a repetition overwrites, and readers take a
+    group's newest row; so this also serves a stream that goes on.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    # The folder is there even if no batch ever comes.
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/batch=-1")
+    q = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(lambda rows, no: rows.write.mode("overwrite").parquet(f"{path}/batch={no}"))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    versions = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return latest(spark.read.schema(versions).parquet(path), keys, "batch")

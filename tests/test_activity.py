@@ -197,8 +197,27 @@ def test_windowed_activity_stream(spark, work):
         if start + timedelta(minutes=1) <= closed:
             want[(start, u)] += 1
     assert got == dict(want)
-    every = ST.with_open_windows(out, spark.read.schema(stream.schema).parquet(path), "1 minute")
-    assert every.groupBy().sum("requests").first()[0] == len(rows) and every.count() > out.count()
+
+
+def test_windows_stand_as_the_stream_last_gave_them(spark, work):
+    rows = sorted(log(7, 200, 3, 7_200), key=lambda r: r[1])
+    schema = frame(spark, rows[:1]).schema
+    want, keys = defaultdict(int), ["window_start", "window_end", "user_id"]
+    spark.createDataFrame([], schema).write.parquet(f"{work}/log")
+    for part in range(4):
+        # The last part brings nothing new: a further run changes nothing.
+        new = rows[part * 70 : (part + 1) * 70]
+        if new:
+            frame(spark, new).coalesce(1).write.mode("append").parquet(f"{work}/log")
+        stream = spark.readStream.schema(schema).parquet(f"{work}/log")
+        out = ST.run_to_latest(ST.windowed_activity(stream, "1 minute"), f"{work}/out", f"{work}/cp", keys)
+        for _, at, u, _, _ in new:
+            want[(at.replace(second=0), u)] += 1
+        got = out.collect()
+        assert {(r["window_start"].replace(tzinfo=None), r["user_id"]): r["requests"] for r in got} == dict(want)
+        assert len(got) == len(want)
+    nothing = spark.readStream.schema(schema).parquet(f"{work}/log").filter("user_id = 'nobody'")
+    assert ST.run_to_latest(ST.windowed_activity(nothing), f"{work}/none", f"{work}/cp2", keys).count() == 0
 
 
 def test_stream_screen_writes_apart(spark, work):
