@@ -30,6 +30,8 @@ SIMILARITY = 0.6
 # Share of recurring tokens beyond which a document is a copy as a whole: texts that share s
 # of their tokens have a similarity of s / (2 - s), which is 0.8 at 0.89.
 COPY_SHARE = 0.89
+# Bits of the bitmap of wanted lines at most: a million rows of 64.
+MAX_BITS = 1 << 26
 
 
 def plain_lines(text: Column) -> Column:
@@ -64,6 +66,21 @@ def lines(docs: DataFrame, leading: int = LEADING) -> DataFrame:
     return rows.select("ka", "kb", "i", "n", F.xxhash64("n", _leading(F.col("words"), leading)).alias("leaf"), *line_key())
 
 
+def _marked(said: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines that may be among ``wanted``, by a bitmap of their keys that all tasks have.
+
+    It has eight bits a wanted line and no more than ``MAX_BITS``, 64 to a row; what it lets
+    through wrongly goes in the join that follows, but other lines need no shuffle.
+    """
+    bits = min(MAX_BITS, max(1 << 16, 1 << (8 * wanted.count()).bit_length()))
+    slot = F.pmod(F.col("la"), F.lit(bits))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    marks = wanted.select(word.alias("word"), F.expr(f"shiftleft(1L, CAST(pmod(la, {bits}L) & 63 AS INT))").alias("mark"))
+    marks = marks.groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    tried = said.withColumns({"word": word, "bit": bit}).join(F.broadcast(marks), "word")
+    return tried.filter(F.getbit("marks", F.col("bit")) == 1).select(*said.columns)
+
+
 def recurring_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, leading: int = LEADING,
     similarity: float = SIMILARITY, copy_share: float = COPY_SHARE,
@@ -82,7 +99,7 @@ def recurring_lines(
     counted = materialize(counted, "shared-line-counts")
     said = docs.select(F.explode(plain_lines(F.col("text"))).alias("line")).select("line", *line_key())
     unique = (
-        said.join(counted, ["la", "lb"]).groupBy("leaf", "la", "lb", "docs").agg(F.first("line").alias("line"))
+        _marked(said, counted).join(counted, ["la", "lb"]).groupBy("leaf", "la", "lb", "docs").agg(F.first("line").alias("line"))
         .select("leaf", "la", "lb", "docs", tokens(F.col("line")).alias("words"))
     )
     unique = materialize(unique, "shared-line-words")
