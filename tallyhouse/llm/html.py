@@ -11,8 +11,15 @@ comments are taken out beforehand, by element or by the words of class, id and r
 is that of the blocks in page order: character references decoded, white space inside a block
 turned into one blank, blocks joined by a line feed.
 
-Null and empty pages give an empty text, pages without markup their text as one block. Every
-page is read by itself and whole; repeated rows give repeated results.
+On a page without an article, what stands beside the best container stays as well (headings,
+lists, quotes, short sections), unless links make up a third of it. Inside an article an id is
+an anchor, not a role, and only words that cannot mean a subject take an element out.
+
+Null and empty pages give an empty text, pages without markup their text as one block; repeated
+rows give repeated results. Reading takes time in proportion to the page, whatever the markup:
+a tag whose quotes never close ends at the next ``>``, as do all tags after it; a ``<`` without
+any ``>`` after it is text; an element that ends itself holds nothing, as does one of raw
+content without an end tag (but script and style, which then run to the end of the page).
 """
 
 from __future__ import annotations
@@ -30,9 +37,9 @@ from tallyhouse.llm.common import append_array, row_slices, with_field
 BATCH_CHARS = 4_000_000
 # Element names by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg xmp noembed noframes".split())
 UNWANTED = RAW | frozenset(
-    "nav footer header aside form button select option input label dialog menu head object canvas audio video map fieldset".split()
+    "nav footer header aside form button select option input label dialog menu head object canvas audio video map fieldset annotation annotation-xml".split()
 )
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -50,30 +57,46 @@ ENDS = {
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
     "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "option": {"option", "optgroup"}, "head": {"body"},
 }
+# The same by the element that begins.
+ENDED_BY = {name: frozenset(k for k, v in ENDS.items() if name in v) for name in frozenset().union(*ENDS.values())}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 # Words of class, id and role that mark what is not the article, and what may be it all the same.
 SIDE_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|breadcrumbs?|combx|comments?|commentlist|replies|respond|disqus|discuss\w*|"
-    r"reader-?comments?|community|contact|cookies?|consent|gdpr|notices?|alert|dialog|popup|modal|overlay|footer|foot|footnote|masthead|site-?header|header|"
+    r"reader-?comments?|community|contact|cookies?|consent|gdpr|notices?|alert|dialog|popup|modal|overlay|footer|foot|masthead|site-?header|header|"
     r"legal|copyright|menu|menubar|nav\w*|pager|pagination|related|recommend\w*|remark|rss|share\w*|sharing|shoutbox|sidebar|side|widget|social|"
     r"skyscraper|subscribe|newsletter|signup|login|tags?|tool\w*|toc|topbar|search|complementary|contentinfo|form)(?=$|[\s_-])",
     re.I,
 )
 MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|story|post|text|blog|column)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<![^>]*>|<\?[^>]*>"
-    r"|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
+# Inside an article: words that no subject is named by, anywhere in a class, ...
+SURE_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert(?:s|isements?|ising)?|adsense|sponsor(?:ed|s)?|promo|breadcrumbs?|comments?|commentlist|disqus|shoutbox|cookies?|"
+    r"popup|modal|masthead|menubar|navbar|pagination|share|sharing|sidebar|subscribe|newsletter|signup|login|complementary|contentinfo)(?=$|[\s_-])",
+    re.I,
+)
+# ... and words that say it only as the whole class or the last part of one.
+LAST_WORDS = re.compile(
+    r"(?:^|[\s_-])(?:banner|replies|respond|consent|notices?|alert|dialog|overlay|footer|copyright|menu|nav|navigation|pager|related|recommended|"
+    r"rss|widget|social|tags|toolbar|toc|topbar|search|form)(?=$|\s)"
+    r"|(?:^|\s)(?:related|recommended)[_-](?:articles|posts|stories|links|items|content)(?=$|\s)|(?:^|\s)social[_-](?:links|icons|media|buttons)(?=$|\s)",
+    re.I,
 )
+NAME_END = re.compile(r"[\s/>]")
+# What matters while a tag is read: its end, and a value in quotes.
+IN_TAG = re.compile(r"""=\s*(["'])|>""")
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPACE = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parent", "kids", "chars", "links", "points", "scored")
+    __slots__ = ("name", "attrs", "parent", "above", "marks", "kids", "chars", "links", "points", "scored")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.name, self.attrs, self.parent = name, attrs, parent
+        # Blocks and elements that end without a tag; the nearest such above, never the page itself.
+        self.marks = parent is not None and (name in BLOCK or name in ENDS)
+        self.above: Node | None = parent and (parent if parent.marks else parent.above)
         self.kids: list[Node | str] = []
         self.chars = self.links = 0
         self.points, self.scored = 0.0, False
@@ -83,60 +106,148 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(source)}
 
 
+class Reader:
+    """Places in a page; no search is made twice over the same stretch."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.plain = False
+        self.found: dict[str, int] = {}
+
+    def next(self, what: str, pos: int) -> int:
+        """Next place of a fixed string, or -1; remembered until it is passed."""
+        at = self.found.get(what, -2)
+        if at == -1 or at >= pos:
+            return at
+        self.found[what] = at = self.page.find(what, pos)
+        return at
+
+    def tag_end(self, pos: int) -> int:
+        """Place of the ``>`` that ends a tag, or -1. Values in quotes may hold one."""
+        if pos > self.last:
+            return -1
+        at = pos
+        while not self.plain:
+            m = IN_TAG.search(self.page, at)
+            if m is None:
+                # The quotes take in all that is left: from here on they do not count.
+                self.plain = True
+            elif not m[1]:
+                return m.start()
+            else:
+                at = m.end()
+                if at <= self.quotes[m[1]]:
+                    at = self.page.find(m[1], at) + 1
+        return self.next(">", pos)
+
+    def raw_end(self, name: str, pos: int) -> int:
+        """Place after the end tag of a raw element, or -1."""
+        at = self.found.get("</" + name, -2)
+        if at == -1 or at >= pos:
+            return at
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.page, pos, self.last + 1)
+        self.found["</" + name] = at = self.page.find(">", m.end()) + 1 if m else -1
+        return at
+
+
 def parse(page: str) -> Node:
     """Element tree of a page; comments, declarations and the insides of raw elements are left out."""
     root = Node("html", {}, None)
-    at, pos, n = root, 0, len(page)
+    at, pos, n, reader = root, 0, len(page), Reader(page)
+    # Elements that are open, by name.
+    opened: dict[str, int] = {}
+
+    def leave(node: Node) -> Node:
+        opened[node.name] -= 1
+        return node.parent
+
+    begun = 0
     while pos < n:
-        m = TOKEN.search(page, pos)
-        text = page[pos : m.start() if m else n]
-        if text:
-            at.kids.append(html.unescape(text))
-        if not m:
+        lt = page.find("<", pos)
+        if lt < 0 or lt > reader.last:
+            # No tag is left, but a comment may take in the rest.
+            comment = page.find("<!--", max(lt, pos))
+            n = comment if lt >= 0 and comment >= 0 else n
             break
-        pos = m.end()
-        if m[1]:
-            name, node = m[1].lower(), at
-            while node.parent is not None and node.name != name:
-                node = node.parent
+        mark, end = page[lt + 1 : lt + 2], -1
+        if mark == "!" or mark == "?":
+            for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(start, lt):
+                    end = reader.next(stop, lt + len(start))
+                    end = end + 3 if end >= 0 else n if start == "<!--" else -1
+            if end < 0:
+                end = reader.next(">", lt) + 1
+        elif mark.isascii() and mark.isalpha():
+            end = reader.tag_end(lt + 1) + 1
+        elif mark == "/" and page[lt + 2 : lt + 3].isascii() and page[lt + 2 : lt + 3].isalpha():
+            end = reader.next(">", lt) + 1
+        if end <= 0:
+            pos = lt + 1
+            continue
+        if lt > begun:
+            at.kids.append(html.unescape(page[begun:lt]))
+        pos = begun = end
+        if mark in "!?":
+            continue
+        source = page[lt + 1 : end - 1]
+        if mark == "/":
+            name = NAME_END.split(source[1:], maxsplit=1)[0].lower()
             # An end tag without an open element is ignored; body and html stay open to the end.
-            if node.name == name and node.parent is not None and name not in ("body", "html"):
-                at = node.parent
-        elif m[2]:
-            name = m[2].lower()
-            if name in ("html", "body"):
-                root.attrs |= _attributes(m[3])
-                at = root
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else n
-                continue
-            at = _close_open(at, name)
-            node = Node(name, _attributes(m[3]) if m[3].strip() else {}, at)
-            at.kids.append(node)
-            if name not in VOID and not m[3].endswith("/"):
-                at = node
+            if opened.get(name):
+                while at.name != name:
+                    at = leave(at)
+                at = leave(at)
+            continue
+        name = NAME_END.split(source, maxsplit=1)[0].lower()
+        rest = source[len(name) :]
+        if name in ("html", "body"):
+            root.attrs |= _attributes(rest)
+            while at is not root:
+                at = leave(at)
+            continue
+        if name in RAW:
+            lasts = name in ("script", "style")
+            if lasts or not rest.endswith("/"):
+                after = reader.raw_end(name, pos)
+                pos = begun = after if after >= 0 else n if lasts else pos
+            continue
+        ended = _close_open(at, name, opened)
+        while at is not ended:
+            at = leave(at)
+        node = Node(name, _attributes(rest) if rest.strip() else {}, at)
+        at.kids.append(node)
+        if name not in VOID and not rest.endswith("/"):
+            opened[name] = opened.get(name, 0) + 1
+            at = node
+    if begun < n:
+        at.kids.append(html.unescape(page[begun:n]))
     return root
 
 
-def _close_open(at: Node, name: str) -> Node:
+def _close_open(at: Node, name: str, opened: dict[str, int]) -> Node:
     """Where an element begins, once those that it ends are closed."""
-    node = at
-    while node.parent is not None:
+    if not any(opened.get(x) for x in ENDED_BY.get(name, ())):
+        return at
+    node = at if at.marks else at.above
+    while node is not None:
         if name in ENDS.get(node.name, ()):
             at = node.parent
         elif name in SCOPE and node.name in SCOPE[name] or (node.name in BLOCK and node.name not in ENDS):
             break
-        node = node.parent
+        node = node.above
     return at
 
 
-def _unwanted(node: Node) -> bool:
+def _unwanted(node: Node, inside: bool) -> bool:
+    """Whether an element is not the article, by its name or its words."""
     if node.name in UNWANTED or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
         return True
     if re.search(r"display\s*:\s*none", node.attrs.get("style", ""), re.I):
         return True
+    if inside:
+        words = f"{node.attrs.get('class', '')} {node.attrs.get('role', '')}".strip()
+        return bool(SURE_WORDS.search(words) or LAST_WORDS.search(words))
     words = " ".join([node.attrs.get(k, "") for k in ("class", "id", "role")]).strip()
     if not words or node.name in ("article", "main") and not node.attrs.get("role"):
         return bool(words) and bool(SIDE_WORDS.search(words)) and not MAIN_WORDS.search(words)
@@ -145,11 +256,12 @@ def _unwanted(node: Node) -> bool:
 
 def prune(root: Node) -> None:
     """Take out what is not the article by its element or its words, from the top down."""
-    stack = [root]
+    stack = [(root, False)]
     while stack:
-        node = stack.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _unwanted(k)]
-        stack.extend([k for k in node.kids if not isinstance(k, str)])
+        node, inside = stack.pop()
+        inside = inside or node.name in ("article", "main")
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _unwanted(k, inside)]
+        stack.extend([(k, inside) for k in node.kids if not isinstance(k, str)])
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -214,23 +326,51 @@ def _final(node: Node) -> float:
     return node.points * (1 - node.links / node.chars) if node.chars else node.points
 
 
-def _members(best: Node) -> list[Node]:
-    """The article and the siblings that belong to it, in page order."""
-    if best.parent is None:
-        return [best]
-    least = max(10.0, 0.2 * _final(best))
-    out = []
-    for k in best.parent.kids:
-        if isinstance(k, str):
-            continue
-        density = k.links / k.chars if k.chars else 0.0
-        paragraph = k.name == "p" and (k.chars > 80 and density < 0.25 or 0 < k.chars and density == 0 and "." in _own_text(k))
-        if k is best or k.scored and _final(k) >= least or paragraph:
-            out.append(k)
-    return out
-
-
-def blocks(nodes: list[Node]) -> list[str]:
+def _belongs(run: list[Node | str]) -> bool:
+    """Whether there is text, and links are less than a third of it."""
+    chars = sum([len(k.strip()) if isinstance(k, str) else k.chars for k in run])
+    return 3 * sum([0 if isinstance(k, str) else k.links for k in run]) < chars
+
+
+def _beside(inner: Node) -> list[list[Node | str]]:
+    """The children around an element: blocks alone, text and inline elements in runs."""
+    runs: list[list[Node | str]] = []
+    open_run = False
+    for k in inner.parent.kids:
+        inline = k is not inner and (isinstance(k, str) or k.name not in BLOCK)
+        if inline and open_run:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+        open_run = inline
+    return runs
+
+
+def _members(best: Node) -> list[Node | str]:
+    """The article and the siblings that belong to it, in page order.
+
+    Beside the best container all that has text and few links belongs to it; beside the
+    containers around it, and beside an element that says it is the article, only what has
+    points enough of its own, or is a paragraph of few links.
+    """
+    least, chosen, inner = max(10.0, 0.2 * _final(best)), [best], best
+    said = best.name in ("article", "main")
+    while inner.parent is not None and not (said and inner is not best):
+        around: list[Node | str] = []
+        for run in _beside(inner):
+            k = run[0]
+            if k is inner:
+                around += chosen
+            elif inner is best and not said:
+                around += run if _belongs(run) else []
+            elif not isinstance(k, str):
+                paragraph = k.name == "p" and _belongs(run) and (k.chars > 80 or not k.links and "." in _own_text(k))
+                around += [k] if k.scored and _final(k) >= least or paragraph else []
+        inner, chosen = inner.parent, around
+    return chosen
+
+
+def blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks below some elements, in page order."""
     out: list[str] = []
     parts: list[str] = []
@@ -256,7 +396,7 @@ def blocks(nodes: list[Node]) -> list[str]:
                     flush()
                     stack.append((k, True))
                 stack.extend([(x, False) for x in reversed(k.kids)])
-        flush()
+    flush()
     return out
 
 
