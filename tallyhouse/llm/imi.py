@@ -6,20 +6,23 @@ centroids. A query visits cells by rising sum of its two distances, taken from a
 grows from the nearest pair, until the visited cells hold enough entries; those are reranked
 by the exact cosine of the original vectors.
 
-Cells with many entries are split into blocks, and queries come in groups, so that a task
-holds a bounded number of both; each block gives back the best few per query. Equal vectors
-are folded first: of each only the smallest ids can be among the results.
+Cells with many entries are split into blocks of bounded size. The index is shuffled once, by
+cell and block; queries go to the blocks they visit and stream through them in batches, so a
+task holds one block and one batch at a time. Each block gives back the best few per query.
+Equal vectors are folded first: of each only the smallest ids can be among the results.
 
 Null and zero vectors, and such with null, infinite or undefined components or a length other
-than most vectors have, take no part. Repeated ids are rows of their own.
+than most vectors have, take no part. Repeated ids are rows of their own: each row asked has its
+own list, in which only that row itself is missing, and rows alike count as often as they occur.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 # Rows of the training sample, centroids per half, and the share of all entries a query visits.
 SAMPLE_ROWS, CENTROIDS, VISIT = 20_000, 32, 0.5
 ROUNDS = 12
-# Entries of a block and queries of a group.
-BLOCK, GROUP = 4096, 512
+# Entries of a block, and queries that are compared with it at once.
+BLOCK, BATCH = 4096, 256
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -50,9 +53,9 @@ def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(x, dtype=np.float64) for x in column])
 
 
-def _measured(column) -> tuple[np.ndarray, np.ndarray]:
+def _measured(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vectors and their lengths. Where a length overflows or vanishes, the vector is scaled first."""
-    m = _matrix(column)
+    m = m.copy()
     with np.errstate(over="ignore", under="ignore"):
         norm = np.sqrt((m * m).sum(axis=1))
     odd = ~np.isfinite(norm) | (norm < 1e-150)
@@ -124,7 +127,9 @@ def search(
     entries, asked = usable(rows, id_col, vec_col), usable(queries, id_col, vec_col)
     # Of equal vectors the n + 1 smallest ids suffice, one of which may be the query's own.
     same = Window.partitionBy("v").orderBy("id")
+    entries = entries.groupBy("id", "v").agg(F.count("*").alias("copies"))
     entries = entries.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= n + 1).drop("r")
+    entries = entries.select("id", "v", F.least("copies", F.lit(n + 1)).cast("int").alias("copies"))
     drawn = entries.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample_rows).select("v").collect()
     empty = "query_id long, rank int, vec_id long, score double"
     if not drawn:
@@ -136,65 +141,114 @@ def search(
         for batch in batches:
             if batch.num_rows:
                 found = cells(unit(_matrix(batch.column(1).to_pylist())), shared.value).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["id", "v", "copies", "cell"])
 
-    index = entries.mapInArrow(assign, "id long, v array<double>, cell int")
+    index = entries.mapInArrow(assign, "id long, v array<double>, copies int, cell int")
     counts = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
-    for r in index.groupBy("cell").count().collect():  # at most centroids * centroids rows
-        counts[r.cell] = r["count"]
+    rows_of = np.zeros_like(counts)
+    for r in index.groupBy("cell").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).collect():  # at most centroids ** 2
+        counts[r.cell], rows_of[r.cell] = r.n, r.rows
     split = -(-counts // BLOCK)
     # At least so many that n are left without the query itself.
-    enough = max(int(np.ceil(visit * counts.sum())), n + 1)
-    plan = spark.sparkContext.broadcast((counts, split))
+    enough = max(int(np.ceil(visit * rows_of.sum())), n + 1)
+    plan = spark.sparkContext.broadcast((rows_of, split))
 
     def route(batches):
         for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, vectors, keys = (batch.column(i).to_pylist() for i in range(3))
             if not ids:
                 continue
             sizes, parts = plan.value
             out = []
-            for i, v, u in zip(ids, vectors, unit(_matrix(vectors)), strict=True):
-                out += [(i, v, c, s) for c in visited(u, shared.value, sizes, enough) for s in range(parts[c])]
+            for i, v, k, u in zip(ids, vectors, keys, unit(_matrix(vectors)), strict=True):
+                out += [(i, v, k, c, s) for c in visited(u, shared.value, sizes, enough) for s in range(parts[c])]
                 if len(out) > 20_000:
                     yield _routed(out)
                     out = []
             if out:
                 yield _routed(out)
 
-    groups = max(1, -(-asked.count() // GROUP))
-    routed = asked.mapInArrow(route, "id long, v array<double>, cell int, block int")
-    routed = routed.withColumn("group", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    # Rows asked that are alike share one search; the number tells different vectors of one id apart.
+    number = F.unhex(F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256))
+    asked = asked.groupBy("id", "v").agg(F.count("*").alias("times")).withColumn("key", number)
+    routed = asked.select("id", "v", "key").mapInArrow(route, "id long, v array<double>, key binary, cell int, block int")
     blocks = F.element_at(F.lit([int(x) for x in np.maximum(split, 1)]), F.col("cell") + 1)
     index = index.withColumn("block", F.pmod(F.xxhash64("id", "v"), blocks).cast("int"))
-    index = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def rerank(key, left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
-        (m, norm), (q, q_norm) = _measured(left["v"]), _measured(right["v"])
-        out = []
-        for i in range(len(own)):
-            score = (m @ q[i]) / (norm * q_norm[i])
-            score[ids == own[i]] = -np.inf
-            # All that tie with the n-th score stay in the running.
-            edge = np.partition(score, -min(n, len(score)))[-min(n, len(score))]
-            near = np.flatnonzero((score >= edge) & (score > -np.inf))
-            near = near[np.lexsort((ids[near], -score[near]))][:n]
-            out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[near], "score": score[near]}))
-        return pd.concat(out)
-
-    keys = ["cell", "block", "group"]
-    near = index.groupBy(*keys).cogroup(routed.groupBy(*keys)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # In a block the entries come first, marked by their copies.
+    both = index.withColumn("key", F.lit(None).cast("binary")).unionByName(routed.withColumn("copies", F.lit(0)))
+    both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", F.desc("copies"))
+    fields = ["cell", "block", "copies", "id", "v", "key"]
+    near = both.select(*fields).mapInArrow(lambda batches: _reranked(batches, n), "id long, key binary, vec_id long, score double, c int")
+    near = near.select("id", "key", "vec_id", "score", F.explode(F.sequence(F.lit(1), "c")).alias("c"))
+    best = Window.partitionBy("id", "key").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    ranked = ranked.join(asked.select("id", "key", "times"), ["id", "key"])
+    ranked = ranked.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return ranked.select(F.col("id").alias("query_id"), "rank", "vec_id", "score")
+
+
+def _reranked(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The best ``n`` entries of each block for the queries that follow its entries.
+
+    Rows are sorted by cell and block, entries before queries.
+    """
+    at, entries, block = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, part, copies = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        asks = copies == 0
+        new = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0) | (np.diff(asks) != 0)) + 1
+        for a, b in itertools.pairwise([0, *new, len(cell)]):
+            if (cell[a], part[a]) != at:
+                at, entries, block = (cell[a], part[a]), [], None
+            rows = batch.slice(a, b - a)
+            if not asks[a]:
+                entries.append(rows)
+                continue
+            if block is None:
+                if not entries:
+                    continue
+                held = pa.Table.from_batches(entries)
+                block = (held.column(3).to_numpy(), held.column(2).to_numpy(), *_measured(_vectors(held.column(4))))
+                entries = []
+            for c in range(0, b - a, BATCH):
+                yield _best(block, rows.slice(c, BATCH), n)
+
+
+def _best(block: tuple, asked: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """(id, key, vec_id, score, c) of the entries nearest to each query, ``c`` times each."""
+    ids, copies, m, norm = block
+    own = asked.column(3).to_numpy()
+    q, q_norm = _measured(_vectors(asked.column(4)))
+    at, found, scores, times = [], [], [], []
+    for i in range(len(own)):
+        score = (m @ q[i]) / (norm * q_norm[i])
+        # The row itself does not count, others of its id do.
+        left = copies
+        if (same := np.flatnonzero(ids == own[i])).size:
+            left = copies.copy()
+            left[same[(m[same] == q[i]).all(axis=1)]] -= 1
+            score[left == 0] = -np.inf
+        # All that tie with the n-th score stay in the running.
+        edge = np.partition(score, -min(n, len(score)))[-min(n, len(score))]
+        near = np.flatnonzero((score >= edge) & (score > -np.inf))
+        near = near[np.lexsort((ids[near], -score[near]))][:n]
+        at.append(np.full(len(near), i))
+        found.append(ids[near])
+        scores.append(score[near])
+        times.append(left[near].astype(np.int32))
+    at = pa.array(np.concatenate(at))
+    rest = [pa.array(np.concatenate(x)) for x in (found, scores, times)]
+    return pa.RecordBatch.from_arrays([asked.column(3).take(at), asked.column(5).take(at), *rest], names=["id", "key", "vec_id", "score", "c"])
+
+
+def _vectors(column) -> np.ndarray:
+    """Vectors of one length as a matrix, without a Python object per row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
 
 def _routed(rows: list[tuple]) -> pa.RecordBatch:
-    i, v, c, s = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(i, pa.int64()), pa.array(v, pa.list_(pa.float64())), pa.array(c, pa.int32()), pa.array(s, pa.int32())],
-        names=["id", "v", "cell", "block"],
-    )
+    kinds = {"id": pa.int64(), "v": pa.list_(pa.float64()), "key": pa.binary(), "cell": pa.int32(), "block": pa.int32()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))

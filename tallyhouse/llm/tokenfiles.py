@@ -7,6 +7,9 @@ lengths between separators, and the tokens after the last one. A prefix scan ove
 in order of file and offset, then joins what runs across their borders, so a document may
 span any number of blocks or files.
 
+Documents are found again by the ids that the writing task puts beside its token file; repeated
+rows and null ids keep a count each, and a document without a count is an error.
+
 An empty document is a separator alone. Tokens after the last separator of all form one more
 document, marked as open. No files give no rows. The writer turns null texts into empty
 documents; ids of 65,535 and more do not fit and are refused.
@@ -44,28 +47,91 @@ def encoding(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def write_flat(docs: DataFrame, vocabulary: str, path: str, text_col: str = "text", separator: int = SEPARATOR) -> None:
+def write_flat(
+    docs: DataFrame, vocabulary: str, path: str, text_col: str = "text", separator: int = SEPARATOR, id_col: str | None = None
+) -> None:
     """Write the ids of ``text_col`` as flat token files, one per partition, in the order of rows.
 
     The text writer puts out each row's bytes as they are, and the separator id as line end.
+    With ``id_col`` the same tasks write, beside each token file (in ``ids=0``), a file of the
+    same name with the documents' ids in the same order (in ``ids=1``); see ``written_ids``.
     """
     if not 0 <= separator < 1 << 16:
         raise ValueError("the separator must fit into 16 bits")
+    null, digits = _letters(separator)
 
     def run(batches):
-        enc = encoding(vocabulary)
+        enc, at = encoding(vocabulary), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
+            names = batch.column(1).to_pylist()
             for a, b in row_slices([len(t) for t in texts], BATCH_CHARS):
                 rows = [np.array(enc.encode_ordinary(t), dtype=np.int64) for t in texts[a:b]]
                 if any((r >= (1 << 16) - 1).any() or (r == separator).any() for r in rows):
                     raise ValueError("an id does not fit into a flat file, or is the separator")
-                yield pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())], names=["value"])
+                values = [r.astype("<u2").tobytes() for r in rows]
+                kinds = [0] * len(rows)
+                if id_col is not None:
+                    values += [null if i is None else i.encode().hex().encode().translate(digits) for i in names[a:b]]
+                    kinds += [1] * len(rows)
+                places = [*range(at, at + len(rows))] * (len(values) // max(len(rows), 1))
+                at += len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), pa.array(values, pa.binary())],
+                    names=["ids", "place", "value"],
+                )
 
     # Bytes of the separator, as the characters that Latin-1 gives them.
     end = int(separator).to_bytes(2, "little").decode("latin-1")
-    rows = docs.select(text_col).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    rows.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    named = (F.lit(None) if id_col is None else F.col(id_col)).cast("string").alias("_name")
+    rows = docs.select(text_col, named).mapInArrow(run, "ids int, place long, value binary")
+    value = F.col("value").cast("string").alias("value")
+    if id_col is None:
+        writer = rows.select(value).write
+    else:
+        writer = rows.sortWithinPartitions("ids", "place").select("ids", value).write.partitionBy("ids")
+    writer = writer.option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none")
+    writer.option("maxRecordsPerFile", 0).text(path)
+
+
+def _letters(separator: int) -> tuple[bytes, bytes]:
+    """A sign for null, and a table from hexadecimal digits to letters, none of them a byte of the separator."""
+    free = [c for c in range(ord("a"), ord("z") + 1) if c not in int(separator).to_bytes(2, "little")]
+    return bytes(free[16:17]), bytes.maketrans(b"0123456789abcdef", bytes(free[:16]))
+
+
+def _files(spark: SparkSession, path: str, ids: int) -> DataFrame:
+    """(path, content) of the token files (0) or of the id files (1) under ``path``."""
+    files = spark.read.format("binaryFile").load(path)
+    if "ids" in files.columns:
+        files = files.filter(F.col("ids") == ids)
+    elif ids:
+        files = files.limit(0)
+    return files.select("path", "content")
+
+
+def written_ids(spark: SparkSession, path: str, kind: str, separator: int = SEPARATOR) -> DataFrame:
+    """(doc_id, part, position) of the documents in flat files written with an id column of type ``kind``."""
+    null, digits = _letters(separator)
+    back = bytes.maketrans(digits[ord("0") : ord("9") + 1] + digits[ord("a") : ord("f") + 1], b"0123456789abcdef")
+    end = int(separator).to_bytes(2, "little")
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = content.split(end)[:-1]
+                ids = [None if x == null else bytes.fromhex(x.translate(back).decode()).decode() for x in lines]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.string()), pa.array([name] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int64())],
+                    names=["doc_id", "file", "position"],
+                )
+
+    rows = _files(spark, path, 1).mapInArrow(run, "doc_id string, file string, position long")
+    return rows.select(F.col("doc_id").cast(kind).alias("doc_id"), _part("file"), "position")
+
+
+def _part(file: str) -> Column:
+    return F.regexp_extract(file, r"part-(\d+)", 1).cast("int").alias("part")
 
 
 def scan_block(ids: np.ndarray, separator: int = SEPARATOR) -> tuple[int, np.ndarray, int]:
@@ -116,7 +182,7 @@ def counts(spark: SparkSession, path: str, separator: int = SEPARATOR, block: in
 
     ``position`` numbers the documents that end in a file; files follow each other by name.
     """
-    blocks = scan(spark.read.format("binaryFile").load(path), separator, block)
+    blocks = scan(_files(spark, path, 0), separator, block)
     has = F.col("tail") >= 0
     left = F.when(has, F.col("tail")).otherwise(F.col("head"))
     rows = carried(blocks, ["file"], "no", has, left)
@@ -141,15 +207,21 @@ def counts(spark: SparkSession, path: str, separator: int = SEPARATOR, block: in
     return closed.unionByName(open_.filter(F.col("n_tokens") > 0))
 
 
+def matched(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, part, position): documents with the counts of their places; one without is an error."""
+    found = found.filter(~F.col("open")).select(_part("file"), "position", "n_tokens")
+    lost = F.raise_error(F.concat(F.lit("no count for document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    tokens = F.coalesce("n_tokens", lost.cast("long")).alias("n_tokens")
+    return placed.join(found, ["part", "position"], "left").select("doc_id", tokens, "part", "position")
+
+
 def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, part, position): documents written as flat token files, then counted.
 
-    The files have no ids; a document is found again by its task and its row there, which are
-    those of the same scan of the table.
+    The token files have no ids. The task that writes one also writes the ids of its documents,
+    in the same order, so rows that move when the table is read again cannot change places.
     """
-    path = f"{work_folder(docs.sparkSession)}/flat-{uuid.uuid4().hex}"
-    write_flat(docs, vocabulary, path)
-    found = counts(docs.sparkSession, path).withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("int"))
-    row = F.monotonically_increasing_id()
-    placed = docs.select("doc_id", F.shiftright(row, 33).cast("int").alias("part"), row.bitwiseAND(F.lit((1 << 33) - 1)).alias("position"))
-    return placed.join(found.select("part", "position", "n_tokens"), ["part", "position"]).select("doc_id", "n_tokens", "part", "position")
+    spark = docs.sparkSession
+    path = f"{work_folder(spark)}/flat-{uuid.uuid4().hex}"
+    write_flat(docs, vocabulary, path, id_col="doc_id")
+    return matched(written_ids(spark, path, docs.schema["doc_id"].dataType.simpleString()), counts(spark, path))
