@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,8 @@ STEP = 1_024
 # More than the rounding of a matrix product can amount to.
 MARGIN = 1e-9
 MISSING_DISTANCE = 999.0
+# Numbers of a vector that are summed in one row, and buckets of a slice of prefix sums.
+PIECE, SLICE_BUCKETS = 16, 1_024
 
 
 def _unit(rows) -> np.ndarray:
@@ -198,26 +201,79 @@ def span_mean_pool(
     """Vector of each span: the mean of the tokens fully inside it, else the whole text's.
 
     ``tokens``: doc_id, start, end, embedding. ``spans``: doc_id, span_id, start, end.
-    ``full``: doc_id, embedding. Tokens and spans meet on (document, offset bucket), so
-    a long document is spread over many tasks and only nearby pairs are compared.
+    ``full``: doc_id, embedding. Tokens may overlap; one that ends before it starts, or whose
+    vector is not one of ``dims`` finite numbers, takes no part.
+
+    Offsets fall into buckets. Only the tokens of a span's first and last bucket are compared
+    with it; what lies between is the difference of two prefix sums over buckets. Vectors go
+    in pieces of ``PIECE`` numbers, so an aggregate is as wide at any ``dims``, and prefix sums
+    run in slices of buckets, so a long document is spread over many tasks.
     """
-    width = F.lit(bucket_chars)
-    t = tokens.select(
-        "doc_id", F.floor(F.col("start") / width).alias("_b"), F.col("start").alias("_ts"),
-        F.col("end").alias("_te"), F.col("embedding").alias("_v"),
-    )
-    buckets = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    s = spans.select("doc_id", "span_id", "start", "end", F.explode(buckets).alias("_b"))
-    inside = t.join(s, ["doc_id", "_b"]).filter(
-        (F.col("_ts") >= F.col("start")) & (F.col("_te") <= F.col("end"))
+    width, pieces = F.lit(bucket_chars), -(-dims // PIECE)
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    whole = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & (F.size("embedding") == dims)
+    t = tokens.filter((F.col("end") >= F.col("start")) & whole).select(
+        "doc_id", F.col("start").alias("_ts"), F.col("end").alias("_te"), bucket("start").alias("_tx"), bucket("end").alias("_ty"),
+        F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.slice("embedding", i * PIECE + 1, F.lit(PIECE))
+        )).alias("_p", "_v"),
     )
-    means = [F.avg(F.element_at("_v", i + 1)) for i in range(dims)]
-    pooled = inside.groupBy("doc_id", "span_id").agg(F.array(*means).alias("_mean"))
-    whole = full.select("doc_id", F.col("embedding").cast("array<double>").alias("_full"))
-    joined = spans.join(pooled, ["doc_id", "span_id"], "left").join(whole, "doc_id", "left")
+    names = [f"_{i}" for i in range(min(PIECE, dims))]
+    # The last piece may be shorter; what it lacks is cut off in the end.
+    t = t.select(*t.columns[:-1], F.lit(1).cast("long").alias("_n"), *[F.get("_v", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
+    sums = ["_n", *names]
+    s = spans.select("doc_id", "span_id", "start", "end", bucket("start").alias("_x"), bucket("end").alias("_y"))
+    fields = ["doc_id", "span_id", "_p", *sums]
+
+    inside = (F.col("_ts") >= F.col("start")) & (F.col("_te") <= F.col("end"))
+    first = t.join(s.withColumnRenamed("_x", "_tx"), ["doc_id", "_tx"]).filter(inside)
+    last = t.join(s.withColumnRenamed("_y", "_ty"), ["doc_id", "_ty"]).filter(inside & (F.col("_tx") > F.col("_x")))
+    # Between: what ends before the last bucket, less what starts up to the first one; tokens
+    # that start up to the first and end from the last one on have been taken off too much.
+    wide = s.filter(F.col("_y") > F.col("_x") + 1)
+    lasting = t.filter(F.col("_ty") > F.col("_tx")).withColumn("_x", F.explode(F.sequence("_tx", "_ty")))
+    over = lasting.join(wide, ["doc_id", "_x"]).filter(F.col("_ty") >= F.col("_y"))
+    ended = _before(t, "_ty", wide, F.col("_y"), pieces, sums)
+    begun = _before(t, "_tx", wide, F.col("_x") + 1, pieces, sums)
+    less = begun.select("doc_id", "span_id", "_p", *[(-F.col(c)).alias(c) for c in sums])
+
+    parts = [df.select(*fields) for df in (first, last, over, ended, less)]
+    totals = _added(parts, ["doc_id", "span_id", "_p"], sums).filter(F.col("_n") > 0)
+    mean = F.array(*[F.col(c) / F.col("_n") for c in names])
+    rows = totals.groupBy("doc_id", "span_id").agg(F.sort_array(F.collect_list(F.struct("_p", mean.alias("m")))).alias("_l"))
+    pooled = rows.select("doc_id", "span_id", F.slice(F.flatten(F.col("_l.m")), 1, dims).alias("_mean"))
+    whole_texts = full.select("doc_id", F.col("embedding").cast("array<double>").alias("_full"))
+    joined = spans.join(pooled, ["doc_id", "span_id"], "left").join(whole_texts, "doc_id", "left")
     return joined.select("doc_id", "span_id", F.coalesce("_mean", "_full").alias("embedding"))
 
 
+def _added(parts: list[DataFrame], keys: list[str], sums: list[str]) -> DataFrame:
+    """Rows of several frames, summed by key."""
+    return functools.reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _before(tokens: DataFrame, at: str, spans: DataFrame, edge: Column, pieces: int, sums: list[str]) -> DataFrame:
+    """(doc_id, span_id, _p, sums): for each span the sums of tokens whose bucket ``at`` is below ``edge``.
+
+    Bucket sums and edges stand in one order, so an edge reads off the running sum where it stands.
+    """
+    totals = tokens.groupBy("doc_id", "_p", F.col(at).alias("_b")).agg(*[F.sum(c).alias(c) for c in sums])
+    span_type = spans.schema["span_id"].dataType
+    edges = spans.select(
+        "doc_id", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("_p"), edge.alias("_b"), "span_id", F.lit(True).alias("_edge"),
+        *[F.lit(0).cast(t).alias(c) for c, t in tokens.select(*sums).dtypes],
+    )
+    rows = totals.withColumns({"span_id": F.lit(None).cast(span_type), "_edge": F.lit(False)}).unionByName(edges)
+    rows = rows.withColumn("_slice", F.floor(F.col("_b") / SLICE_BUCKETS))
+    # Edges come before the sum of the bucket they stand at.
+    within = Window.partitionBy("doc_id", "_p", "_slice").orderBy("_b", F.desc("_edge")).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("doc_id", "_p").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = rows.groupBy("doc_id", "_p", "_slice").agg(*[F.sum(c).alias(c) for c in sums])
+    carried = slices.select("doc_id", "_p", "_slice", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_c{c}") for c in sums])
+    run = rows.withColumns({c: F.sum(c).over(within) for c in sums}).filter("_edge").join(carried, ["doc_id", "_p", "_slice"])
+    return run.select("doc_id", "span_id", "_p", *[(F.col(c) + F.col(f"_c{c}")).alias(c) for c in sums])
+
+
 def collection_stats(docs: DataFrame, samples: int = 2) -> DataFrame:
     """Documents per collection and the first few ids of each.
 
