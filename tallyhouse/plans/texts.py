@@ -14,7 +14,9 @@ from tallyhouse.operators import screening as S
 from tallyhouse.operators.matching import contains_join
 from tallyhouse.plans.registry import query
 from tallyhouse.session import work_folder
-from tallyhouse.sources.collections import export_csv, upsert_documents, write_collection, written_count
+from tallyhouse.sources.collections import (
+    create_collection, export_csv, read_collection, upsert_collection, upsert_documents, write_collection, written_count,
+)
 
 W = r"[\p{L}\p{N}_]"
 NW = r"[^\p{L}\p{N}_]"
@@ -526,19 +528,34 @@ def build_table_documents(t):
     return D.table_documents("geo", tables, columns).select("id", "document", "kind")
 
 
-@query(
-    "upsert_documents",
+UPSERT_SQL = (
     "SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE 'quality ' || l.quality END AS document FROM documents d "
-    "LEFT JOIN (SELECT doc_id, MAX(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id",
+    "LEFT JOIN (SELECT doc_id, MAX(quality) AS quality FROM labels GROUP BY 1) l ON l.doc_id = d.doc_id"
 )
-def upsert(t):
+
+
+def documents_and_notes(t) -> tuple[DataFrame, DataFrame]:
     key = F.col("doc_id").cast("string").alias("id")
-    existing = t.spread("documents").select(key, F.col("text").alias("document"))
     note = F.concat(F.lit("quality "), F.col("quality").cast("string"))
-    batch = t["labels"].select(key, note.alias("document"), "quality")
+    return t.spread("documents").select(key, F.col("text").alias("document")), t["labels"].select(key, note.alias("document"), "quality")
+
+
+@query("upsert_documents", UPSERT_SQL)
+def upsert(t):
+    existing, batch = documents_and_notes(t)
     return upsert_documents(existing, batch, "quality")
 
 
+@query("upsert_collection", UPSERT_SQL)
+def upsert_in_place(t):
+    """The documents as a bucketed collection, after a batch of labels was written over it."""
+    path = f"{work_folder(t.spark)}/bucketed-{uuid.uuid4().hex}"
+    existing, batch = documents_and_notes(t)
+    create_collection(existing, path)
+    upsert_collection(batch, path, "quality")
+    return read_collection(t.spark, path)
+
+
 @query("upsert_written", "SELECT COUNT(DISTINCT doc_id) AS written FROM labels")
 def upsert_written(t):
     """How many documents the batch of labels writes."""

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhouse.session import materialize
+
+BUCKETS = 64
+
 
 def upsert_documents(existing: DataFrame, batch: DataFrame, order_col: str) -> DataFrame:
     """Existing documents with the batch written over them; the last write per id wins.
@@ -25,6 +31,57 @@ def _write(cols: list[str], order_col: str) -> Column:
     return F.struct(F.col(order_col).isNotNull().alias("known"), F.col(order_col).alias("at"), rest.alias("rest"))
 
 
+def create_collection(df: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write a collection whose rows lie in folders by a hash of ``id``, for ``upsert_collection``.
+
+    The number of buckets is part of the folders' names, so every later batch finds it. Each
+    bucket is one file; choose so many that a bucket is a comfortable task.
+    """
+    name = f"bucket_of_{buckets}"
+    rows = df.withColumn(name, _bucket(buckets)).repartition(buckets, name)
+    rows.write.mode("errorifexists").partitionBy(name).parquet(path)
+
+
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a bucketed collection."""
+    rows = spark.read.parquet(path)
+    return rows.drop(_bucket_column(rows))
+
+
+def upsert_collection(batch: DataFrame, path: str, order_col: str) -> None:
+    """Write a batch over a bucketed collection; as ``upsert_documents``, but in place.
+
+    Only the buckets that the batch has ids for are read and written, the files of all others
+    stay as they are. The merged buckets are written aside first, then take the place of the old
+    ones. Applying the same batch again changes no document; after a failure, apply it again.
+    An empty batch writes nothing. One writer at a time.
+    """
+    spark = batch.sparkSession
+    existing = spark.read.parquet(path)
+    name = _bucket_column(existing)
+    buckets = int(name.rsplit("_", 1)[1])
+    cols = [c for c in existing.columns if c != name]
+    batch = materialize(batch.select(*dict.fromkeys([*cols, order_col])), "batch")
+    # At most as many numbers as there are buckets.
+    touched = [r[0] for r in batch.select(_bucket(buckets)).distinct().collect()]
+    if not touched:
+        return
+    merged = upsert_documents(existing.filter(F.col(name).isin(touched)).select(*cols), batch, order_col)
+    merged = materialize(merged.withColumn(name, _bucket(buckets)).repartition(len(touched), name), "merged")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def _bucket_column(rows: DataFrame) -> str:
+    names = [c for c in rows.columns if re.fullmatch(r"bucket_of_\d+", c)]
+    if not names:
+        raise ValueError("no bucketed collection: write it with create_collection")
+    return names[-1]
+
+
 def written_count(batch: DataFrame) -> DataFrame:
     """How many documents a batch writes: one per id."""
     return batch.agg(F.countDistinct("id").alias("written"))

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import vectors as V
 from tallyhouse.sources.audit_log import read_audit, write_audit
-from tallyhouse.sources.collections import export_csv, upsert_documents, write_collection, write_report, written_count
+from tallyhouse.sources.collections import (
+    create_collection, export_csv, read_collection, upsert_collection, upsert_documents, write_collection, write_report, written_count,
+)
 
 
 def make(n, dims, seed, repeat=0):
@@ -146,6 +150,34 @@ def test_span_mean_pool(spark):
     assert got == {0: [1.0, 1.0], 1: [9.0, 9.0], 2: [pytest.approx(154.5), 1.0], 3: [9.0, 9.0]}
 
 
+@pytest.mark.parametrize(("dims", "slices"), [(384, 1_024), (3, 2), (16, 1_024)])
+def test_span_mean_pool_against_all_pairs(spark, monkeypatch, dims, slices):
+    """Overlapping and long tokens, spans over many buckets, texts without any token inside."""
+    monkeypatch.setattr(V, "SLICE_BUCKETS", slices)
+    rng = np.random.default_rng(dims)
+    starts = rng.integers(0, 3_000, 250)
+    ends = starts + np.where(rng.random(250) < 0.1, rng.integers(0, 900, 250), rng.integers(0, 12, 250))
+    vectors = rng.standard_normal((250, dims)).round(3)
+    docs = ["d", "e"]
+    tokens = [(docs[i % 2], int(starts[i]), int(ends[i]), vectors[i].tolist()) for i in range(250)]
+    odd = [("d", 5, 1, vectors[0].tolist()), ("d", 5, 9, None), ("d", 5, 9, [None] * dims), ("d", 5, 9, [1.0] * (dims + 1)), (None, 5, 9, vectors[0].tolist())]
+    edges = rng.integers(0, 3_500, (40, 2))
+    spans = [(docs[i % 2], i, int(min(e)), int(max(e))) for i, e in enumerate(edges)] + [("d", 98, 64, 128), ("f", 99, 0, 9), ("d", 100, None, 9)]
+    got = {
+        r["span_id"]: r["embedding"]
+        for r in V.span_mean_pool(
+            spark.createDataFrame(tokens + odd, "doc_id string, start int, end int, embedding array<double>").repartition(3),
+            spark.createDataFrame(spans, "doc_id string, span_id int, start int, end int"),
+            spark.createDataFrame([("d", [9.0] * dims), ("e", [8.0] * dims)], "doc_id string, embedding array<double>"), dims, bucket_chars=64,
+        ).collect()
+    }
+    assert len(got) == len(spans)
+    for doc, span, a, b in spans:
+        v = [x for d, s, e, x in tokens if a is not None and d == doc and s >= a and e <= b]
+        want = np.mean(v, axis=0).tolist() if v else {"d": [9.0] * dims, "e": [8.0] * dims}.get(doc)
+        assert got[span] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
 def test_collection_stats_keeps_a_null_collection(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "collection string, id int")
     assert {r["collection"]: r["documents"] for r in V.collection_stats(df).collect()} == {None: 2, "a": 1}
@@ -173,6 +205,30 @@ def test_upsert_with_null_order(spark):
     assert written_count(batch).first()["written"] == 2
 
 
+def test_upsert_touches_only_its_buckets(spark, work):
+    path = f"{work}/bucketed"
+    names = lambda: {str(f.relative_to(path)) for f in pathlib.Path(path).rglob("*.parquet")}
+    rows = lambda: sorted(map(tuple, read_collection(spark, path).collect()), key=str)
+    old = spark.createDataFrame([(f"d{i}", f"text {i}", i) for i in range(300)] + [(None, "no id", -1)], "id string, document string, size int")
+    create_collection(old, path, 16)
+    before, files = rows(), names()
+    assert before == sorted(map(tuple, old.collect()), key=str) and len(files) == 16
+    batch = spark.createDataFrame(
+        [("d7", "first", 1, 1, "x"), ("d7", "last", 2, 2, "x"), ("new", "n", 3, 1, "x")], "id string, document string, size int, seq int, more string"
+    )
+    upsert_collection(batch, path, "seq")
+    want = sorted([r for r in before if r[0] != "d7"] + [("d7", "last", 2), ("new", "n", 3)], key=str)
+    assert rows() == want and 14 <= len(files & names()) <= 15
+    upsert_collection(batch, path, "seq")
+    assert rows() == want and 14 <= len(files & names()) <= 15
+    kept = names()
+    upsert_collection(batch.limit(0), path, "seq")
+    assert names() == kept
+    write_collection(old, f"{work}/plain")
+    with pytest.raises(ValueError, match="create_collection"):
+        upsert_collection(batch, f"{work}/plain", "seq")
+
+
 def test_sinks(spark, work):
     df = spark.createDataFrame([(1, 'say "hi", ok', None), (2, "عميل", 2.5)], "id int, t string, v double")
     export_csv(df.coalesce(1), f"{work}/csv")
