@@ -2,10 +2,12 @@
 
 A run of ``K`` code points is chosen when the least hash among its inner runs of ``S`` code
 points lies at either edge. The choice depends on the run alone, so an edit changes only the
-anchors that overlap it. A fingerprint keeps the ``KEPT`` anchors of least hash, each with the
-place of its first occurrence. Two fingerprints are as alike as the share of anchors, among the
-least of both together, that stand in both, and in places which differ by the same distance
-as most do.
+anchors that overlap it. A fingerprint keeps the anchors whose hash lies in the least ``SHARE``
+of all hashes, so that it grows with the text and a passage keeps its anchors wherever it stands;
+of a text with fewer such anchors it keeps the ``KEPT`` of least hash. A share of 1 keeps all.
+Each anchor stands with the place of its first occurrence, in full. Two fingerprints are as alike
+as the share of anchors, among the hashes up to which both are complete, that stand in both, and
+in places which differ by the same distance as most do. It follows from the fingerprints alone.
 
 Null counts as empty. An empty text has no anchor and an empty fingerprint, is like another
 empty text (1) and unlike any other (0). A text without a chosen run, as one shorter than
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from tallyhouse.llm.common import append_array, row_slices, with_field
 from tallyhouse.llm.wordhash import code_points, mixed, powers, prefix_sums
 
-K, S, KEPT = 12, 4, 64
+K, S, KEPT, SHARE = 12, 4, 64, 1 / 16
 # Code points by which the distances of matching anchors may differ.
 DRIFT = 1024
 # Ranges of ids: about so many characters each, and at most so many.
@@ -37,7 +39,12 @@ BLOCK_CHARS = 500_000
 _NO_ANCHORS = np.zeros((0, 2), dtype=np.int64)
 
 
-def anchors(texts: list[str]) -> list[np.ndarray]:
+def _limit(share: float) -> int:
+    """Hashes below it belong to the share that is kept whatever the length."""
+    return round(share * 2**32)
+
+
+def anchors(texts: list[str], kept: int = KEPT, share: float = SHARE) -> list[np.ndarray]:
     """For each text its kept anchors, (hash, place) by rising hash."""
     codes, begin = code_points(texts)
     total, down = prefix_sums(codes), powers(len(codes) + 8)[1]
@@ -67,7 +74,8 @@ def anchors(texts: list[str]) -> list[np.ndarray]:
     pairs = np.stack([(key & np.uint64(0xFFFFFFFF)).astype(np.int64), at - begin[text]], axis=1)
     out = []
     for i in range(len(texts)):
-        own = pairs[bounds[i] : min(bounds[i + 1], bounds[i] + KEPT)]
+        own = pairs[bounds[i] : bounds[i + 1]]
+        own = own[: max(kept, int(np.searchsorted(own[:, 0], _limit(share))))]
         if not len(own) and size[i]:
             a, b = begin[i : i + 1], begin[i : i + 1] + size[i : i + 1]
             whole = mixed((total[b] - total[a]) * down[a]) >> np.uint64(32)
@@ -77,28 +85,36 @@ def anchors(texts: list[str]) -> list[np.ndarray]:
 
 
 def to_text(kept: np.ndarray) -> str:
-    """Twelve hex digits for each anchor: its hash, and its place modulo 2^16."""
-    packed = ((kept[:, 0].astype(np.uint64) << np.uint64(16)) | (kept[:, 1] & 0xFFFF).astype(np.uint64)).astype(">u8")
-    raw = packed.tobytes().hex()
-    return "".join([raw[i + 4 : i + 16] for i in range(0, len(raw), 16)])
+    """Sixteen hex digits for each anchor: its hash and its place."""
+    return kept.astype(">u4").tobytes().hex()
+
+
+def from_text(fingerprint: str) -> np.ndarray:
+    """The anchors of a fingerprint."""
+    return np.frombuffer(bytes.fromhex(fingerprint), dtype=">u4").astype(np.int64).reshape(-1, 2)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the least anchors of both that match in hash and place."""
+def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT, share: float = SHARE, drift: int = DRIFT) -> float:
+    """Share of the anchors, up to the hash where either fingerprint ends, that match in hash and place."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    # With fewer than the kept anchors a fingerprint holds all of its text.
+    ends = [max(int(x[-1, 0]), _limit(share) - 1) for x in (a, b) if len(x) >= kept]
     union = np.union1d(a[:, 0], b[:, 0])
-    union = union[: min(KEPT, len(union))]
     both, ia, ib = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
-    keep = both <= union[-1]
-    if not keep.any():
+    if ends:
+        union, keep = union[union <= min(ends)], both <= min(ends)
+        ia, ib = ia[keep], ib[keep]
+    if not len(ia):
         return 0.0
-    distance = a[ia[keep], 1] - b[ib[keep], 1]
+    distance = a[ia, 1] - b[ib, 1]
     usual = np.sort(distance)[len(distance) // 2]
-    return float((np.abs(distance - usual) <= DRIFT).sum() / len(union))
+    return float((np.abs(distance - usual) <= drift).sum() / len(union))
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
+def fingerprints(
+    docs: DataFrame, text_col: str = "text", out_col: str = "fingerprint", kept: int = KEPT, share: float = SHARE
+) -> DataFrame:
     """``docs`` with the fingerprint of ``text_col``, in map tasks."""
     docs = docs.drop(out_col) if out_col in docs.columns else docs
     schema = with_field(docs, out_col, T.StringType())
@@ -108,7 +124,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "finger
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             for a, b in row_slices([len(t) for t in texts], BLOCK_CHARS):
-                got = pa.array([to_text(k) for k in anchors(texts[a:b])], pa.string())
+                got = pa.array([to_text(k) for k in anchors(texts[a:b], kept, share)], pa.string())
                 yield append_array(batch.slice(a, b - a), keep, out_col, got)
 
     return docs.mapInArrow(run, schema)
@@ -160,7 +176,7 @@ def _stretches(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
         yield block
 
 
-def compared(docs: DataFrame) -> DataFrame:
+def compared(docs: DataFrame, kept: int = KEPT, share: float = SHARE, drift: int = DRIFT) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and their likeness, also to the next one.
 
     The edited text is the document with its last half (rounded down) replaced by as many code
@@ -179,7 +195,7 @@ def compared(docs: DataFrame) -> DataFrame:
             if not mine:
                 continue
             edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts[:-1], texts[1:], strict=True)]
-            own, new = anchors(texts), anchors(edited)
+            own, new = anchors(texts, kept, share), anchors(edited, kept, share)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([r[2] for r in mine], pa.int64()),
@@ -187,8 +203,8 @@ def compared(docs: DataFrame) -> DataFrame:
                     "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
                     "fingerprint": [to_text(k) for k in own[:-1]],
                     "edited_fingerprint": [to_text(k) for k in new],
-                    "near_edited": [likeness(a, b) for a, b in zip(own, new, strict=False)],
-                    "near_next": [likeness(a, b) for a, b in zip(own[:-1], own[1:], strict=True)],
+                    "near_edited": [likeness(a, b, kept, share, drift) for a, b in zip(own, new, strict=False)],
+                    "near_next": [likeness(a, b, kept, share, drift) for a, b in zip(own[:-1], own[1:], strict=True)],
                 }
             )
 

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.llm import bpe, html, imi, minhash, mixing, sharding, syncmers, templates, tokenfiles, toxicity
 from tallyhouse.llm.wordhash import shingles, words
@@ -208,6 +209,14 @@ def test_classes_join_what_is_similar(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_rows_alike_in_id_and_text_leave_the_same_one(spark):
+    rows = [(7, "one and the same text", s, {"k": s}) for s in ("web", "books", None, "web")] + [(None, None, "b", None), (None, "", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `odd name` map<string, string>")
+    orders = [docs, docs.orderBy(F.desc("source")).coalesce(1), docs.orderBy("source").repartition(5)]
+    got = [sorted(map(str, minhash.one_of_each(d).collect())) for d in orders]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2
+
+
 def test_pairs_within_a_family_that_shares_a_passage(spark, monkeypatch):
     # Equal weights: all texts are alike by 0.6 to 0.7, each like its own partner by 0.8 and more only.
     monkeypatch.setattr(minhash, "document_frequency", lambda docs: np.ones(minhash.BUCKETS, np.float32))
@@ -474,6 +483,7 @@ def test_fingerprints_of_edited_texts(spark, monkeypatch):
         assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (x.fingerprint, x.edited_fingerprint) == (syncmers.to_text(a), syncmers.to_text(b))
         assert (x.near_edited, x.near_next) == (syncmers.likeness(a, b), syncmers.likeness(a, c))
+        assert x.near_edited == syncmers.likeness(syncmers.from_text(x.fingerprint), syncmers.from_text(x.edited_fingerprint))
     assert len(got) == len(rows) and got[102].fingerprint == got[103].fingerprint and got[103].near_next == 1.0
     ties = spark.createDataFrame([(None, "x y z"), (3, None), (3, ""), (None, "x y z")], "doc_id long, text string")
     assert syncmers.compared(ties).count() == 4 and syncmers.compared(ties.limit(0)).count() == 0
@@ -495,6 +505,27 @@ def test_syncmers_by_definition():
             want.setdefault(h(i, syncmers.K) >> 32, i)
     got = syncmers.anchors([text])[0]
     assert [tuple(x) for x in got.tolist()] == sorted(want.items())[: syncmers.KEPT]
+    assert [tuple(x) for x in syncmers.anchors([text], share=1)[0].tolist()] == sorted(want.items())
+
+
+def test_fingerprints_grow_with_the_text():
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abcdefghijkl ") for _ in range(n))
+    passage = some(3000)
+    long, other = some(90_000) + passage + some(20_000), some(70_000) + passage + some(30_000)
+    every, also = syncmers.anchors([long, other], share=1)
+    kept, kept_other = syncmers.anchors([long, other])
+    # The kept ones are those of the least hashes of all, about a sixteenth, with full places.
+    assert [tuple(x) for x in kept.tolist()] == [tuple(x) for x in every.tolist() if x[0] < 2**28]
+    assert len(kept) > 1000 and kept[:, 1].max() > 100_000
+    assert syncmers.from_text(syncmers.to_text(kept)).tolist() == kept.tolist()
+    # The shared passage keeps anchors in both, at one distance, beyond 2^16.
+    shared, i, j = np.intersect1d(kept[:, 0], kept_other[:, 0], assume_unique=True, return_indices=True)
+    assert len(shared) >= 20 and (kept[i, 1] - kept_other[j, 1] == 20_000).mean() > 0.9
+    # The likeness estimates that of all anchors.
+    exact = syncmers.likeness(every, also, share=1)
+    assert 0 < exact < 0.03 and abs(syncmers.likeness(kept, kept_other) - exact) < 0.01
+    assert syncmers.likeness(kept, kept) == 1.0 and syncmers.likeness(kept, syncmers.anchors(["short text of its own"])[0]) == 0.0
 
 
 DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
