@@ -404,16 +404,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest id, then text."""
+    """``docs`` with one row of each class: that of the smallest id, then text. Of rows alike in
+    both the least hash of all other columns decides; rows alike in every column count as one."""
     edges = materialize(links(docs), "links")
     roots = materialize(components(edges), "components")
-    key, first = free_name(docs.columns, "_key"), free_name(docs.columns, "_first")
-    rows = docs.select("doc_id", text_key().alias("id"))
-    named = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"))
+    key, first, least = (free_name(docs.columns, c) for c in ("_key", "_first", "_least"))
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    tie = F.xxhash64(F.to_json(F.struct(F.col("text").isNull().alias("c"), *others)))
+    rows = docs.select("doc_id", text_key().alias("id"), tie.alias("tie"))
+    named = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("tie").alias("t"))
     copies = materialize(rows.groupBy("id").agg(F.min(named).alias("first")), "copies")
     rooted = materialize(copies.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     best = rooted.groupBy("root").agg(F.min(F.struct("first", "id")).alias("best"))
-    best = materialize(best.select(F.col("best.id").alias(key), F.col("best.first.d").alias(first)), "kept-texts")
-    kept = docs.withColumn(key, text_key()).join(best, key).filter(F.col("doc_id").eqNullSafe(F.col(first)))
-    # Repeated rows of the same id and text: one of them stays.
+    best = best.select(F.col("best.id").alias(key), F.col("best.first.d").alias(first), F.col("best.first.t").alias(least))
+    kept = docs.withColumn(key, text_key()).join(materialize(best, "kept-texts"), key)
+    kept = kept.filter(F.col("doc_id").eqNullSafe(F.col(first)) & (tie == F.col(least)))
+    # Rows alike in every column: one of them stays.
     return kept.dropDuplicates([key]).select(*docs.columns)
