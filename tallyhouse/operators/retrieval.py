@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions.text import extract_terms, normalise_text, strip, token_estimate
 from tallyhouse.operators.limits import top_k
 from tallyhouse.operators.matching import contains_join, index_texts
+from tallyhouse.session import materialize
 
 # Priority of each kind of glossary hit; a phrase adds its length.
 PHRASE_PRIORITY = 100
@@ -35,6 +36,12 @@ SECTION_PRIORITY = {
     "sql_style": 7,
 }
 MIN_CUT_TOKENS = 50
+# Postings of a question's rarest words, for each example wanted, that are read to find a score to
+# reach; and how far sums of the same points may differ by their order.
+SEED_POSTINGS, SCORE_SLACK = 16, 1e-6
+# Share of the score to reach that the words left aside may give together; below 1, so that a pair
+# that shares nothing else cannot reach it.
+ASIDE = 0.3
 # Default breadth.
 MAX_GLOSSARY, MAX_EXAMPLES, MAX_TABLES, MAX_TOKENS = 6, 2, 5, 2_500
 
@@ -128,19 +135,10 @@ def _example_fields(examples: DataFrame) -> DataFrame:
     return field("question_en").unionByName(field("question_ar"))
 
 
-def score_examples(
-    questions: DataFrame, examples: DataFrame,
-    semantic: DataFrame | None = None, selected: DataFrame | None = None, index: DataFrame | None = None,
+def _example_signals(
+    questions: DataFrame, examples: DataFrame, semantic: DataFrame | None, selected: DataFrame | None, index: DataFrame | None
 ) -> DataFrame:
-    """Score of every example that has something in common with a question.
-
-    ``questions``: question_id, text. ``examples``: example_id, question_en,
-    question_ar, required_tables. ``semantic``: question_id, example_id,
-    semantic_score. ``selected``: question_id, table_name.
-
-    Shared words are counted over an inverted index (an equi-join on the term), so a
-    pair is formed only where a word is shared; pairs are summed before the shuffle.
-    """
+    """(question_id, example_id, points) of every signal but shared words; a pair may stand several times."""
     index, norm = _indexed(questions, index)
     fields = _example_fields(examples)
     needle = fields.withColumn("_needle_text", F.lower("field_text"))
@@ -161,13 +159,7 @@ def score_examples(
         F.max("points").alias("points")
     ).drop("field")
 
-    q_terms = questions.select("question_id", F.explode(extract_terms(F.col("text"))).alias("term"))
-    e_terms = fields.select("example_id", F.explode(extract_terms(F.col("field_text"))).alias("term"))
-    shared = q_terms.join(e_terms, "term").groupBy("question_id", "example_id").agg(
-        (F.count("*") * EXAMPLE_TERM).alias("points")
-    )
-    parts = [contained, shared]
-
+    parts = [contained]
     if semantic is not None:
         parts.append(semantic.select(
             "question_id", "example_id", (F.col("semantic_score") * EXAMPLE_SEMANTIC).alias("points")
@@ -187,9 +179,123 @@ def score_examples(
     parts.append(named.groupBy("question_id", "example_id").agg(
         (F.count("*") * EXAMPLE_NAMED).alias("points")
     ))
+    return _union(parts)
+
+
+def _asked_terms(questions: DataFrame) -> DataFrame:
+    return questions.select("question_id", F.explode(extract_terms(F.col("text"))).alias("term"))
+
+
+def _example_terms(examples: DataFrame) -> DataFrame:
+    return _example_fields(examples).select("example_id", F.explode(extract_terms(F.col("field_text"))).alias("term"))
+
+
+def score_examples(
+    questions: DataFrame, examples: DataFrame,
+    semantic: DataFrame | None = None, selected: DataFrame | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """Score of every example that has something in common with a question.
+
+    ``questions``: question_id, text. ``examples``: example_id, question_en,
+    question_ar, required_tables. ``semantic``: question_id, example_id,
+    semantic_score. ``selected``: question_id, table_name.
+
+    Shared words are counted over an inverted index (an equi-join on the term), so a
+    pair is formed only where a word is shared; pairs are summed before the shuffle.
+    Where only the best are wanted, ``best_examples`` forms far fewer.
+    """
+    shared = _asked_terms(questions).join(_example_terms(examples), "term").groupBy("question_id", "example_id").agg(
+        (F.count("*") * EXAMPLE_TERM).alias("points")
+    )
+    parts = [_example_signals(questions, examples, semantic, selected, index), shared]
     return _union(parts).groupBy("question_id", "example_id").agg(F.sum("points").alias("score"))
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which null equals null; the keys are the left ones."""
+    right = right.select(*[F.col(c).alias(f"_other_{c}" if c in keys else c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys])
+    return left.join(right, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
+def _pair_sums(parts: Sequence[DataFrame], out: str = "points") -> DataFrame:
+    return _union(parts).groupBy("question_id", "example_id").agg(F.sum("points").alias(out))
+
+
+def ranked_terms(questions: DataFrame, e_terms: DataFrame) -> DataFrame:
+    """A question's words that some example has, rarest first, with what they can be worth.
+
+    ``_upto``: postings of a word and all rarer ones; ``_from``: the most points that it and all
+    more common ones can give one example together.
+    """
+    known = e_terms.groupBy("term").agg(F.count("*").alias("_df"), F.max("_held").alias("_most"))
+    asked = _asked_terms(questions).groupBy("question_id", "term").agg(F.count("*").alias("_asked")).join(known, "term")
+    each = Window.partitionBy("question_id")
+    rising = each.orderBy("_df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    worth = F.col("_asked") * F.col("_most") * EXAMPLE_TERM
+    asked = asked.withColumn("_worth", worth).withColumn("_upto", F.sum("_df").over(rising))
+    asked = asked.withColumn("_from", F.sum("_worth").over(each) - F.sum("_worth").over(rising) + F.col("_worth"))
+    return asked.select("question_id", "term", "_asked", "_df", "_upto", "_from")
+
+
+def example_candidates(
+    asked: DataFrame, e_terms: DataFrame, signals: DataFrame, n: int
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs that can be among the best ``n`` of a question, with their points so far, and the
+    question's words still to be counted for them.
+
+    A few pairs of each question, those of its rarest words and of the other signals, are scored
+    in full; the n-th best of them is a score that the result must reach. The most common words
+    that together give at most a share ``ASIDE`` of it are left aside: pairs that share nothing else are never
+    formed, and of the others those stay that could reach the score with all words left aside.
+    """
+    counted = (F.col("_asked") * F.col("_held") * EXAMPLE_TERM).alias("points")
+    hits = lambda rows: rows.join(e_terms, "term").select("question_id", "example_id", counted)
+    first = asked.filter((F.col("_upto") <= SEED_POSTINGS * n) | (F.col("_upto") == F.col("_df")))
+    order = [F.col("points").desc(), F.col("example_id").asc()]
+    seeds = top_k(_pair_sums([signals, hits(first)]), ["question_id"], order, 2 * n).select("question_id", "example_id")
+    seeds = materialize(seeds, "example-seeds")
+    known = _meet(signals, seeds, ["question_id", "example_id"], "left_semi")
+    scored = _pair_sums([known, remaining_points(seeds, asked, e_terms)])
+    best = top_k(scored, ["question_id"], order, n).groupBy("question_id").agg(
+        F.min("points").alias("_least"), F.count("*").alias("_n")
+    )
+    # Fewer than n examples, or none above zero, set no bar.
+    bar = best.filter((F.col("_n") == n) & (F.col("_least") > 0)).select("question_id", "_least")
+    asked = _meet(asked, bar, ["question_id"], "left")
+    aside = F.coalesce(F.col("_from") <= F.col("_least") * ASIDE, F.lit(False))
+    asked = materialize(asked.withColumn("_aside", aside), "example-words")
+    left = asked.filter("_aside").groupBy("question_id").agg(F.max("_from").alias("_more"))
+    pairs = _pair_sums([signals, hits(asked.filter("NOT _aside"))])
+    pairs = _meet(_meet(pairs, bar, ["question_id"], "left"), left, ["question_id"], "left")
+    reach = F.col("points") + F.coalesce("_more", F.lit(0.0)) >= F.col("_least") - SCORE_SLACK
+    pairs = pairs.filter(F.coalesce(reach, F.lit(True))).select("question_id", "example_id", "points")
+    return materialize(pairs, "example-pairs"), asked.filter("_aside")
+
+
+def remaining_points(pairs: DataFrame, asked: DataFrame, e_terms: DataFrame) -> DataFrame:
+    """(question_id, example_id, points) of the words ``asked`` that the example of a pair has."""
+    words = _meet(pairs.select("question_id", "example_id"), asked.select("question_id", "term", "_asked"), ["question_id"])
+    both = _meet(words, e_terms, ["example_id", "term"])
+    return both.select("question_id", "example_id", (F.col("_asked") * F.col("_held") * EXAMPLE_TERM).alias("points"))
+
+
+def best_examples(
+    questions: DataFrame, examples: DataFrame, n: int = MAX_EXAMPLES,
+    semantic: DataFrame | None = None, selected: DataFrame | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """Best ``n`` examples with a positive score per question, ties by id: the rows that
+    ``retrieve_examples`` takes of ``score_examples``, without scoring what cannot be among them.
+
+    Ids may be null; rows of one question id count as one question, as they do there.
+    """
+    e_terms = materialize(_example_terms(examples).groupBy("example_id", "term").agg(F.count("*").alias("_held")), "example-terms")
+    asked = materialize(ranked_terms(questions, e_terms), "question-terms")
+    signals = materialize(_pair_sums([_example_signals(questions, examples, semantic, selected, index)]), "example-signals")
+    pairs, aside = example_candidates(asked, e_terms, signals, n)
+    return retrieve_examples(_pair_sums([pairs, remaining_points(pairs, aside, e_terms)], "score"), n)
+
+
 def retrieve_examples(scored: DataFrame, n: int = MAX_EXAMPLES) -> DataFrame:
     """Best ``n`` examples with a positive score per question, ties by id."""
     order = [F.col("score").desc(), F.col("example_id").asc()]

@@ -271,7 +271,7 @@ def score_examples(t):
     "ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY score DESC, example_id) AS rank FROM s WHERE score > 0) x WHERE rank <= 2",
 )
 def retrieve_examples(t):
-    return RT.retrieve_examples(score_examples(t))
+    return RT.best_examples(chat_questions(t), passage_examples(t))
 
 
 def word_tables(t) -> DataFrame:

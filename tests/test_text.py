@@ -10,6 +10,7 @@ from tallyhouse.operators import documents as D
 from tallyhouse.operators import retrieval as RT
 from tallyhouse.operators import screening as S
 from tallyhouse.operators.matching import contains_join
+from tallyhouse.session import materialize
 
 
 def col(spark, values, expr):
@@ -153,6 +154,42 @@ def test_example_scores(spark):
     assert {(r["question_id"], r["example_id"]) for r in best} == {(1, "e1"), (2, "e2")}
 
 
+def test_best_examples_are_those_of_all_scores(spark):
+    r = random.Random(3)
+    words = [f"w{min(int(r.expovariate(0.08)), 60):02d}" for _ in range(4000)]
+    some = lambda k: " ".join(r.choice(words) for _ in range(k))
+    qs = [(i, some(r.choice([0, 1, 3, 12, 25]))) for i in range(60)] + [(7, "w01 w50"), (None, some(9)), (None, None), (61, "nothing shared")]
+    es = [(f"e{i:03d}", some(r.choice([1, 6, 20])), some(4) if i % 3 else None, [r.choice(words)]) for i in range(150)]
+    es += [("e900", es[0][1], None, None), ("e901", es[0][1], None, []), (None, some(8), None, []), ("e902", "", None, [])]
+    q = spark.createDataFrame(qs, "question_id int, text string")
+    e = spark.createDataFrame(es, "example_id string, question_en string, question_ar string, required_tables array<string>")
+    semantic = spark.createDataFrame(
+        [(i, f"e{r.randrange(150):03d}", r.uniform(-1, 1)) for i in range(50)], "question_id int, example_id string, semantic_score double"
+    )
+    chosen = spark.createDataFrame([(i, r.choice(words)) for i in range(0, 40, 2)], "question_id int, table_name string")
+    key = lambda rows: sorted((str(x.question_id), str(x.example_id), round(x.score, 9), x.rank) for x in rows)
+    for more, ns in (({}, (1, 500)), ({"semantic": semantic, "selected": chosen}, (2,))):
+        scored = materialize(RT.score_examples(q, e, **more), "scored")
+        for n in ns:
+            want = key(RT.retrieve_examples(scored, n).collect())
+            assert key(RT.best_examples(q, e, n, **more).collect()) == want and len(want) > 40
+    assert RT.best_examples(q, e.limit(0)).count() == 0 and RT.best_examples(q.limit(0), e).count() == 0
+
+
+def test_few_examples_are_scored(spark):
+    # Every question shares its common words with every example, its own ones with two.
+    common = " ".join(f"the{i}" for i in range(6))
+    q = spark.createDataFrame([(i, f"{common} own{i} also{i} more{i} rare{i}") for i in range(40)], "question_id int, text string")
+    e = spark.createDataFrame(
+        [(f"e{i}-{j}", f"{common} own{i} also{i} more{i} rare{i} x{j}") for i in range(40) for j in range(2)], "example_id string, question_en string"
+    ).selectExpr("*", "CAST(NULL AS STRING) AS question_ar", "CAST(NULL AS ARRAY<STRING>) AS required_tables")
+    e_terms = RT._example_terms(e).groupBy("example_id", "term").agg(F.count("*").alias("_held"))
+    none = spark.createDataFrame([], "question_id int, example_id string, points double")
+    pairs, aside = RT.example_candidates(RT.ranked_terms(q, e_terms), e_terms, none, 2)
+    assert pairs.count() == 80 and RT.score_examples(q, e).count() == 3200
+    assert {x.term for x in aside.collect()} <= set(common.split())
+
+
 def test_table_scores(spark):
     q = spark.createDataFrame(
         [(1, "orders between customers"), (2, "reorders"), (3, "order_details, orders!")], "question_id int, text string"
