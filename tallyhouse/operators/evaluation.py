@@ -55,11 +55,20 @@ def text_presence(items: DataFrame) -> DataFrame:
     return items.withColumn("checks", F.filter(checks, lambda c: c.isNotNull()))
 
 
-def _unknown(items: DataFrame, col: str, known: DataFrame, out: str) -> DataFrame:
-    """(id, names): names of an item's list that the schema lacks; items without one are left out."""
-    names = items.select("id", F.explode(F.array_distinct(col)).alias("_name"))
-    lacking = names.join(known.select(F.col("name").alias("_name")).distinct(), "_name", "left_anti")
-    return lacking.groupBy("id").agg(F.sort_array(F.collect_set("_name")).alias(out))
+def _unknown(items: DataFrame, lists: dict[str, str], known: DataFrame) -> DataFrame:
+    """(id, one column of names per list): names in an item's lists that the schema lacks, null where
+    a list has none. All lists are looked up together, so the schema is read once; null names are
+    passed over."""
+    none = F.array().cast("array<string>")
+
+    def named(out: str) -> Column:
+        return F.transform(F.coalesce(F.array_distinct(lists[out]), none), lambda n: F.struct(F.lit(out).alias("_list"), n.alias("name")))
+
+    names = items.select("id", F.explode(F.concat(*[named(out) for out in lists])).alias("n")).select("id", "n.*")
+    lacking = missing_references(names, known, ["name"])
+    found = lambda out: F.collect_set(F.when(F.col("_list") == out, F.col("name")))
+    rows = lacking.groupBy("id").agg(*[F.sort_array(found(out)).alias(out) for out in lists])
+    return rows.select("id", *[F.when(F.size(out) > 0, F.col(out)).alias(out) for out in lists])
 
 
 def sql_checks(items: DataFrame, known: DataFrame) -> DataFrame:
@@ -70,8 +79,7 @@ def sql_checks(items: DataFrame, known: DataFrame) -> DataFrame:
     that the schema lacks fails it; required tables that the SQL does not touch, or does not
     join, are warnings. Items without SQL get the check on required tables only.
     """
-    items = items.join(_unknown(items, "tables", known, "_bad"), "id", "left")
-    items = items.join(_unknown(items, "required_tables", known, "_lost"), "id", "left")
+    items = items.join(_unknown(items, {"_bad": "tables", "_lost": "required_tables"}, known), "id", "left")
     rows = required_overlap(items)
     none = F.array().cast("array<string>")
     has_sql = F.length(F.trim(F.coalesce("sql", F.lit("")))) > 0

@@ -37,6 +37,18 @@ def test_table_checks_reach_the_roll_up(spark):
     assert M.benchmark_summary(got).first().asDict() == {"total": 5, "passed": 3, "failed": 2, "warnings": 2}
 
 
+def test_all_lists_are_looked_up_in_one_pass(spark, capsys):
+    rows = [("a", ["x", "y", None], ["y", "z", "z"]), ("b", None, ["q"]), ("c", ["y"], []), ("d", ["p", "p", "o"], None)]
+    df = spark.createDataFrame(rows, "id string, tables array<string>, required_tables array<string>")
+    known = spark.createDataFrame([("y",), ("y",), (None,)], "name string")
+    got = M._unknown(df, {"_bad": "tables", "_lost": "required_tables"}, known)
+    got.explain()
+    assert capsys.readouterr().out.count("LeftAnti") == 1
+    assert {r["id"]: (r["_bad"], r["_lost"]) for r in got.collect()} == {
+        "a": (["x"], ["z"]), "b": (None, ["q"]), "d": (["o", "p"], None),
+    }
+
+
 def test_summary_and_failures(spark):
     df = checks(spark)
     assert {r["id"]: r["passed"] for r in M.item_passed(df).collect()} == {
