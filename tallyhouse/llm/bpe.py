@@ -205,7 +205,10 @@ class Encoder:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """A worker's tokenizer. Tasks ask for it when their first batch comes: many have none."""
+    made = Encoder(path)
+    give_back()
+    return made
 
 
 def _lists(chunks: list[bytes]) -> pa.Array:
@@ -219,8 +222,8 @@ def _encode_rows(df: DataFrame, text_col: str, out: str, path: str) -> DataFrame
     keep = schema.names[:-1]
 
     def run(batches):
-        enc = encoder(path)
         for batch in batches:
+            enc = encoder(path)
             for a, b, texts in text_slices(batch.column(batch.schema.get_field_index(text_col)), BATCH_CHARS):
                 yield append_array(batch.slice(a, b - a), keep, out, _lists(enc.encode(texts)))
         give_back()
@@ -232,16 +235,16 @@ def _encode_long(texts: DataFrame, path: str, piece_chars: int) -> DataFrame:
     """(key, ids) of long texts: normal form, pieces, parallel encoding, mended joins."""
 
     def normalise(batches):
-        enc = encoder(path)
         for batch in batches:
+            enc = encoder(path)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([enc.normal(t) for t in batch.column(1).to_pylist()], pa.string())],
                 names=["key", "text"],
             )
 
     def pieces(batches):
-        enc = encoder(path)
         for batch in batches:
+            enc = encoder(path)
             texts = batch.column(2).to_pylist()
             for i, text in enumerate(texts):
                 spans = enc.spans(text)
@@ -344,13 +347,17 @@ def encode(
     df = df.drop(out_col) if out_col in df.columns else df
     long = _in_pieces(text_col, piece_chars)
     short_rows = _encode_rows(df.filter(~long), text_col, out_col, path)
+    return short_rows.unionByName(_long_rows(df.filter(long), text_col, out_col, path, piece_chars))
+
+
+def _long_rows(df: DataFrame, text_col: str, out_col: str, path: str, piece_chars: int) -> DataFrame:
+    """``df`` with the ids of texts that are all encoded in pieces."""
     key = free_name(df.columns, "text_key")
-    rest = df.filter(long).withColumn(key, F.sha2(text_col, 256))
+    rest = df.withColumn(key, F.sha2(text_col, 256))
     texts = rest.select(F.col(key).alias("key"), F.col(text_col).alias("text")).dropDuplicates(["key"])
     ids = _encode_long(texts, path, piece_chars).select(F.col("key").alias(key), F.col("ids").alias(out_col))
-    long_rows = rest.join(ids, key, "left").drop(key)
     empty = F.coalesce(out_col, F.array().cast("array<int>")).alias(out_col)
-    return short_rows.unionByName(long_rows.select(*df.columns, empty))
+    return rest.join(ids, key, "left").select(*df.columns, empty)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -360,8 +367,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     keep = schema.names[:-1]
 
     def run(batches):
-        enc = encoder(path)
         for batch in batches:
+            enc = encoder(path)
             column = batch.column(batch.schema.get_field_index(ids_col))
             sizes = [n or 0 for n in pa.compute.list_value_length(column).to_pylist()]
             for a, b in row_slices(sizes, BATCH_CHARS // 4):
@@ -394,19 +401,19 @@ def digests(
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     def of_texts(batches):
-        enc = encoder(path)
         for batch in batches:
+            enc = encoder(path)
             for a, b, texts in text_slices(batch.column(1), BATCH_CHARS):
                 yield hashed(enc, batch.slice(a, b - a), (np.frombuffer(c, np.int32) for c in enc.encode(texts)))
         give_back()
 
     def of_ids(batches):
-        enc = encoder(path)
         for batch in batches:
+            enc = encoder(path)
             for i in range(batch.num_rows):
                 yield hashed(enc, batch.slice(i, 1), [batch.column(1)[i].values.to_numpy(zero_copy_only=False)])
         give_back()
 
-    whole = encode(rows.filter(long), path, piece_chars=piece_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    whole = _long_rows(rows.filter(long), "text", "ids", path, piece_chars).select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
     short = rows.filter(~long).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return short.mapInArrow(of_texts, schema).unionByName(whole.mapInArrow(of_ids, schema))

@@ -36,6 +36,12 @@ def none(spark):
 # ---------------------------------------------------------------------------- 1, BPE
 
 
+def test_bpe_digests_keep_one_worker_per_task(odd):
+    # Two steps in a row in one task would be two workers, each with a tokenizer of its own.
+    plan = bpe.digests(odd, bpe.public_path("word_bpe_49k.json"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 4  # whole texts; normal forms, pieces and digests of long ones
+
+
 def test_bpe_is_the_librarys(spark, odd, none):
     from tokenizers import Tokenizer
 
