@@ -5,9 +5,9 @@ characters. A run that lies inside a needle, with runs on both sides, is a whole
 text that holds the needle; so are two neighbouring inner words with what stands between them.
 A needle is looked for where its rarest pair of inner words stands, one with a single inner
 word where that word stands; document frequency decides which is rarest, and a needle with a
-pair or word that no text has is out at once. Of a needle without inner words the longest edge
-run is met with the distinct vocabulary of the texts, which grows far slower than they do, by
-an equi-join on its first characters.
+pair or word that no text has is out at once. A needle without inner words visits the texts
+where they lie, in blocks of bounded size, and is looked for where the first characters of its
+longest edge run stand; most texts hold many of those, so none of these pairs is shuffled.
 
 The texts are cut into runs once, into a written index that several joins can share
 (``index_texts``). Only postings that some needle asks for leave it, dealt by anchor and salt,
@@ -18,16 +18,21 @@ and needle is formed unless they share an anchor.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import WORD_CHAR
 from tallyhouse.session import materialize
 
-# Characters of an edge run by which it meets the vocabulary.
+# Characters of an edge run by which it meets the texts.
 ANCHOR = 8
-# Tasks that the postings of one anchor are dealt to, and texts from which those of an edge run are.
-SALTS, MANY_TEXTS = 16, 10_000
+# Tasks that the postings of one anchor are dealt to.
+SALTS = 16
+# Rows, and characters in them, of the side of a join that visits the other at once.
+BLOCK_ROWS, BLOCK_CHARS = 250_000, 16_000_000
 NOT_WORD = "[^" + WORD_CHAR[1:]
 RUNS = f"({WORD_CHAR}+|{NOT_WORD}+)"
 
@@ -79,28 +84,42 @@ def _dealt(postings: DataFrame, anchors: DataFrame) -> DataFrame:
     return postings.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)).cast("int")).join(salted, ["_gram", "_salt"]).drop("_salt")
 
 
-def _edge_grams(loose: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(needle, gram, texts): every run of the texts that holds the longest edge run of a needle
-    without inner words, and how many texts have it."""
+def visited(rows: DataFrame, small: DataFrame, on: str | Column) -> DataFrame:
+    """``rows`` joined with a table that visits them where they lie, block after block of bounded
+    size: ``rows`` are not shuffled and stay dealt as they are."""
+    small = materialize(small, "visitors")
+    chars = F.sum(F.length(F.concat_ws("", *[c for c, kind in small.dtypes if kind == "string"])))
+    n, size = small.agg(F.count("*"), chars).first()
+    blocks = max(1, math.ceil(n / BLOCK_ROWS), math.ceil((size or 0) / BLOCK_CHARS))
+    if blocks == 1:
+        return rows.join(F.broadcast(small), on)
+    no = F.pmod(F.xxhash64(*small.columns), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(small.filter(no == i)), on) for i in range(blocks)])
+
+
+def _loose_hits(bodies: DataFrame, body: Column, loose: DataFrame) -> DataFrame:
+    """(_id, _needle) of needles without inner words. A needle has one start and a text every
+    start once, so that no pair comes twice."""
     ends = F.array(F.try_element_at("_runs", F.lit(1)), F.try_element_at("_runs", F.lit(-1)))
     sized = F.transform(ends, lambda r: F.struct(is_word(r).alias("w"), F.length(r).alias("n"), r.alias("run")))
-    edges = loose.select("_needle", F.array_max(sized)["run"].alias("_edge"))
-    edges = edges.withColumn("_start", F.substring("_edge", 1, ANCHOR))
+    started = loose.select("_needle", F.substring(F.array_max(sized)["run"], 1, ANCHOR).alias("_start"))
     # At most ANCHOR lengths; only stretches of a length that some needle asks for are made.
-    lengths = sorted(r[0] for r in edges.select(F.length("_start")).distinct().collect())
-    starts = F.array_distinct(F.concat(*[character_runs(F.col("_run"), n) for n in lengths]))
-    known = vocabulary.select("_run", "_texts", F.explode(starts).alias("_start"))
-    return known.join(edges, "_start").filter(F.contains("_run", "_edge")).select("_needle", F.xxhash64("_run").alias("_gram"), "_texts").distinct()
+    lengths = sorted(r[0] for r in started.select(F.length("_start")).distinct().collect())
+    starts = F.array_distinct(F.concat(*[character_runs(body, n) for n in lengths]))
+    met = visited(bodies.select("_id", "_text", F.explode(starts).alias("_start")), started, "_start")
+    return met.filter(F.contains("_text", "_needle")).select("_id", "_needle")
 
 
 def contains_join(
-    texts: DataFrame | None, id_col: str, text_col: str, needles: DataFrame, needle_col: str, index: DataFrame | None = None
+    texts: DataFrame | None, id_col: str, text_col: str, needles: DataFrame, needle_col: str,
+    index: DataFrame | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Pairs of a text's id and a needle's row where the needle occurs in the text.
 
     One row per row of ``texts`` and row of ``needles`` that match; ids may be null or repeated.
     Null and empty needles, and null texts, match nothing. ``index`` is the written index of
-    the texts, where there is one already.
+    the texts, where there is one already. With ``tasks`` the texts are dealt to so many tasks by
+    their id, and the pairs stay there: sums over pairs of one text need no shuffle.
     """
     index = index_texts(texts, id_col, text_col) if index is None else index
     usable = needles.filter(F.length(needle_col) > 0)
@@ -120,29 +139,26 @@ def contains_join(
         for side, flag, some in ((pairs, True, paired), (single, False, worded))
         if some
     ]
-    candidates = []
+    bodies = index.select("_key", "_id", "_text")
+    dealt = lambda rows: rows if tasks is None else rows.repartition(tasks, "_id")
+    hits = []
     if asked:
         posted = materialize((asked[0].unionByName(asked[1]) if len(asked) == 2 else asked[0]).distinct(), "postings")
         counts = posted.groupBy("_gram").agg(F.count("*").alias("_texts"))
         rarest = wanted.join(counts, "_gram", "left").groupBy("_needle").agg(
             F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")
         )
-        candidates.append(_dealt(posted, rarest.filter(F.col("_least") > 0).select("_needle", "_gram")).select("_key", "_needle"))
+        candidates = _dealt(posted, rarest.filter(F.col("_least") > 0).select("_needle", "_gram")).select("_key", "_needle")
+        # Written, so that their size is known: few of them visit the texts where these lie.
+        both = bodies.join(materialize(candidates, "candidates"), "_key")
+        found = both.filter(F.contains("_text", "_needle")).select("_id", "_needle")
+        hits.append(dealt(found).join(usable.withColumn("_needle", F.col(needle_col)), "_needle"))
     if every > paired + worded:
-        # Few bytes but much work a row: dealt out again, or Spark would put it into one task.
-        spread = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        vocabulary = index.select(F.explode("_runs").alias("_run")).groupBy("_run").agg(F.count("*").alias("_texts"))
-        edges = _edge_grams(parts.filter(~by_pair & ~by_word), vocabulary.repartition(spread, "_run"))
-        edges = materialize(edges, "edge-runs")
-        hot = F.col("_texts") > MANY_TEXTS
-        met = single.join(edges.filter(~hot).select("_needle", "_gram"), "_gram")
-        if not edges.filter(hot).isEmpty():
-            met = met.unionByName(_dealt(single, edges.filter(hot).select("_needle", "_gram")))
-        candidates.append(met.select("_key", "_needle").distinct())
-    bodies = index.select("_key", "_id", "_text")
-    if not candidates:
+        loose = parts.filter(~by_pair & ~by_word).select("_needle", "_runs")
+        # Long texts repeat their runs; dealt ones are read once more, as only the text is moved.
+        lie = (index, F.array_join("_runs", "")) if tasks is None else (dealt(index.select("_id", "_text")), F.col("_text"))
+        wide = usable.withColumn("_needle", F.col(needle_col)).join(loose.select("_needle"), "_needle")
+        hits.append(visited(_loose_hits(*lie, loose), wide, "_needle"))
+    if not hits:
         return bodies.limit(0).select(F.col("_id").alias(id_col)).join(usable, F.lit(False))
-    # Written, so that their size is known: few of them visit the texts where these lie.
-    both = materialize(candidates[0].unionByName(candidates[1]) if len(candidates) == 2 else candidates[0], "candidates")
-    hits = bodies.join(both, "_key").filter(F.contains("_text", "_needle")).select(F.col("_id").alias(id_col), "_needle")
-    return hits.join(usable.withColumn("_needle", F.col(needle_col)), "_needle").drop("_needle")
+    return reduce(DataFrame.unionByName, hits).withColumnRenamed("_id", id_col).drop("_needle")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.text import extract_terms, normalise_text, strip, token_estimate
 from tallyhouse.operators.limits import top_k
-from tallyhouse.operators.matching import contains_join, index_texts
+from tallyhouse.operators.matching import contains_join, index_texts, visited
 from tallyhouse.session import materialize
 
 # Priority of each kind of glossary hit; a phrase adds its length.
@@ -42,6 +43,10 @@ SEED_POSTINGS, SCORE_SLACK = 16, 1e-6
 # Share of the score to reach that the words left aside may give together; below 1, so that a pair
 # that shares nothing else cannot reach it.
 ASIDE = 0.3
+# Stands before a table name among words; no word holds it.
+NAME_MARK = "\x01"
+# Pairs of question and example that one task adds up.
+TASK_PAIRS = 2_000_000
 # Default breadth.
 MAX_GLOSSARY, MAX_EXAMPLES, MAX_TABLES, MAX_TOKENS = 6, 2, 5, 2_500
 
@@ -67,6 +72,20 @@ def _indexed(questions: DataFrame, index: DataFrame | None) -> tuple[DataFrame,
     return index, index.select(F.col("_id").alias("question_id"), F.col("_text").alias("_norm"))
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pair_tasks(index: DataFrame, examples: DataFrame) -> int:
+    """Tasks to which questions are dealt so that each can add up all pairs of its own."""
+    return max(_tasks(index), math.ceil(index.count() * examples.count() / TASK_PAIRS))
+
+
+def _deal(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows dealt by question; joins with visitors and sums by question and more stay in place."""
+    return rows.repartition(tasks, "question_id")
+
+
 # -------------------------------------------------------------------- glossary
 
 
@@ -136,10 +155,9 @@ def _example_fields(examples: DataFrame) -> DataFrame:
 
 
 def _example_signals(
-    questions: DataFrame, examples: DataFrame, semantic: DataFrame | None, selected: DataFrame | None, index: DataFrame | None
+    examples: DataFrame, semantic: DataFrame | None, selected: DataFrame | None, index: DataFrame, norm: DataFrame
 ) -> DataFrame:
-    """(question_id, example_id, points) of every signal but shared words; a pair may stand several times."""
-    index, norm = _indexed(questions, index)
+    """(question_id, example_id, points) of every signal but shared words and names; a pair may stand several times."""
     fields = _example_fields(examples)
     needle = fields.withColumn("_needle_text", F.lower("field_text"))
 
@@ -164,24 +182,29 @@ def _example_signals(
         parts.append(semantic.select(
             "question_id", "example_id", (F.col("semantic_score") * EXAMPLE_SEMANTIC).alias("points")
         ))
-    required = examples.select("example_id", F.explode("required_tables").alias("table_name"))
-    unselected = norm
     if selected is not None:
-        per_table = required.distinct().join(selected.distinct(), "table_name")
+        per_table = _required(examples).distinct().join(selected.distinct(), "table_name")
         parts.append(per_table.groupBy("question_id", "example_id").agg(
             (F.count("*") * EXAMPLE_SELECTED).alias("points")
         ))
-        unselected = norm.join(selected.select("question_id").distinct(), "question_id", "left_anti")
-    named = required.withColumn("_table_needle", F.lower("table_name"))
-    named = contains_join(norm, "question_id", "_norm", named, "_table_needle", index)
-    if selected is not None:
-        named = named.join(unselected.select("question_id"), "question_id", "left_semi")
-    parts.append(named.groupBy("question_id", "example_id").agg(
-        (F.count("*") * EXAMPLE_NAMED).alias("points")
-    ))
     return _union(parts)
 
 
+def _required(examples: DataFrame) -> DataFrame:
+    return examples.select("example_id", F.explode("required_tables").alias("table_name"))
+
+
+def _named_tables(
+    names: DataFrame, norm: DataFrame, selected: DataFrame | None, index: DataFrame, tasks: int
+) -> DataFrame:
+    """Questions without selected tables with the rows of ``names`` whose _table_needle they hold, dealt by question."""
+    named = contains_join(norm, "question_id", "_norm", names, "_table_needle", index, tasks)
+    if selected is None:
+        return named
+    unselected = _deal(norm.select("question_id").join(selected.select("question_id").distinct(), "question_id", "left_anti"), tasks)
+    return named.join(unselected, "question_id", "left_semi")
+
+
 def _asked_terms(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", F.explode(extract_terms(F.col("text"))).alias("term"))
 
@@ -193,6 +216,7 @@ def _example_terms(examples: DataFrame) -> DataFrame:
 def score_examples(
     questions: DataFrame, examples: DataFrame,
     semantic: DataFrame | None = None, selected: DataFrame | None = None, index: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Score of every example that has something in common with a question.
 
@@ -200,15 +224,21 @@ def score_examples(
     question_ar, required_tables. ``semantic``: question_id, example_id,
     semantic_score. ``selected``: question_id, table_name.
 
-    Shared words are counted over an inverted index (an equi-join on the term), so a
-    pair is formed only where a word is shared; pairs are summed before the shuffle.
-    Where only the best are wanted, ``best_examples`` forms far fewer.
+    Nearly all pairs share a word, so pairs are never shuffled: the questions are dealt to
+    ``tasks`` tasks, the examples' words and table names visit them, and a task adds up the
+    pairs of its questions. Where only the best are wanted, ``best_examples`` forms far fewer.
     """
-    shared = _asked_terms(questions).join(_example_terms(examples), "term").groupBy("question_id", "example_id").agg(
-        (F.count("*") * EXAMPLE_TERM).alias("points")
-    )
-    parts = [_example_signals(questions, examples, semantic, selected, index), shared]
-    return _union(parts).groupBy("question_id", "example_id").agg(F.sum("points").alias("score"))
+    index, norm = _indexed(questions, index)
+    tasks = pair_tasks(index, examples) if tasks is None else tasks
+    held = _example_terms(examples).groupBy("example_id", "term").agg((F.count("*") * EXAMPLE_TERM).alias("points"))
+    names = _required(examples).select("example_id", F.lower("table_name").alias("_table_needle"))
+    named = _named_tables(names, norm, selected, index, tasks)
+    parts = [
+        _deal(_example_signals(examples, semantic, selected, index, norm), tasks),
+        visited(_asked_terms(_deal(questions.select("question_id", "text"), tasks)), held, "term").select("question_id", "example_id", "points"),
+        named.select("question_id", "example_id", F.lit(EXAMPLE_NAMED).alias("points")),
+    ]
+    return _pair_sums(parts, "score")
 
 
 def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -222,14 +252,20 @@ def _pair_sums(parts: Sequence[DataFrame], out: str = "points") -> DataFrame:
     return _union(parts).groupBy("question_id", "example_id").agg(F.sum("points").alias(out))
 
 
-def ranked_terms(questions: DataFrame, e_terms: DataFrame) -> DataFrame:
+def ranked_terms(
+    questions: DataFrame, e_terms: DataFrame, named: DataFrame | None = None, tasks: int | None = None
+) -> DataFrame:
     """A question's words that some example has, rarest first, with what they can be worth.
 
     ``_upto``: postings of a word and all rarer ones; ``_from``: the most points that it and all
-    more common ones can give one example together.
+    more common ones can give one example together. ``named``: (question_id, term) of table names
+    that the questions hold, which count as words, dealt to ``tasks`` tasks as the questions are.
     """
+    tasks = _tasks(questions) if tasks is None else tasks
     known = e_terms.groupBy("term").agg(F.count("*").alias("_df"), F.max("_held").alias("_most"))
-    asked = _asked_terms(questions).groupBy("question_id", "term").agg(F.count("*").alias("_asked")).join(known, "term")
+    asked = _asked_terms(_deal(questions.select("question_id", "text"), tasks))
+    asked = asked if named is None else asked.unionByName(named)
+    asked = visited(asked.groupBy("question_id", "term").agg(F.count("*").alias("_asked")), known, "term")
     each = Window.partitionBy("question_id")
     rising = each.orderBy("_df", "term").rowsBetween(Window.unboundedPreceding, 0)
     worth = F.col("_asked") * F.col("_most") * EXAMPLE_TERM
@@ -239,7 +275,7 @@ def ranked_terms(questions: DataFrame, e_terms: DataFrame) -> DataFrame:
 
 
 def example_candidates(
-    asked: DataFrame, e_terms: DataFrame, signals: DataFrame, n: int
+    asked: DataFrame, e_terms: DataFrame, signals: DataFrame, n: int, tasks: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs that can be among the best ``n`` of a question, with their points so far, and the
     question's words still to be counted for them.
@@ -248,35 +284,49 @@ def example_candidates(
     in full; the n-th best of them is a score that the result must reach. The most common words
     that together give at most a share ``ASIDE`` of it are left aside: pairs that share nothing else are never
     formed, and of the others those stay that could reach the score with all words left aside.
+    Nothing is left aside for a question without an id. The pairs of a question are formed and
+    added up in one of ``tasks`` tasks and are not written: they follow from the words once more
+    wherever they are read.
     """
+    tasks = _tasks(asked) if tasks is None else tasks
+    signals = _deal(signals, tasks)
     counted = (F.col("_asked") * F.col("_held") * EXAMPLE_TERM).alias("points")
-    hits = lambda rows: rows.join(e_terms, "term").select("question_id", "example_id", counted)
+    hits = lambda rows: visited(_deal(rows.select("question_id", "term", "_asked"), tasks), e_terms, "term").select(
+        "question_id", "example_id", counted
+    )
     first = asked.filter((F.col("_upto") <= SEED_POSTINGS * n) | (F.col("_upto") == F.col("_df")))
     order = [F.col("points").desc(), F.col("example_id").asc()]
     seeds = top_k(_pair_sums([signals, hits(first)]), ["question_id"], order, 2 * n).select("question_id", "example_id")
     seeds = materialize(seeds, "example-seeds")
     known = _meet(signals, seeds, ["question_id", "example_id"], "left_semi")
-    scored = _pair_sums([known, remaining_points(seeds, asked, e_terms)])
+    scored = _pair_sums([known, remaining_points(seeds, asked, e_terms, tasks)])
     best = top_k(scored, ["question_id"], order, n).groupBy("question_id").agg(
         F.min("points").alias("_least"), F.count("*").alias("_n")
     )
     # Fewer than n examples, or none above zero, set no bar.
     bar = best.filter((F.col("_n") == n) & (F.col("_least") > 0)).select("question_id", "_least")
     asked = _meet(asked, bar, ["question_id"], "left")
-    aside = F.coalesce(F.col("_from") <= F.col("_least") * ASIDE, F.lit(False))
+    aside = F.coalesce((F.col("_from") <= F.col("_least") * ASIDE) & F.col("question_id").isNotNull(), F.lit(False))
     asked = materialize(asked.withColumn("_aside", aside), "example-words")
-    left = asked.filter("_aside").groupBy("question_id").agg(F.max("_from").alias("_more"))
-    pairs = _pair_sums([signals, hits(asked.filter("NOT _aside"))])
-    pairs = _meet(_meet(pairs, bar, ["question_id"], "left"), left, ["question_id"], "left")
-    reach = F.col("points") + F.coalesce("_more", F.lit(0.0)) >= F.col("_least") - SCORE_SLACK
+    limits = asked.filter("_aside").groupBy("question_id").agg(F.max("_from").alias("_more"), F.max("_least").alias("_least"))
+    pairs = _pair_sums([signals, hits(asked.filter("NOT _aside"))]).join(_deal(limits, tasks), "question_id", "left")
+    reach = F.col("points") + F.col("_more") >= F.col("_least") - SCORE_SLACK
     pairs = pairs.filter(F.coalesce(reach, F.lit(True))).select("question_id", "example_id", "points")
-    return materialize(pairs, "example-pairs"), asked.filter("_aside")
+    return pairs, asked.filter("_aside")
+
 
+def remaining_points(pairs: DataFrame, asked: DataFrame, e_terms: DataFrame, tasks: int) -> DataFrame:
+    """(question_id, example_id, points) of the words ``asked`` that the example of a pair has.
 
-def remaining_points(pairs: DataFrame, asked: DataFrame, e_terms: DataFrame) -> DataFrame:
-    """(question_id, example_id, points) of the words ``asked`` that the example of a pair has."""
-    words = _meet(pairs.select("question_id", "example_id"), asked.select("question_id", "term", "_asked"), ["question_id"])
-    both = _meet(words, e_terms, ["example_id", "term"])
+    Pairs without a question id get none. Pairs dealt by question stay where they are.
+    """
+    asked = _deal(asked.select("question_id", "term", "_asked"), tasks)
+    listed = asked.groupBy("question_id").agg(F.collect_list(F.struct("term", "_asked")).alias("_words"))
+    # A left join keeps the pairs' own dealing, and only that.
+    words = pairs.select("question_id", "example_id").join(listed, "question_id", "left")
+    words = words.select("question_id", "example_id", F.inline("_words"))
+    held = e_terms.select(F.col("example_id").alias("_example"), F.col("term").alias("_term"), "_held")
+    both = visited(words, held, F.col("example_id").eqNullSafe(F.col("_example")) & (F.col("term") == F.col("_term")))
     return both.select("question_id", "example_id", (F.col("_asked") * F.col("_held") * EXAMPLE_TERM).alias("points"))
 
 
@@ -289,11 +339,19 @@ def best_examples(
 
     Ids may be null; rows of one question id count as one question, as they do there.
     """
-    e_terms = materialize(_example_terms(examples).groupBy("example_id", "term").agg(F.count("*").alias("_held")), "example-terms")
-    asked = materialize(ranked_terms(questions, e_terms), "question-terms")
-    signals = materialize(_pair_sums([_example_signals(questions, examples, semantic, selected, index)]), "example-signals")
-    pairs, aside = example_candidates(asked, e_terms, signals, n)
-    return retrieve_examples(_pair_sums([pairs, remaining_points(pairs, aside, e_terms)], "score"), n)
+    index, norm = _indexed(questions, index)
+    tasks = pair_tasks(index, examples)
+    # A table name counts as a word that is worth as much; no word begins with NAME_MARK.
+    name = F.concat(F.lit(NAME_MARK), F.lower("table_name"))
+    worth = F.count("*") * F.when(F.col("term").startswith(NAME_MARK), EXAMPLE_NAMED / EXAMPLE_TERM).otherwise(1.0)
+    terms = _example_terms(examples).unionByName(_required(examples).select("example_id", name.alias("term")))
+    e_terms = materialize(terms.groupBy("example_id", "term").agg(worth.alias("_held")), "example-terms")
+    names = _required(examples).select(F.lower("table_name").alias("_table_needle"), name.alias("term")).distinct()
+    named = _named_tables(names, norm, selected, index, tasks).select("question_id", "term")
+    asked = materialize(ranked_terms(questions, e_terms, named, tasks), "question-terms")
+    signals = materialize(_pair_sums([_example_signals(examples, semantic, selected, index, norm)]), "example-signals")
+    pairs, aside = example_candidates(asked, e_terms, signals, n, tasks)
+    return retrieve_examples(_pair_sums([pairs, remaining_points(pairs, aside, e_terms, tasks)], "score"), n)
 
 
 def retrieve_examples(scored: DataFrame, n: int = MAX_EXAMPLES) -> DataFrame:
@@ -305,18 +363,20 @@ def retrieve_examples(scored: DataFrame, n: int = MAX_EXAMPLES) -> DataFrame:
 # ---------------------------------------------------------------------- tables
 
 
-def table_name_hits(norm: DataFrame, tables: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def table_name_hits(norm: DataFrame, tables: DataFrame, index: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """Questions that name a table as a token of its own.
 
     A name of letters and digits is a token, so it meets the tokens of the questions by
     an equi-join; any other name is looked for in the text and its neighbours checked.
+    With ``tasks`` the rows are dealt to so many tasks by question.
     """
+    norm = norm if tasks is None else _deal(norm, tasks)
     named = tables.withColumn("_name", F.lower("table_name"))
     plain = F.col("_name").rlike(r"^[\p{L}\p{N}]+$")
     tokens = F.array_distinct(F.regexp_extract_all("_norm", F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
     words = norm.select("question_id", F.explode(tokens).alias("_name"))
-    by_word = words.join(named.filter(plain), "_name").select("question_id", "table_name")
-    hits = contains_join(norm, "question_id", "_norm", named.filter(~plain), "_name", index)
+    by_word = visited(words, named.filter(plain), "_name").select("question_id", "table_name")
+    hits = contains_join(norm, "question_id", "_norm", named.filter(~plain), "_name", index, tasks)
     texts = hits.select("question_id", "table_name", "_name").join(norm, "question_id")
     alone = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("_name"), F.lit(r"\E(?![\p{L}\p{N}])"))
     by_text = texts.filter(F.regexp_like("_norm", alone)).select("question_id", "table_name")
@@ -328,46 +388,52 @@ def score_tables(
     glossary_hits: DataFrame | None = None, glossary_tables: DataFrame | None = None,
     example_scores: DataFrame | None = None, example_tables: DataFrame | None = None,
     search_hits: DataFrame | None = None, relationships: DataFrame | None = None,
-    max_tables: int = MAX_TABLES, index: DataFrame | None = None,
+    max_tables: int = MAX_TABLES, index: DataFrame | None = None, tasks: int | None = None,
 ) -> DataFrame:
     """Best tables per question from the points of every signal, ties by name.
 
     ``tables``: table_name, labels (array). ``glossary_tables``: canonical, table_name.
     ``example_tables``: example_id, table_name. ``search_hits``: question_id,
     table_name. ``relationships``: from_table, to_table, used only for questions that
-    hint at a join, and only from tables that already score.
+    hint at a join, and only from tables that already score. ``tasks`` are those to which
+    ``example_scores`` is dealt by question, so that nothing of it is shuffled.
     """
     index, norm = _indexed(questions, index)
+    tasks = pair_tasks(index, tables) if tasks is None else tasks
 
     def signal(df: DataFrame, points: float) -> DataFrame:
         return df.select("question_id", "table_name", F.lit(points).alias("points"))
 
-    signals = [signal(table_name_hits(norm, tables.select("table_name"), index), TABLE_NAME)]
+    signals = [signal(table_name_hits(norm, tables.select("table_name"), index, tasks), TABLE_NAME)]
     labels = tables.select("table_name", F.explode("labels").alias("label"))
     labels = labels.withColumn("_label_needle", F.lower("label"))
-    label_hits = contains_join(norm, "question_id", "_norm", labels, "_label_needle", index)
+    label_hits = contains_join(norm, "question_id", "_norm", labels, "_label_needle", index, tasks)
     signals.append(signal(label_hits, TABLE_LABEL))
     if glossary_hits is not None and glossary_tables is not None:
-        signals.append(signal(glossary_hits.join(glossary_tables, "canonical"), TABLE_GLOSSARY))
+        signals.append(signal(_deal(glossary_hits.join(glossary_tables, "canonical"), tasks), TABLE_GLOSSARY))
     if example_scores is not None and example_tables is not None:
         good = example_scores.filter(F.col("score") >= EXAMPLE_COUNTS_FROM)
-        signals.append(signal(good.join(example_tables, "example_id"), TABLE_EXAMPLE))
+        signals.append(signal(visited(good, example_tables, "example_id"), TABLE_EXAMPLE))
     if search_hits is not None:
-        signals.append(signal(search_hits, TABLE_SEARCH))
+        signals.append(signal(_deal(search_hits, tasks), TABLE_SEARCH))
     known = tables.select("table_name").distinct()
     scored = _union(signals).groupBy("question_id", "table_name").agg(F.sum("points").alias("points"))
-    scored = scored.join(known, "table_name", "left_semi")
-    if relationships is not None:
-        hinting = norm.filter(F.col("_norm").rlike("|".join(JOIN_HINTS))).select("question_id")
-        seeds = scored.join(hinting, "question_id", "left_semi").select("question_id", "table_name")
-        both = relationships.select("from_table", F.col("to_table").alias("_next")).unionByName(
-            relationships.select(F.col("to_table").alias("from_table"), F.col("from_table").alias("_next"))
-        )
-        near = seeds.join(both, seeds["table_name"] == both["from_table"]).select(
-            "question_id", F.col("_next").alias("table_name")
+    if relationships is None:
+        scored = visited(scored, known, "table_name")
+    else:
+        # A known table with what it gives to each of its known neighbours.
+        both = relationships.select(F.col("from_table").alias("table_name"), F.col("to_table").alias("_next")).unionByName(
+            relationships.select(F.col("to_table").alias("table_name"), F.col("from_table").alias("_next"))
         )
-        near = signal(near.join(known, "table_name", "left_semi"), TABLE_NEIGHBOUR)
-        scored = scored.select("question_id", "table_name", "points").unionByName(near)
+        both = both.join(known.select(F.col("table_name").alias("_next")), "_next", "left_semi")
+        both = both.groupBy("table_name", "_next").agg((F.count("*") * TABLE_NEIGHBOUR).alias("points"))
+        near = both.groupBy("table_name").agg(F.collect_list(F.struct(F.col("_next").alias("table_name"), "points")).alias("_near"))
+        scored = visited(scored, known.join(near, "table_name", "left"), "table_name")
+        hinting = norm.filter(F.col("_norm").rlike("|".join(JOIN_HINTS))).select("question_id").distinct()
+        scored = scored.join(_deal(hinting, tasks).withColumn("_hint", F.lit(True)), "question_id", "left")
+        own = F.array(F.struct("table_name", "points"))
+        given = F.when(F.col("_hint") & F.col("_near").isNotNull(), F.concat(own, "_near")).otherwise(own)
+        scored = scored.select("question_id", F.explode(given).alias("t")).select("question_id", "t.*")
         scored = scored.groupBy("question_id", "table_name").agg(F.sum("points").alias("points"))
     ranked = scored.select("question_id", "table_name", F.col("points").alias("score"))
     order = [F.col("score").desc(), F.col("table_name").asc()]

@@ -316,9 +316,10 @@ def score_tables(t):
         F.lower(F.element_at("required_tables", 1)).alias("from_table"),
         F.lower(F.element_at("required_tables", 2)).alias("to_table"),
     )
+    tasks = RT.pair_tasks(index, examples)
     return RT.score_tables(
-        chat_questions(t), tables, example_scores=RT.score_examples(chat_questions(t), examples, index=index),
-        example_tables=example_tables, relationships=links, index=index,
+        chat_questions(t), tables, example_scores=RT.score_examples(chat_questions(t), examples, index=index, tasks=tasks),
+        example_tables=example_tables, relationships=links, index=index, tasks=tasks,
     )
 
 

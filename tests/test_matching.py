@@ -58,3 +58,15 @@ def test_a_word_of_every_text_is_dealt_by_salt(spark):
     assert dealt.count() == 400
     salts = index.selectExpr(f"pmod(xxhash64(_key), {M.SALTS}) AS s").groupBy("s").count().collect()
     assert len(salts) == M.SALTS and max(r["count"] for r in salts) < 60
+
+
+def test_needles_visit_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_ROWS", 3)
+    texts = [(1, "another the, other"), (2, "the"), (2, "the"), (None, "a b-c"), (4, ""), (5, "x" * 50)]
+    needles = [(1, "the"), (2, "the"), (3, "other"), (4, "r t"), (5, ", "), (6, "b-c"), (7, "x" * 20), (None, "e"), (9, "the, ot"), (10, "")]
+    t = spark.createDataFrame(texts, "id long, body string")
+    n = spark.createDataFrame(needles, "no long, needle string")
+    want = sorted(((i, k) for i, x in texts for k, w in needles if w and w in x), key=str)
+    for tasks in (None, 4):
+        got = M.contains_join(t, "id", "body", n, "needle", tasks=tasks)
+        assert sorted(((r.id, r.no) for r in got.select("id", "no").collect()), key=str) == want

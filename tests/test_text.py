@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,29 @@ def test_few_examples_are_scored(spark):
     assert {x.term for x in aside.collect()} <= set(common.split())
 
 
+def test_pairs_of_question_and_example_are_not_shuffled(spark):
+    q = spark.createDataFrame([(i, f"the join of w{i} and the list") for i in range(20)], "question_id int, text string")
+    e = spark.createDataFrame([(f"e{i}", f"the w{i} and of", None, ["the", f"w{i}"]) for i in range(20)],
+                              "example_id string, question_en string, question_ar string, required_tables array<string>")
+    tables = spark.createDataFrame([("the", ["the "]), ("w1", ["w1 "]), ("list", [])], "table_name string, labels array<string>")
+    links = spark.createDataFrame([("the", "w1"), ("the", "w1"), ("list", "gone")], "from_table string, to_table string")
+    per = e.select("example_id", F.explode("required_tables").alias("table_name"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = RT.score_examples(q, e, tasks=5)
+        ranked = RT.score_tables(q, tables, example_scores=scored, example_tables=per, relationships=links, tasks=5)
+        for df in (scored, RT.best_examples(q, e, 2), ranked):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            shuffled = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+            assert shuffled and not [k for k in shuffled if re.search(r"example_id#\d+, \d+$|table_name#\d+, \d+$", k)]
+        got = {(r.question_id, r.table_name): r.score for r in ranked.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Named 10, labelled 6, 20 examples at 4 points each, and two links of 2 points between tables that score.
+    assert got[3, "the"] == 96 + 4 and got[3, "w1"] == 4 + 4 and got[1, "w1"] == 20 + 4 and got[3, "list"] == 10
+
+
 def test_table_scores(spark):
     q = spark.createDataFrame(
         [(1, "orders between customers"), (2, "reorders"), (3, "order_details, orders!")], "question_id int, text string"
