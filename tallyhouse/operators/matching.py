@@ -19,12 +19,13 @@ and needle is formed unless they share an anchor.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.text import WORD_CHAR
+from tallyhouse.functions.text import WORD_CHAR, let
 from tallyhouse.session import materialize
 
 # Characters of an edge run by which it meets the texts.
@@ -51,6 +52,13 @@ def character_runs(c: Column, length: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))"), F.lit(1))
 
 
+def character_slices(c: Column, length: int) -> Column:
+    """The same without a pattern over the text: slower, for texts that were cut before."""
+    places = lambda a: F.sequence(F.lit(1), F.greatest(F.size(a) - length + 1, F.lit(1)))
+    cut = lambda a: F.transform(places(a), lambda i: F.array_join(F.slice(a, i, length), ""))
+    return F.when(F.length(c) >= length, let(F.split(c, ""), cut)).otherwise(F.array().cast("array<string>"))
+
+
 def _pairs(col: str) -> Column:
     """Hashes of neighbouring words in an array of runs, with what stands between them.
 
@@ -64,6 +72,11 @@ def _pairs(col: str) -> Column:
     return F.array_distinct(F.transform(places, lambda i: F.xxhash64(run(i), run(i + 1), run(i + 2))))
 
 
+def _content(c: Column) -> Column:
+    """A key of a text's content."""
+    return F.unhex(F.md5(c.cast("binary")))
+
+
 def index_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The texts as a written table: _id, _text, a key of the content, its distinct runs
     with their hashes, and its pairs of words.
@@ -71,7 +84,7 @@ def index_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Every text is cut into runs here and nowhere else. Null texts are left out.
     """
     keyed = texts.filter(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("_key")
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _content(F.col(text_col)).alias("_key")
     )
     cut = keyed.withColumn("_all", runs(F.col("_text")))
     cut = cut.withColumn("_pairs", _pairs("_all")).withColumn("_runs", F.array_distinct("_all")).drop("_all")
@@ -97,7 +110,7 @@ def visited(rows: DataFrame, small: DataFrame, on: str | Column) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows.join(F.broadcast(small.filter(no == i)), on) for i in range(blocks)])
 
 
-def _loose_hits(bodies: DataFrame, body: Column, loose: DataFrame) -> DataFrame:
+def _loose_hits(bodies: DataFrame, body: Column, cut: Callable[[Column, int], Column], loose: DataFrame) -> DataFrame:
     """(_id, _needle) of needles without inner words. A needle has one start and a text every
     start once, so that no pair comes twice."""
     ends = F.array(F.try_element_at("_runs", F.lit(1)), F.try_element_at("_runs", F.lit(-1)))
@@ -105,7 +118,7 @@ def _loose_hits(bodies: DataFrame, body: Column, loose: DataFrame) -> DataFrame:
     started = loose.select("_needle", F.substring(F.array_max(sized)["run"], 1, ANCHOR).alias("_start"))
     # At most ANCHOR lengths; only stretches of a length that some needle asks for are made.
     lengths = sorted(r[0] for r in started.select(F.length("_start")).distinct().collect())
-    starts = F.array_distinct(F.concat(*[character_runs(body, n) for n in lengths]))
+    starts = F.array_distinct(F.concat(*[cut(body, n) for n in lengths]))
     met = visited(bodies.select("_id", "_text", F.explode(starts).alias("_start")), started, "_start")
     return met.filter(F.contains("_text", "_needle")).select("_id", "_needle")
 
@@ -125,11 +138,18 @@ def contains_join(
     usable = needles.filter(F.length(needle_col) > 0)
     parts = usable.select(F.col(needle_col).alias("_needle")).distinct().withColumn("_runs", runs(F.col("_needle")))
     parts = parts.withColumn("_inside", F.expr("slice(_runs, 2, greatest(size(_runs) - 2, 0))"))
-    words = F.transform(F.filter("_inside", is_word), lambda w: F.xxhash64(w))
-    parts = materialize(parts.withColumn("_pairs", _pairs("_inside")).withColumn("_words", words), "needles")
+    words = F.array_distinct(F.transform(F.filter("_inside", is_word), lambda w: F.xxhash64(w)))
     by_pair, by_word = F.size("_pairs") > 0, F.size("_words") > 0
+    # Written are only the words of a needle without pairs, and the runs of one without either.
+    parts = parts.withColumn("_pairs", _pairs("_inside")).withColumn("_words", words).select(
+        "_needle", _content(F.col("_needle")).alias("_of"), "_pairs",
+        F.when(by_pair, F.array().cast("array<bigint>")).otherwise(F.col("_words")).alias("_words"),
+        F.when(~by_pair & ~by_word, F.col("_runs")).alias("_runs"),
+    )
+    parts = materialize(parts, "needles")
+    # A needle has many grams, so its key stands beside them and not its text.
     wanted = parts.filter(by_pair | by_word).select(
-        "_needle", by_pair.alias("_paired"), F.explode(F.when(by_pair, F.col("_pairs")).otherwise(F.array_distinct("_words"))).alias("_gram")
+        "_of", by_pair.alias("_paired"), F.explode(F.when(by_pair, F.col("_pairs")).otherwise(F.col("_words"))).alias("_gram")
     )
     pairs = index.select("_key", F.explode("_pairs").alias("_gram"))
     single = index.select("_key", F.explode("_grams").alias("_gram"))
@@ -145,10 +165,13 @@ def contains_join(
     if asked:
         posted = materialize((asked[0].unionByName(asked[1]) if len(asked) == 2 else asked[0]).distinct(), "postings")
         counts = posted.groupBy("_gram").agg(F.count("*").alias("_texts"))
-        rarest = wanted.join(counts, "_gram", "left").groupBy("_needle").agg(
+        rarest = wanted.join(counts, "_gram", "left").groupBy("_of").agg(
             F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")
         )
-        candidates = _dealt(posted, rarest.filter(F.col("_least") > 0).select("_needle", "_gram")).select("_key", "_needle")
+        # Written, so that few needles that are left meet their texts where these lie.
+        rarest = materialize(rarest.filter(F.col("_least") > 0).select("_of", "_gram"), "rarest")
+        anchors = rarest.join(parts.select("_of", "_needle"), "_of").select("_needle", "_gram")
+        candidates = _dealt(posted, anchors).select("_key", "_needle")
         # Written, so that their size is known: few of them visit the texts where these lie.
         both = bodies.join(materialize(candidates, "candidates"), "_key")
         found = both.filter(F.contains("_text", "_needle")).select("_id", "_needle")
@@ -156,7 +179,10 @@ def contains_join(
     if every > paired + worded:
         loose = parts.filter(~by_pair & ~by_word).select("_needle", "_runs")
         # Long texts repeat their runs; dealt ones are read once more, as only the text is moved.
-        lie = (index, F.array_join("_runs", "")) if tasks is None else (dealt(index.select("_id", "_text")), F.col("_text"))
+        lie = (
+            (index, F.array_join("_runs", ""), character_slices) if tasks is None
+            else (dealt(index.select("_id", "_text")), F.col("_text"), character_runs)
+        )
         wide = usable.withColumn("_needle", F.col(needle_col)).join(loose.select("_needle"), "_needle")
         hits.append(visited(_loose_hits(*lie, loose), wide, "_needle"))
     if not hits:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from tallyhouse.operators import matching as M
 
@@ -70,3 +71,22 @@ def test_needles_visit_in_blocks(spark, monkeypatch):
     for tasks in (None, 4):
         got = M.contains_join(t, "id", "body", n, "needle", tasks=tasks)
         assert sorted(((r.id, r.no) for r in got.select("id", "no").collect()), key=str) == want
+
+
+def test_long_needles_are_not_repeated_for_their_words(spark, monkeypatch):
+    texts = [(1, "zero one two three four five six"), (2, "one two"), (3, "o")]
+    needles = ["o one two three four f", "x one two three four nine", "ne tw", "o one x", "o two t", "one"]
+    wrote, write = {}, M.materialize
+
+    def spy(df, label):
+        wrote[label] = (df._jdf.queryExecution().executedPlan().toString(), write(df, label))
+        return wrote[label][1]
+
+    monkeypatch.setattr(M, "materialize", spy)
+    got, want = pairs(spark, texts, needles)
+    assert got == want and len(want) == 5
+    # The rarest word is found for a key of the needle; texts are sorted by none of these steps.
+    assert not [label for label, (plan, _) in wrote.items() if re.search(r"Aggregate\(keys?=\[_needle#\d+\], functions=\[\w", plan)]
+    assert wrote["rarest"][1].columns == ["_of", "_gram"]
+    kept = {r._needle: (len(r._pairs), len(r._words), r._runs) for r in wrote["needles"][1].collect()}
+    assert kept["o one two three four f"] == (3, 0, None) and kept["o two t"] == (0, 1, None) and kept["one"] == (0, 0, ["one"])
