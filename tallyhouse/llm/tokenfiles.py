@@ -1,9 +1,9 @@
 """Token counts of flat token files by a separator scan.
 
 A flat token file is a run of 16-bit little-endian ids without an index; every document ends
-with the end-of-document id. Files are read whole by Spark and scanned in blocks: each block
-is searched for the separator at once, and gives the tokens before its first separator, the
-lengths between separators, and the tokens after the last one. A prefix scan over the blocks,
+with the end-of-document id. Spark reads files whole, so the writer begins a new one after
+``FILE_BYTES``, however long its partition is. They are scanned in blocks: each block is searched for the separator at once, and gives the tokens before its first separator, the lengths
+between separators, and the tokens after the last one. A prefix scan over the blocks,
 in order of file and offset, then joins what runs across their borders, so a document may
 span any number of blocks or files.
 
@@ -26,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import row_slices
-from tallyhouse.session import work_folder
+from tallyhouse.llm.common import text_slices
+from tallyhouse.session import materialize, work_folder
 
 # The end-of-text id that is free in the public byte vocabulary.
 SEPARATOR = 50_256
 # Tokens of a block.
 BLOCK = 1 << 20
-BATCH_CHARS = 2_000_000
+# Bytes of a written file, but for its last document; a reading task holds files whole.
+FILE_BYTES = 1 << 22
+BATCH_BYTES = 2_000_000
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,39 +52,51 @@ def encoding(path: str):
 def write_flat(
     docs: DataFrame, vocabulary: str, path: str, text_col: str = "text", separator: int = SEPARATOR, id_col: str | None = None
 ) -> None:
-    """Write the ids of ``text_col`` as flat token files, one per partition, in the order of rows.
+    """Write the ids of ``text_col`` as flat token files, one or several per partition, in the order of rows.
 
-    The text writer puts out each row's bytes as they are, and the separator id as line end.
+    The text writer puts out each row's bytes as they are, and the separator id as line end; a
+    row is a file, and holds documents until they reach ``FILE_BYTES``.
     With ``id_col`` the same tasks write, beside each token file (in ``ids=0``), a file of the
-    same name with the documents' ids in the same order (in ``ids=1``); see ``written_ids``.
+    same part and number with how many documents of the part stand before it, and the documents'
+    ids in the same order (in ``ids=1``); see ``written_ids``.
     """
     if not 0 <= separator < 1 << 16:
         raise ValueError("the separator must fit into 16 bits")
     null, digits = _letters(separator)
 
+    between, limit = int(separator).to_bytes(2, "little"), FILE_BYTES
+
+    def told(value: str | None) -> bytes:
+        return null if value is None else value.encode().hex().encode().translate(digits)
+
+    def file(no: int, first: int, rows: list[bytes], names: list) -> pa.RecordBatch:
+        values = [between.join(rows)]
+        if id_col is not None:
+            values.append(between.join(map(told, [str(first), *names])))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(len(values)), pa.int32()), pa.array([no] * len(values), pa.int64()), pa.array(values, pa.binary())],
+            names=["ids", "place", "value"],
+        )
+
     def run(batches):
-        enc, at = encoding(vocabulary), 0
+        enc, rows, names, size, no, first = encoding(vocabulary), [], [], 0, 0, 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            names = batch.column(1).to_pylist()
-            for a, b in row_slices([len(t) for t in texts], BATCH_CHARS):
-                rows = [np.array(enc.encode_ordinary(t), dtype=np.int64) for t in texts[a:b]]
-                if any((r >= (1 << 16) - 1).any() or (r == separator).any() for r in rows):
-                    raise ValueError("an id does not fit into a flat file, or is the separator")
-                values = [r.astype("<u2").tobytes() for r in rows]
-                kinds = [0] * len(rows)
-                if id_col is not None:
-                    values += [null if i is None else i.encode().hex().encode().translate(digits) for i in names[a:b]]
-                    kinds += [1] * len(rows)
-                places = [*range(at, at + len(rows))] * (len(values) // max(len(rows), 1))
-                at += len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(kinds, pa.int32()), pa.array(places, pa.int64()), pa.array(values, pa.binary())],
-                    names=["ids", "place", "value"],
-                )
+            for a, b, texts in text_slices(batch.column(0), BATCH_BYTES):
+                for text, name in zip(texts, batch.column(1)[a:b].to_pylist(), strict=True):
+                    ids = np.array(enc.encode_ordinary(text), dtype=np.int64)
+                    if (ids >= (1 << 16) - 1).any() or (ids == separator).any():
+                        raise ValueError("an id does not fit into a flat file, or is the separator")
+                    rows.append(ids.astype("<u2").tobytes())
+                    names.append(name)
+                    size += len(rows[-1]) + len(between)
+                    if size >= limit:
+                        yield file(no, first, rows, names)
+                        rows, names, size, no, first = [], [], 0, no + 1, first + len(rows)
+        if rows:
+            yield file(no, first, rows, names)
 
     # Bytes of the separator, as the characters that Latin-1 gives them.
-    end = int(separator).to_bytes(2, "little").decode("latin-1")
+    end = between.decode("latin-1")
     named = (F.lit(None) if id_col is None else F.col(id_col)).cast("string").alias("_name")
     rows = docs.select(text_col, named).mapInArrow(run, "ids int, place long, value binary")
     value = F.col("value").cast("string").alias("value")
@@ -91,7 +105,7 @@ def write_flat(
     else:
         writer = rows.sortWithinPartitions("ids", "place").select("ids", value).write.partitionBy("ids")
     writer = writer.option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none")
-    writer.option("maxRecordsPerFile", 0).text(path)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 def _letters(separator: int) -> tuple[bytes, bytes]:
@@ -111,27 +125,34 @@ def _files(spark: SparkSession, path: str, ids: int) -> DataFrame:
 
 
 def written_ids(spark: SparkSession, path: str, kind: str, separator: int = SEPARATOR) -> DataFrame:
-    """(doc_id, part, position) of the documents in flat files written with an id column of type ``kind``."""
+    """(doc_id, part, position, no, at) of the documents in flat files written with an id column of type ``kind``.
+
+    ``position`` is a document's place in its part, ``at`` that in the part's file ``no``.
+    """
     null, digits = _letters(separator)
     back = bytes.maketrans(digits[ord("0") : ord("9") + 1] + digits[ord("a") : ord("f") + 1], b"0123456789abcdef")
     end = int(separator).to_bytes(2, "little")
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = content.split(end)[:-1]
-                ids = [None if x == null else bytes.fromhex(x.translate(back).decode()).decode() for x in lines]
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines = content.as_py().split(end)[:-1]
+                first, *ids = [None if x == null else bytes.fromhex(x.translate(back).decode()).decode() for x in lines]
+                places = range(len(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.string()), pa.array([name] * len(ids), pa.string()), pa.array(range(len(ids)), pa.int64())],
-                    names=["doc_id", "file", "position"],
+                    [pa.array(ids, pa.string()), pa.array([name] * len(ids), pa.string()),
+                     pa.array([int(first) + i for i in places], pa.int64()), pa.array(places, pa.int64())],
+                    names=["doc_id", "file", "position", "at"],
                 )
 
-    rows = _files(spark, path, 1).mapInArrow(run, "doc_id string, file string, position long")
-    return rows.select(F.col("doc_id").cast(kind).alias("doc_id"), _part("file"), "position")
+    rows = _files(spark, path, 1).mapInArrow(run, "doc_id string, file string, position long, at long")
+    return rows.select(F.col("doc_id").cast(kind).alias("doc_id"), *_place("file"), "position", "at")
 
 
-def _part(file: str) -> Column:
-    return F.regexp_extract(file, r"part-(\d+)", 1).cast("int").alias("part")
+def _place(file: str) -> tuple[Column, Column]:
+    """Number of the part that wrote a file, and of the file in it."""
+    number = lambda pattern, name: F.regexp_extract(file, pattern, 1).cast("int").alias(name)
+    return number(r"part-(\d+)", "part"), number(r"part-[^/]*[.-]c(\d+)", "no")
 
 
 def scan_block(ids: np.ndarray, separator: int = SEPARATOR) -> tuple[int, np.ndarray, int]:
@@ -148,7 +169,8 @@ def scan(files: DataFrame, separator: int = SEPARATOR, block: int = BLOCK) -> Da
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                content = content.as_buffer()
                 if len(content) % 2:
                     raise ValueError(f"{path} is no flat file of 16-bit ids")
                 ids = np.frombuffer(content, dtype="<u2")
@@ -182,7 +204,8 @@ def counts(spark: SparkSession, path: str, separator: int = SEPARATOR, block: in
 
     ``position`` numbers the documents that end in a file; files follow each other by name.
     """
-    blocks = scan(_files(spark, path, 0), separator, block)
+    # Written, as they are used twice and the files shall be read once.
+    blocks = materialize(scan(_files(spark, path, 0), separator, block), "blocks")
     has = F.col("tail") >= 0
     left = F.when(has, F.col("tail")).otherwise(F.col("head"))
     rows = carried(blocks, ["file"], "no", has, left)
@@ -209,10 +232,10 @@ def counts(spark: SparkSession, path: str, separator: int = SEPARATOR, block: in
 
 def matched(placed: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, part, position): documents with the counts of their places; one without is an error."""
-    found = found.filter(~F.col("open")).select(_part("file"), "position", "n_tokens")
+    found = found.filter(~F.col("open")).select(*_place("file"), F.col("position").alias("at"), "n_tokens")
     lost = F.raise_error(F.concat(F.lit("no count for document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     tokens = F.coalesce("n_tokens", lost.cast("long")).alias("n_tokens")
-    return placed.join(found, ["part", "position"], "left").select("doc_id", tokens, "part", "position")
+    return placed.join(found, ["part", "no", "at"], "left").select("doc_id", tokens, "part", "position")
 
 
 def counted(docs: DataFrame, vocabulary: str) -> DataFrame:

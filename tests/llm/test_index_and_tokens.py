@@ -71,3 +71,21 @@ def test_a_lost_count_is_an_error(spark, tmp_path):
     placed = tokenfiles.written_ids(spark, folder, "long")
     with pytest.raises(Exception, match="no count"):
         tokenfiles.matched(placed, tokenfiles.counts(spark, folder).limit(1)).collect()
+
+
+def test_a_long_part_is_several_files(spark, tmp_path, monkeypatch):
+    path = bpe.public_path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(tokenfiles, "FILE_BYTES", 64, raising=False)
+    rows = [(i if i % 5 else None, "word " * (i % 7) if i % 3 else None) for i in range(90)] + [(95, "word " * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    folder = tmp_path / "flat"
+    tokenfiles.write_flat(docs, path, str(folder), id_col="doc_id")
+    sizes = sorted(f.stat().st_size for f in folder.glob("ids=0/*.txt"))
+    assert len(sizes) > 5 and sizes[-2] < 64 + 2 * 8
+    got = tokenfiles.matched(tokenfiles.written_ids(spark, str(folder), "long"), tokenfiles.counts(spark, str(folder))).collect()
+    enc = tokenfiles.encoding(path)
+    assert [(r.doc_id, r.n_tokens) for r in sorted(got, key=lambda r: r.position)] == [(i, len(enc.encode_ordinary(t or ""))) for i, t in rows]
+    assert sorted((r.part, r.position) for r in got) == [(0, i) for i in range(len(rows))]
+    flat = tmp_path / "no ids"
+    tokenfiles.write_flat(docs, path, str(flat))
+    assert sorted(r.n_tokens for r in tokenfiles.counts(spark, str(flat)).collect()) == sorted(r.n_tokens for r in got)
