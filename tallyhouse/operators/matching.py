@@ -11,8 +11,9 @@ longest edge run stand; most texts hold many of those, so none of these pairs is
 
 The texts are cut into runs once, into a written index that several joins can share
 (``index_texts``). Only postings that some needle asks for leave it, dealt by anchor and salt,
-so that a word of every text does not meet in one task. Candidates are verified against the
-text. Texts are told apart by their content, and ids may be null or repeated. No pair of text
+so that a word of every text does not meet in one task. Few needles visit the postings where
+they lie; a single join of such needles writes no index, as the postings asked for are all that
+is needed of it. Candidates are verified against the text. Texts are told apart by their content, and ids may be null or repeated. No pair of text
 and needle is formed unless they share an anchor.
 """
 
@@ -30,6 +31,10 @@ from tallyhouse.session import materialize
 
 # Characters of an edge run by which it meets the texts.
 ANCHOR = 8
+# Starts of needles that are looked for one by one; of more, a text's stretches are made.
+FEW_STARTS = 64
+# Words and pairs of needles that visit the postings at once.
+FEW_GRAMS = 1_000_000
 # Tasks that the postings of one anchor are dealt to.
 SALTS = 16
 # Rows, and characters in them, of the side of a join that visits the other at once.
@@ -83,12 +88,19 @@ def index_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Every text is cut into runs here and nowhere else. Null texts are left out.
     """
-    keyed = texts.filter(F.col(text_col).isNotNull()).select(
+    return materialize(_cut(_keyed(texts, id_col, text_col)), "text-index")
+
+
+def _keyed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return texts.filter(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), _content(F.col(text_col)).alias("_key")
     )
+
+
+def _cut(keyed: DataFrame) -> DataFrame:
     cut = keyed.withColumn("_all", runs(F.col("_text")))
     cut = cut.withColumn("_pairs", _pairs("_all")).withColumn("_runs", F.array_distinct("_all")).drop("_all")
-    return materialize(cut.withColumn("_grams", F.transform("_runs", lambda r: F.xxhash64(r))), "text-index")
+    return cut.withColumn("_grams", F.transform("_runs", lambda r: F.xxhash64(r)))
 
 
 def _dealt(postings: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -110,16 +122,20 @@ def visited(rows: DataFrame, small: DataFrame, on: str | Column) -> DataFrame:
     return reduce(DataFrame.unionByName, [rows.join(F.broadcast(small.filter(no == i)), on) for i in range(blocks)])
 
 
-def _loose_hits(bodies: DataFrame, body: Column, cut: Callable[[Column, int], Column], loose: DataFrame) -> DataFrame:
+def _loose_hits(rows: DataFrame, body: Column, cut: Callable[[Column, int], Column], loose: DataFrame) -> DataFrame:
     """(_id, _needle) of needles without inner words. A needle has one start and a text every
     start once, so that no pair comes twice."""
     ends = F.array(F.try_element_at("_runs", F.lit(1)), F.try_element_at("_runs", F.lit(-1)))
     sized = F.transform(ends, lambda r: F.struct(is_word(r).alias("w"), F.length(r).alias("n"), r.alias("run")))
     started = loose.select("_needle", F.substring(F.array_max(sized)["run"], 1, ANCHOR).alias("_start"))
-    # At most ANCHOR lengths; only stretches of a length that some needle asks for are made.
-    lengths = sorted(r[0] for r in started.select(F.length("_start")).distinct().collect())
-    starts = F.array_distinct(F.concat(*[cut(body, n) for n in lengths]))
-    met = visited(bodies.select("_id", "_text", F.explode(starts).alias("_start")), started, "_start")
+    few = [r[0] for r in started.select("_start").distinct().limit(FEW_STARTS + 1).collect()]
+    if len(few) <= FEW_STARTS:
+        starts = F.filter(F.array(*map(F.lit, few)), lambda s: F.contains("_text", s))
+    else:
+        # At most ANCHOR lengths; only stretches of a length that some needle asks for are made.
+        lengths = sorted(r[0] for r in started.select(F.length("_start")).distinct().collect())
+        starts = F.array_distinct(F.concat(*[cut(body, n) for n in lengths]))
+    met = visited(rows.select("_id", "_text", F.explode(starts).alias("_start")), started, "_start")
     return met.filter(F.contains("_text", "_needle")).select("_id", "_needle")
 
 
@@ -131,10 +147,10 @@ def contains_join(
 
     One row per row of ``texts`` and row of ``needles`` that match; ids may be null or repeated.
     Null and empty needles, and null texts, match nothing. ``index`` is the written index of
-    the texts, where there is one already. With ``tasks`` the texts are dealt to so many tasks by
-    their id, and the pairs stay there: sums over pairs of one text need no shuffle.
+    the texts, where there is one already; without it, few needles take their postings straight
+    from the texts, of which only the text is written. With ``tasks`` the texts are dealt to so many
+    tasks by their id, and the pairs stay there: sums over pairs of one text need no shuffle.
     """
-    index = index_texts(texts, id_col, text_col) if index is None else index
     usable = needles.filter(F.length(needle_col) > 0)
     parts = usable.select(F.col(needle_col).alias("_needle")).distinct().withColumn("_runs", runs(F.col("_needle")))
     parts = parts.withColumn("_inside", F.expr("slice(_runs, 2, greatest(size(_runs) - 2, 0))"))
@@ -151,19 +167,32 @@ def contains_join(
     wanted = parts.filter(by_pair | by_word).select(
         "_of", by_pair.alias("_paired"), F.explode(F.when(by_pair, F.col("_pairs")).otherwise(F.col("_words"))).alias("_gram")
     )
-    pairs = index.select("_key", F.explode("_pairs").alias("_gram"))
-    single = index.select("_key", F.explode("_grams").alias("_gram"))
-    paired, worded, every = parts.agg(F.count_if(by_pair), F.count_if(~by_pair & by_word), F.count("*")).first()
-    asked = [
-        _dealt(side, wanted.filter(F.col("_paired") == flag).select("_gram").distinct())
-        for side, flag, some in ((pairs, True, paired), (single, False, worded))
-        if some
-    ]
+    paired, worded, every, n_grams = parts.agg(
+        F.count_if(by_pair), F.count_if(~by_pair & by_word), F.count("*"), F.sum(F.size("_pairs") + F.size("_words"))
+    ).first()
+    few = (n_grams or 0) <= FEW_GRAMS
+    if index is None:
+        # Read twice, so they are not made again.
+        index = _cut(materialize(_keyed(texts, id_col, text_col), "texts")) if few else index_texts(texts, id_col, text_col)
+    asked = []
+    if few and paired + worded:
+        # Hashes of pairs and words that happen to be the same give a candidate more.
+        grams = F.concat(*[F.col(c) for c, some in (("_pairs", paired), ("_grams", worded)) if some])
+        postings = index.select("_key", F.explode(grams).alias("_gram"))
+        asked = [postings.join(F.broadcast(wanted.select("_gram").distinct()), "_gram", "left_semi")]
+    elif paired + worded:
+        pairs = index.select("_key", F.explode("_pairs").alias("_gram"))
+        single = index.select("_key", F.explode("_grams").alias("_gram"))
+        asked = [
+            _dealt(side, wanted.filter(F.col("_paired") == flag).select("_gram").distinct())
+            for side, flag, some in ((pairs, True, paired), (single, False, worded))
+            if some
+        ]
     bodies = index.select("_key", "_id", "_text")
     dealt = lambda rows: rows if tasks is None else rows.repartition(tasks, "_id")
     hits = []
     if asked:
-        posted = materialize((asked[0].unionByName(asked[1]) if len(asked) == 2 else asked[0]).distinct(), "postings")
+        posted = materialize(reduce(DataFrame.unionByName, asked).distinct(), "postings")
         counts = posted.groupBy("_gram").agg(F.count("*").alias("_texts"))
         rarest = wanted.join(counts, "_gram", "left").groupBy("_of").agg(
             F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"), F.min(F.coalesce("_texts", F.lit(0))).alias("_least")
@@ -171,7 +200,8 @@ def contains_join(
         # Written, so that few needles that are left meet their texts where these lie.
         rarest = materialize(rarest.filter(F.col("_least") > 0).select("_of", "_gram"), "rarest")
         anchors = rarest.join(parts.select("_of", "_needle"), "_of").select("_needle", "_gram")
-        candidates = _dealt(posted, anchors).select("_key", "_needle")
+        met = visited(posted, anchors, "_gram") if few else _dealt(posted, anchors)
+        candidates = met.select("_key", "_needle")
         # Written, so that their size is known: few of them visit the texts where these lie.
         both = bodies.join(materialize(candidates, "candidates"), "_key")
         found = both.filter(F.contains("_text", "_needle")).select("_id", "_needle")

@@ -133,9 +133,9 @@ def match_glossary(
     """Glossary terms found in each question: the first variant in search order decides.
 
     ``questions``: question_id, text. Best priority first, ties by canonical name.
+    Without ``index`` none is written, but for a glossary of very many words (``contains_join``).
     """
-    index, norm = _indexed(questions, index)
-    hits = contains_join(norm, "question_id", "_norm", variants, "needle", index)
+    hits = contains_join(_normalised(questions), "question_id", "_norm", variants, "needle", index)
     first = hits.groupBy("question_id", "canonical").agg(
         F.min_by(F.struct("matched_on", "priority"), "search_order").alias("hit")
     )

@@ -90,3 +90,35 @@ def test_long_needles_are_not_repeated_for_their_words(spark, monkeypatch):
     assert wrote["rarest"][1].columns == ["_of", "_gram"]
     kept = {r._needle: (len(r._pairs), len(r._words), r._runs) for r in wrote["needles"][1].collect()}
     assert kept["o one two three four f"] == (3, 0, None) and kept["o two t"] == (0, 1, None) and kept["one"] == (0, 0, ["one"])
+
+
+def test_few_needles_write_no_index_and_make_no_stretches(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [(i, made(r, r.randrange(0, 20)) + f"item-{i}" * (i % 3)) for i in range(60)] + [(1, "item-1"), (None, ""), (2, None)]
+    needles = [f"item-{i}" for i in range(0, 70, 7)] + ["la casa", "a casa d", "sa de to", "o", ", ", "zzz zzz", "", None]
+    needles += [b[k : k + r.randrange(8, 25)] for _, b in texts[:40] if b for k in [r.randrange(len(b))]]
+    wrote, write = {}, M.materialize
+
+    def spy(df, label):
+        wrote[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(M, "materialize", spy)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got, want = pairs(spark, texts, needles)
+        assert got == want and len(want) > 100
+        # The postings stay where the texts lie, and only those that are asked for are written.
+        assert "text-index" not in wrote and "SortMergeJoin" not in wrote["postings"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    t = spark.createDataFrame(texts, "id long, body string")
+    n = spark.createDataFrame([(i, x) for i, x in enumerate(needles)], "no long, needle string")
+    plan = M.contains_join(t, "id", "body", n, "needle")._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan
+    # The same rows where needles are many, or start in many ways.
+    for grams, starts in ((0, 64), (0, 0), (10**6, 0)):
+        monkeypatch.setattr(M, "FEW_GRAMS", grams)
+        monkeypatch.setattr(M, "FEW_STARTS", starts)
+        assert pairs(spark, texts, needles)[0] == want
